@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from emberlog.llm import line_dedup, quality, simhash, url_filter
+from emberlog.llm import line_dedup, packing, quality, records, simhash, url_filter
 
 QUERIES = {
+    "op2_token_records": records.op2_token_records,
     "op4_url_filter": url_filter.op4_url_filter,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
