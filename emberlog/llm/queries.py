@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from emberlog.llm import decontaminate, line_dedup, packing, quality, records, simhash, url_filter
+from emberlog.llm import decontaminate, line_dedup, packing, quality, records, simhash, substrings, url_filter
 
 QUERIES = {
     "op2_token_records": records.op2_token_records,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
