@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from emberlog.llm import decontaminate, line_dedup, packing, quality, records, simhash, substrings, url_filter
+from emberlog.llm import decontaminate, language, line_dedup, packing, quality, records, simhash, substrings, url_filter
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op2_token_records": records.op2_token_records,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
