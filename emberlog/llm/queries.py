@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from emberlog.llm import decontaminate, language, line_dedup, packing, quality, records, simhash, substrings, url_filter
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op4_url_filter": url_filter.SQL,

@@ -17,10 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.llm.common import stored, table, tasks
 from emberlog.llm.components import components
-from emberlog.llm.textops import by_slice
+from emberlog.llm.textops import by_slice, mix
 
 RADIUS = 2
 SHINGLE = 3
@@ -31,20 +32,24 @@ _PAIRS = 1 << 16
 _U = np.uint64
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE, width: int = 1) -> np.ndarray:
+    """width 64-bit words. A bit is 1 if over half of the shingles' hashes have it; the first word takes XXH64 with seed 42, the others mixes of it."""
     words = text.lower().split()  # of bytes: A-Z only, and white space is \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(width, _U)
     if len(words) < shingle:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(s, 42) for s in shingles], dtype="<u8")
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 14):
-        counts += np.unpackbits(h[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+    counts = np.zeros(64 * width, np.int64)
+    for k in range(0, len(h), 1 << 13):
+        part = h[k : k + (1 << 13), None]
+        if width > 1:
+            part = np.concatenate([part, mix(part + np.arange(1, width, dtype=_U))], axis=1)
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -52,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     schema = docs.select("doc_id").schema.add("fp", "long")
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, shingle) for t in texts], dtype=_U).view(np.int64)
+        fps = np.concatenate([fingerprint(t, shingle) for t in texts]).view(np.int64)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(by_slice(run), schema)
@@ -79,45 +84,49 @@ def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def compare(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indexes of fingerprints at most radius bits apart that share a bucket; rows of a bucket stand together."""
+    """Pairs of indexes of fingerprints (n x words) at most radius bits apart that share a bucket; rows of a bucket stand together."""
+    n, n_bits = len(fps), 64 * fps.shape[1]
     first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
     start = np.flatnonzero(first)
-    size = np.diff(np.append(start, len(fps)))
+    size = np.diff(np.append(start, n))
     words = (size + 63) // 64  # lane words of each bucket
     at_word = np.concatenate([[0], np.cumsum(words)])
     b = np.cumsum(first) - 1
-    place = np.arange(len(fps)) - start[b]
+    place = np.arange(n) - start[b]
     word, lane = at_word[b] + place // 64, (place % 64).astype(_U)
-    n_words = at_word[-1]
-    planes = np.zeros((64, n_words), _U)  # planes[k][w]: bit k of the 64 fingerprints of lane word w
     heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    for k in range(64):
-        planes[k] = np.bitwise_or.reduceat(((fps >> _U(k)) & _U(1)) << lane, heads)
+    # planes[k][w]: bit k of the 64 fingerprints of lane word w; full[k][i]: bit k of fingerprint i in all lanes
+    planes, full = np.empty((n_bits, len(heads)), _U), np.empty((n_bits, n), _U)
+    for k in range(n_bits):
+        bit = (fps[:, k // 64] >> _U(k % 64)) & _U(1)
+        planes[k] = np.bitwise_or.reduceat(bit << lane, heads)
+        full[k] = _U(0) - bit
     taken = np.bitwise_or.reduceat(_U(1) << lane, heads)
     # a query meets the lane words of its bucket up to its own
     per = place // 64 + 1
-    queries = np.repeat(np.arange(len(fps)), per)
+    queries = np.repeat(np.arange(n), per)
     targets = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(at_word[b], per)
     left, right = [], []
+    step = 4 if radius < 8 else 16
     for k in range(0, len(queries), _PAIRS):
         q, w = queries[k : k + _PAIRS], targets[k : k + _PAIRS]
-        counters = [np.zeros(len(q), _U) for _ in range(max(1, radius.bit_length()))]
+        counters = [np.zeros(len(q), _U) for _ in range(radius.bit_length())]
         over = ~taken[w]
-        for bit in range(64):
-            carry = planes[bit][w] ^ (_U(0) - ((fps[q] >> _U(bit)) & _U(1)))
-            for c in range(len(counters)):  # carry-save: add one bit to 64 vertical counters
+        for bit in range(n_bits):
+            carry = planes[bit][w] ^ full[bit][q]
+            for c in range(min(len(counters), (bit + 1).bit_length())):  # carry-save: one bit more to 64 vertical counters
                 counters[c], carry = counters[c] ^ carry, counters[c] & carry
-            over |= carry
-            above = np.zeros(len(q), _U)  # lanes whose counter exceeds the radius
-            equal = ~above
-            for c in reversed(range(len(counters))):
-                if not radius >> c & 1:
-                    above |= equal & counters[c]
-                    equal &= ~counters[c]
-                else:
-                    equal &= counters[c]
-            over |= above
-            if bit % 4 == 3 or bit == 63:
+            if bit + 1 >= 1 << len(counters):
+                over |= carry
+            if bit % step == step - 1 or bit == n_bits - 1:
+                above, equal = np.zeros(len(q), _U), np.full(len(q), ~_U(0))  # lanes whose counter exceeds the radius
+                for c in reversed(range(len(counters))):
+                    if radius >> c & 1:
+                        equal &= counters[c]
+                    else:
+                        above |= equal & counters[c]
+                        equal &= ~counters[c]
+                over |= above
                 go = ~over != 0
                 q, w, over, counters = q[go], w[go], over[go], [c[go] for c in counters]
                 if not len(q):
@@ -133,8 +142,8 @@ def compare(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[
     return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none)
 
 
-def _forest(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the pairs of each bucket connect, fewer than fingerprints."""
+def _roots(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint the first that it is connected with by pairs within buckets."""
     a, b = compare(fps, bucket, radius)
     root = np.arange(len(fps))
     while len(a):
@@ -144,40 +153,55 @@ def _forest(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarra
         np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
         while (root[root] != root).any():
             root = root[root]
-    linked = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[linked], fps[root[linked]]
+    return root
 
 
 def _sorted_links(radius: int):
-    """For mapInArrow over rows sorted by mask and key: whole buckets, many at a time."""
-
-    def flush(mask: list, key: list, fp: list) -> pa.RecordBatch:
-        m, k, f = np.concatenate(mask), np.concatenate(key), np.concatenate(fp)
-        new = np.concatenate([[False], (m[1:] != m[:-1]) | (k[1:] != k[:-1])])
-        a, b = _forest(f.view(_U), np.cumsum(new), radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    """For mapInArrow over rows (parts of the bucket's key, then the fingerprint: long or binary) that are sorted by bucket: whole buckets, many at a time."""
+
+    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        *key, fp = (np.concatenate(h) for h in held)
+        new = np.zeros(len(fp), bool)
+        for k in key:
+            new[1:] |= k[1:] != k[:-1]
+        words = fp.view(_U).reshape(len(fp), -1)
+        root = _roots(words, np.cumsum(new), radius)
+        linked = np.flatnonzero(root != np.arange(len(fp)))
+        # a wide fingerprint's name is its hash
+        name = words[:, 0] if words.shape[1] == 1 else np.array([xxhash.xxh64_intdigest(w.tobytes(), 42) for w in words], _U)
+        a, b = name[linked].view(np.int64), name[root[linked]].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], []]
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m, k, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            last = (m == m[-1]) & (k == k[-1])
-            cut = len(m) - int(last.sum())
-            if cut:
-                for h, x in zip(held, (m, k, f), strict=True):
-                    h.append(x[:cut])
-                yield flush(*held)
-                held = [[x[cut:]] for x in (m, k, f)]
-            elif held[0] and (held[0][-1][-1] != m[0] or held[1][-1][-1] != k[0]):
-                yield flush(*held)
-                held = [[m], [k], [f]]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if columns[-1].dtype == object:
+                size = len(columns[-1][0])
+                columns[-1] = np.frombuffer(b"".join(columns[-1]), f"V{size}")
+            n = batch.num_rows
+            last, goes_on = np.ones(n, bool), bool(held)
+            for i, c in enumerate(columns[:-1]):
+                last &= c == c[-1]
+                goes_on = goes_on and held[i][-1][-1] == c[0]
+            cut = n - int(last.sum())
+            if held and not goes_on:
+                yield flush(held)
+                held = []
+            if held:
+                for h, c in zip(held, columns, strict=True):
+                    h.append(c[:cut] if cut else c)
+                if cut:
+                    yield flush(held)
+                    held = [[c[cut:]] for c in columns]
             else:
-                for h, x in zip(held, (m, k, f), strict=True):
-                    h.append(x)
-        if held[0]:
-            yield flush(*held)
+                if cut:
+                    yield flush([[c[:cut]] for c in columns])
+                held = [[c[cut:]] for c in columns]
+        if held:
+            yield flush(held)
 
     return run
 
@@ -239,5 +263,82 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     )
 
 
+# Near copies that share most of their words rather than all: wide fingerprints, compared where they agree in sampled bits.
+
+WIDE, WIDE_SHINGLE = 4, 5
+#: Of 256 bits 39 differ on average if two texts share 0.8 of their shingles; the deviation is 6.
+WIDE_RADIUS = 48
+#: Bands of sampled bits: two such texts agree in one of them with a probability of 0.97.
+BANDS, BAND_BITS = 64, 18
+
+
+def _band_bits() -> np.ndarray:
+    rng = np.random.default_rng(64)
+    return np.array([rng.choice(64 * WIDE, BAND_BITS, replace=False) for _ in range(BANDS)])
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """doc_id, text_hash, fp (binary), node (its hash), keys (its bits in each band)."""
+    bits, powers = _band_bits(), 1 << np.arange(BAND_BITS)
+    schema = docs.select("doc_id").schema
+    for name, kind in (("text_hash", "long"), ("fp", "binary"), ("node", "long")):
+        schema = schema.add(name, kind)
+    schema = schema.add("keys", T.ArrayType(T.IntegerType()))
+
+    def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t, shingle, WIDE) for t in texts])
+        spread = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+        keys = (spread[:, bits] @ powers).astype(np.int32)
+        raw = [f.tobytes() for f in fps]
+        node = np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], _U).view(np.int64)
+        offsets = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
+        columns = [pa.array(raw, pa.binary()), pa.array(node), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=schema.names)
+
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(by_slice(run), schema)
+
+
+def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """a, b: links between nodes whose fingerprints agree in a band and differ in radius bits at most, or that connect the same.
+
+    A bucket of more than hot_bucket different fingerprints is split into
+    tiles, and every pair of tiles is a bucket of its own, so no task compares more than 2 * hot_bucket.
+    """
+    every = fps.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.posexplode("keys").alias("band", "key"))
+    hot = every.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket)
+    hot = stored(hot.select("band", "key", F.ceil(F.col("n") / hot_bucket).cast("int").alias("tiles")), "hot-buckets")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles") - 1, F.lit(0))))
+    tiled = (
+        every.join(hot, ["band", "key"], "left")
+        .withColumn("tile", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int"))
+        .withColumn("other", other)
+        .select("band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp")
+    )
+    key = ["band", "key", "i", "j"]
+    dealt = tiled.repartition(tasks(fps), *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(_sorted_links(radius), "a long, b long").distinct()
+
+
+def drop_near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """The rows of docs without near copies: of each component of wide links one row stays, that with the smallest doc_id (null before others; of equal ids by the text's hash, of equal rows any)."""
+    fps = stored(wide_fingerprints(docs, shingle), "wide-fingerprints")
+    found = components(wide_links(fps, radius))
+    nodes = fps.groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = (
+        nodes.join(found, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("component"))
+        .agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("first"))
+        .select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), F.col("first.n").alias("rows"))
+    )
+    kept = stored(kept, "kept")
+
+    def of(keys: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(keys["kept_id"]) & (F.xxhash64(docs["text"]) == keys["kept_hash"])
+        return docs.join(keys, same, "left_semi")
+
+    return of(kept.where("rows = 1")).unionByName(of(kept.where("rows > 1")).dropDuplicates(["doc_id", "text"]))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
