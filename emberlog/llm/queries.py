@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from emberlog.llm import decontaminate, language, line_dedup, packing, quality, records, simhash, substrings, url_filter
+from emberlog.llm import decontaminate, language, line_dedup, packing, pii, quality, records, simhash, substrings, url_filter
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_pii_pseudonyms": pii.op6_pii_pseudonyms,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
