@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,9 +54,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it is computed once, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Collects garbage here and in the driver's JVM, so that Spark deletes the shuffle files of finished steps now rather than some day."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions of the session, for explicit repartitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

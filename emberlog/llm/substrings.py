@@ -61,24 +61,24 @@ def runs(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple[np
     stop = np.flatnonzero(new | ~fits)
     end = np.append(stop, len(least))[np.searchsorted(stop, first, side="right")]
     key = least[first]
-    # The key's bytes stand once in a run of at most width stretches, unless they recur.
-    seen = np.concatenate([[0], np.cumsum(_selected(hashes, least, width))])
-    twice = seen[end - 1 + width] - seen[first] > 1
+    twice = _count(hashes, least, width, key, first, end - 1 + width) > 1
     return docs.doc_of(first), key, place[first], end - first, rolling.of(first, end + length - 1), twice
 
 
-def _selected(hashes: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
-    """Positions whose hash is the least of some stretch: they are the places of keys."""
-    high = np.zeros(len(hashes), np.uint64)
-    # the largest of the least hashes of the stretches that hold the position
-    top, w = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), 1
+def _count(hashes: np.ndarray, least: np.ndarray, width: int, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How often each key occurs from low to high: more than once only where its bytes recur inside a run."""
+    edge, w = np.zeros(width - 1, np.uint64), 1
+    most = np.concatenate([edge, least, edge])  # becomes the largest of the least hashes of the stretches around a position
     while 2 * w <= width:
-        top = np.maximum(top[:-w], top[w:])
+        most = np.maximum(most[:-w], most[w:])
         w *= 2
     if width > w:
-        top = np.maximum(top[: len(top) - (width - w)], top[width - w :])
-    high[:] = top[: len(hashes)]
-    return hashes == high
+        most = np.maximum(most[: len(most) - (width - w)], most[width - w :])
+    places = np.flatnonzero(hashes == most[: len(hashes)])  # only there keys stand
+    names, number = np.unique(hashes[places], return_inverse=True)
+    at = np.sort(number << 32 | places)
+    own = np.searchsorted(names, key) << 32
+    return np.searchsorted(at, own | high) - np.searchsorted(at, own | low)
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -175,10 +175,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, spli
     """doc, variant, start, end: bytes that a stretch covers which also starts earlier (spans may overlap)."""
     own = _own(docs)
     found = all_runs(own, length, seed)
-    keys = (
-        found.groupBy("key").agg(F.count("*").alias("n"), F.max(_twice()).alias("twice"))
-        .where("n > 1 or twice = 1").select("key")
-    )
+    keys = found.groupBy("key").agg(F.sum(1 + _twice()).alias("n")).where("n > 1").select("key")
     repeats = stored(found.join(keys, "key"), "repeats")
     distinct = repeats.groupBy("key", "hash").agg(F.min(F.struct("doc", "place")).alias("first"))
     distinct = stored(distinct.select("key", "hash", "first.*"), "runs")
@@ -221,10 +218,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, spli
     texts follow one another by their texts' hashes, and equal rows are one
     document. A null text is empty. Other columns of docs are ignored.
     """
-    spans = (
+    spans = stored(
         repeated_spans(docs, length, seed, split_runs)
         .groupBy("doc", "variant").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        .select(F.col("doc").alias("of"), F.col("variant").alias("of_variant"), "spans")
+        .select(F.col("doc").alias("of"), F.col("variant").alias("of_variant"), "spans"),
+        "spans",
     )
     own = _own(docs.select("doc_id", "text"))
     joined = own.join(spans, (F.col("doc") == F.col("of")) & (F.col("variant") == F.col("of_variant")), "left")
