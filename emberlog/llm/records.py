@@ -65,6 +65,13 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at = end + 5
 
 
+def record_at(content: bytes, at: int) -> tuple[int | None, np.ndarray]:
+    """Document id and ids of the record at an offset."""
+    end = at + _HEAD.size + _HEAD.unpack_from(content, at)[0] + 5
+    _, _, doc_id, ids = next(frames(content[at:end]))
+    return doc_id, ids
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_records: int = FILE_RECORDS) -> None:
     """Writes docs (doc_id, text) in ascending doc_id order: null ids first, equal ids by text, null texts as empty ones."""
 
@@ -76,7 +83,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
 
     ordered = (
         docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-        .repartitionByRange(tasks(docs), F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+        .repartitionByRange(tasks(docs), F.asc_nulls_first("doc_id"))
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     )
     (
@@ -129,7 +136,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
         for content in right.column("content"):
             raw = content.as_py()
             for at in left.column("at").to_pylist():
-                _, _, d, x = next(frames(raw[at : at + _HEAD.size + _HEAD.unpack_from(raw, at)[0] + 5]))
+                d, x = record_at(raw, at)
                 docs.append(d)
                 ids.append(x.astype(np.int64))
         return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
