@@ -113,3 +113,30 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return measured.select("doc_id", *COUNTS[:5], "base_failed", "kept", COUNTS[5], *_GRAMS)
+
+
+def _sql() -> str:
+    grams = "".join(
+        f"""
+w{n} AS (SELECT k, i, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w)),
+r{n} AS (SELECT k, i FROM w{n} QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+c{n} AS (SELECT p.k, count(*) AS n, sum(length(ws[p])) AS chars FROM (SELECT DISTINCT k, i + unnest(range(0, {n})) AS p FROM r{n}) p JOIN w ON p.k = w.k GROUP BY p.k),"""
+        for n in (3, *MAX_GRAM_SHARE)
+    )
+    chars = ", ".join(f"coalesce(c{n}.chars, 0)::BIGINT AS dup_{n}gram_chars" for n in MAX_GRAM_SHARE)
+    joins = " ".join(f"LEFT JOIN c{n} ON w.k = c{n}.k" for n in (3, *MAX_GRAM_SHARE))
+    fine = " AND ".join(f"dup_{n}gram_chars <= {share} * word_chars" for n, share in MAX_GRAM_SHARE.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+l AS (SELECT k, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d),
+y AS (SELECT k, row_number() OVER (PARTITION BY k, line ORDER BY pos) > 1 AS again, length(array_to_string(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), '')) AS chars FROM l),
+z AS (SELECT k, count(*) FILTER (WHERE again AND chars > 0) AS n, sum(chars) FILTER (WHERE again) AS chars FROM y GROUP BY k),{grams}
+m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             z.n AS n_dup_lines, coalesce(c3.n, 0) AS n_repeat_words, coalesce(z.chars, 0)::BIGINT AS dup_line_chars, {chars}
+      FROM w JOIN z ON w.k = z.k {joins}),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND dup_line_chars <= {MAX_LINE_SHARE} * word_chars AND {fine} AS kept FROM b"""
+
+
+SQL = _sql()

@@ -19,6 +19,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
+    "op3_benchmark_decontamination": decontaminate.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op5_substring_dedup": substrings.SQL,
+    "op7_quality_rules": quality.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }

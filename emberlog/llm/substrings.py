@@ -256,3 +256,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT k, i, b[i:i + 99] AS g FROM (SELECT k, b, unnest(range(1, octet_length(b)::BIGINT - 98)) AS i FROM d)),
+r AS (SELECT k, i FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY k, i) > 1),
+s AS (SELECT k, i, coalesce(i > 100 + lag(i) OVER (PARTITION BY k ORDER BY i), true) AS new FROM r),
+n AS (SELECT k, i, sum(new::INT) OVER (PARTITION BY k ORDER BY i) AS run FROM s),
+x AS (SELECT k, run, min(i) AS a, max(i) + 99 AS z FROM n GROUP BY k, run),
+y AS (SELECT x.*, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) + 1 AS kept_a FROM x),
+e AS (SELECT y.k, kept_a AS a, y.a - 1 AS z FROM y UNION ALL SELECT d.k, coalesce(max(y.z), 0) + 1, any_value(octet_length(b)) FROM d LEFT JOIN y ON d.k = y.k GROUP BY d.k),
+t AS (SELECT d.k, string_agg(CASE WHEN e.z >= e.a THEN hex(b[e.a:e.z]) ELSE '' END, '' ORDER BY e.a) AS kept FROM d JOIN e ON d.k = e.k GROUP BY d.k),
+c AS (SELECT k, sum(z - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM x GROUP BY k)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t ON d.k = t.k LEFT JOIN c ON d.k = c.k
+"""
