@@ -28,6 +28,8 @@ from emberlog.llm.tokens import Encoder
 
 #: Records of one file; files are read whole.
 FILE_RECORDS = 4_000
+#: Writing tasks whose files' sizes are summed up in order by one task.
+BLOCK_TASKS = 256
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<Bq")
@@ -118,12 +120,16 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
 
     schema = "file string, at long, size long, doc_id long, before long, n_tokens long, ids_crc32 long"
     index = stored(_files(spark, path).mapInArrow(scan, schema), "record-index")
-    # One row for each file: the only thing that is summed up in order.
-    order = [F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), F.regexp_extract("file", r"-c(\d+)", 1).cast("long")]
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn(
-        "base", F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    # One row for each file; sums run within blocks of writing tasks, and over the blocks.
+    part, chunk = (F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)"))
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(part / BLOCK_TASKS))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = files.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(W.orderBy("block")).alias("base"))
+    totals = (
+        files.withColumn("inside", before(W.partitionBy("block").orderBy(part, chunk))).join(blocks, "block")
+        .select("file", (F.col("base") + F.col("inside")).alias("base"))
     )
-    return index.join(totals.select("file", F.coalesce("base", F.lit(0)).alias("base")), "file").select(
+    return index.join(totals, "file").select(
         "file", "at", "size", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
 
