@@ -28,8 +28,8 @@ from emberlog.llm.tokens import Encoder
 
 SEQUENCE = 1024
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
-#: Ranks within a length are counted in so many separate groups, so that no task ranks a frequent length alone.
-RANK_GROUPS = 64
+#: Ranks within a length are counted in groups of about GROUP_ROWS pieces, or larger ones where there would be more than MOST_GROUPS, so that no task ranks a frequent length alone.
+GROUP_ROWS, MOST_GROUPS = 2_000, 50_000
 
 
 def cut(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -114,16 +114,21 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = SE
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(by_slice(run), schema)
 
 
-def pack(found: DataFrame, most: int = SEQUENCE, groups: int = RANK_GROUPS) -> DataFrame:
+def pack(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
     """found (doc_id, piece, length at least, computed once) with sequence_id and offset added."""
     spark = found.sparkSession
-    keyed = found.withColumn("rank_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
-    # At most groups * most rows, whatever the input.
-    sizes = keyed.groupBy("length", "rank_group").agg(F.count("*").alias("n")).collect()
-    counts, base = np.zeros(most + 1, np.int64), []
-    for r in sorted(sizes):
-        base.append((r["length"], r["rank_group"], int(counts[r["length"]])))
-        counts[r["length"]] += r["n"]
+    counts = np.zeros(most + 1, np.int64)
+    for r in found.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most as many rows as lengths
+        counts[r["length"]] = r["n"]
+    rows = max(GROUP_ROWS, int(counts.sum()) // MOST_GROUPS)
+    groups = [(n, int(c) // rows + 1) for n, c in enumerate(counts.tolist()) if c]
+    groups = F.broadcast(spark.createDataFrame(groups, "length long, rank_groups int"))
+    own = F.pmod(F.xxhash64("doc_id", "piece"), F.col("rank_groups")).cast("int")
+    keyed = found.join(groups, "length").withColumn("rank_group", own)
+    seen, base = np.zeros(most + 1, np.int64), []
+    for r in sorted(keyed.groupBy("length", "rank_group").agg(F.count("*").alias("n")).collect()):  # at most MOST_GROUPS more
+        base.append((r["length"], r["rank_group"], int(seen[r["length"]])))
+        seen[r["length"]] += r["n"]
     given, slots, sequence = np.zeros(most + 1, np.int64), [], 0
     for lengths, times in plan(counts, most):
         offset = 0
@@ -132,7 +137,7 @@ def pack(found: DataFrame, most: int = SEQUENCE, groups: int = RANK_GROUPS) -> D
             given[n] += times
             offset += n
         sequence += times
-    # Both tables are bounded by the sequence length, not by the input.
+    # Both tables are bounded by the sequence length and MOST_GROUPS, not by the input.
     base = F.broadcast(spark.createDataFrame(base, "length long, rank_group int, base long"))
     slots = F.broadcast(spark.createDataFrame(slots, "slot_length long, low long, high long, sequence long, offset long"))
     ranked = (
