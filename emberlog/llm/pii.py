@@ -1,7 +1,7 @@
 """Pseudonyms for personal data that keep its format.
 
-Numbers and dates that pass their validation (Luhn sum, calendar, octets,
-number plans) are permuted within all values of their format by a keyed
+Numbers and dates that pass their validation (Luhn sum, remainders of
+account numbers, calendar, octets, number plans) are permuted within all values of their format by a keyed
 Feistel network: the pseudonym is valid too, equal values get equal
 pseudonyms in all documents, and different values different ones. A value is
 a pair (l, r) below (a, b); a round adds a keyed hash of one half to the
@@ -27,6 +27,7 @@ _PATTERN = "|".join(
     [
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+",
+        r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)|(?<!\d)\d{4}/\d{2}/\d{2}(?!\d)|(?<!\d)\d{2}\.\d{2}\.\d{4}(?!\d)|(?<!\d)\d{2}/\d{2}/\d{4}(?!\d)",
         r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -51,6 +52,16 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + F.when(x["twice"], x["d"] * 2 - F.when(x["d"] > 4, 9).otherwise(0)).otherwise(x["d"]))
 
 
+def _mod97(code: Column) -> Column:
+    """The remainder of an account number, letters counting from 10."""
+    number = F.array_join(F.transform(F.split(code, ""), lambda c: F.conv(c, 36, 10)), "")
+    return F.aggregate(F.split(number, ""), F.lit(0), lambda s, d: (s * 10 + d.cast("int")) % 97)
+
+
+def _compact(m: Column) -> Column:
+    return F.replace(m, F.lit(" "), F.lit(""))
+
+
 def _date(m: Column) -> Column:
     """The date that m is, or null; of two numbers before a slash and a year, the one over 12 is the day, else the first."""
     us = F.substring(m, 4, 2).cast("int") > 12
@@ -90,6 +101,7 @@ def _kind(m: Column, digits: Column) -> Column:
     ten = F.right(digits, F.lit(10))
     return (
         F.when(m.contains("@"), F.when(F.length(_local(m)) > 0, F.lit("email")))
+        .when(m.rlike(r"^[A-Z]{2}\d\d ?[A-Z0-9]{4}"), F.when(_mod97(F.concat(F.substring(_compact(m), 5, 40), F.substring(_compact(m), 1, 4))) == 1, F.lit("iban")))
         .when(m.rlike(r"^[A-Za-z]"), F.lit("secret"))
         .when(m.rlike(r"^(\d{4}-\d\d-|\d{4}/\d\d/|\d\d\.\d\d\.\d{4}|\d\d/)"), F.when((day >= F.lit(FIRST_DAY)) & (day < F.lit("2100-01-01")), F.lit("date")))
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(octets, F.lit("ip")))
@@ -132,6 +144,7 @@ def _value(x: Column) -> Column:
         .when(kind == "phone", pair(F.substring(ten, 1, 3).cast("long") - 200, line, F.lit(800), F.lit(800 * 10000)))
         .when(kind == "number", halves(F.right(digits, F.lit(7)), 10))
         .when(kind == "card", halves(F.substring(digits, F.lit(2), n - 2), 10))
+        .when(kind == "iban", halves(F.substring(digits, F.lit(3), n), 10))
     )
 
 
@@ -193,8 +206,13 @@ def _pseudonym(x: Column, key: str) -> Column:
     number = F.concat(F.substring(digits, F.lit(1), n - 7), halves(F.right(digits, F.lit(7)), 10))
     payload = F.concat(F.substring(digits, 1, 1), halves(F.substring(digits, F.lit(2), n - 2), 10))
     card = F.concat(payload, F.pmod(10 - _luhn(F.concat(payload, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+    account = _laid_out(halves(F.substring(digits, F.lit(3), n), 10), F.substring(_compact(m), 5, 40), "[0-9]")
+    country = F.substring(m, 1, 2)
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    iban = _laid_out(F.concat(country, check, account), m, "[A-Z0-9]")
     return (
         F.when(kind == "email", named)
+        .when(kind == "iban", iban)
         .when(kind == "secret", secret)
         .when(kind == "date", _date_text(day, m))
         .when(kind == "ip", octets)

@@ -270,6 +270,7 @@ def test_pseudonyms(spark):
     rows = [
         (1, "card 4041894974608795 or 4041 8949 7460 8795, not 4041894974608796"), (2, "born 1984-02-29 or 29.02.1984, not 1985-02-29"), (3, "ip 8.8.4.4 and 300.1.1.1"),
         (4, "me.Too42@mail.example.com, +1 (988) 555-2485"), (5, None), (6, ""), (6, ""), (7, 'token = "be8a8e7152a5c568"'), (None, "ip 8.8.4.4"), (8, "ssn 123-45-6789"),
+        (9, "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not DE88370400440532013000"),
     ]
     out = [(r.doc_id, r.text, r.pii_kinds) for r in pii.pseudonymize(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, pii_kinds string")).collect()]
     of = {i: t for i, t, _ in out}
@@ -280,7 +281,11 @@ def test_pseudonyms(spark):
     assert "8.8.4.4" not in of[3] and "300.1.1.1" in of[3] and of[None] == of[3].split(" and")[0]
     assert re.fullmatch(r"[a-z0-9]{2}\.[a-z0-9]{5}@mail\.example\.com, \+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", of[4])
     assert of[5] is None and of[6] == "" and re.fullmatch(r'token = "[0-9a-f]{16}"', of[7]) and re.fullmatch(r"ssn \d{3}-\d\d-\d{4}", of[8])
-    assert sorted(len(k) for _, _, k in out) == [0, 0, 0, 1, 1, 1, 1, 2, 2, 2]
+    spaced, plain, bad = re.search(r"(DE\d\d(?: \d{4}){4} \d\d) and (GB\d\dWEST\d{14}), not (\S+)", of[9]).groups()
+    for x in (spaced.replace(" ", ""), plain):
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert spaced != "DE89 3704 0044 0532 0130 00" and plain[8:] != "12345698765432" and bad == "DE88370400440532013000"
+    assert sorted(len(k) for _, _, k in out) == [0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2]
 
 
 def test_pseudonyms_permute(spark):
