@@ -299,3 +299,22 @@ def patch(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
 
 def short(text: Column, n: int = 200) -> Column:
     return T.cut(text, n)
+
+
+def regression_text(service: Column, kind: Column, delta: Column) -> Column:
+    """The one-line explanation of a regression without a model; delta is a share."""
+    return F.format_string("%s: %s — error rate increased %.1f%% post-deploy.", service, kind, F.round(delta * 100, 1))
+
+
+def list_rows(df: DataFrame, order: list[Column], limit: int, **filters: object) -> DataFrame:
+    """The first rows in order, filtered by those columns whose value is given."""
+    for name, value in filters.items():
+        if value is not None:
+            df = df.where(F.col(name) == F.lit(value))
+    return df.orderBy(*order).limit(limit)
+
+
+def enrich_reports(reports: DataFrame, alerts: DataFrame, services: DataFrame) -> DataFrame:
+    """reports (report_id, alert_id) with their alert's score and service's name; reports without either go."""
+    joined = reports.join(alerts.select("alert_id", "service_id", "risk_score"), "alert_id", "left").join(services.select("service_id", "name"), "service_id", "left")
+    return joined.where(F.col("risk_score").isNotNull() & F.col("name").isNotNull()).select("report_id", "alert_id", "name", "risk_score")

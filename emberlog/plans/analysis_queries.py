@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.functions import vectors as V
+from emberlog.functions.providers import with_completion
 from emberlog.operators import errors as E
 from emberlog.operators import incidents as I  # noqa: E741
 from emberlog.operators import parsing as P
@@ -364,3 +364,22 @@ def alert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _snapshots(spark, sf_dir).where("risk_score >= 60")
     tier, score = S.risk_tier(F.col("risk_score")), F.round("risk_score", 1)
     return s.select("id", S.alert_text(F.col("service_name"), score, tier, F.lit(None).cast("string"), score, F.lit(0.0)).alias("ai_text"), S.threshold_text(F.col("service_name"), score, tier).alias("plain_text"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS a, CASE WHEN vec_id % 10 = 0 THEN [0.0::DOUBLE FOR x IN embedding] ELSE lag([x::DOUBLE FOR x IN embedding]) OVER (ORDER BY vec_id) END AS b FROM embeddings)
+SELECT vec_id, CASE WHEN list_dot_product(b, b) > 0 THEN round({cos('a', 'b')}, 6) ELSE 0.0 END::DOUBLE AS dedup, CASE WHEN list_dot_product(b, b) > 0 THEN round({cos('a', 'b')}, 6) ELSE 1.0 END::DOUBLE AS drift,
+CASE WHEN list_dot_product(b, b) > 0 THEN round(1 - {cos('a', 'b')}, 6) ELSE 1.0 END::DOUBLE AS distance FROM p""")
+def cosine_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the one before; every tenth partner is the zero vector, for which the three uses differ."""
+    v = D.read(spark, sf_dir, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("a"))
+    before = v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("a").alias("b"))
+    pairs = v.join(before, "vec_id", "left").withColumn("b", F.when(F.col("vec_id") % 10 == 0, F.transform("a", lambda x: F.lit(0.0))).otherwise(F.col("b")))
+    a, b = F.col("a"), F.col("b")
+    return pairs.select("vec_id", F.round(V.cosine(a, b), 6).alias("dedup"), F.round(V.cosine(a, b, 1.0), 6).alias("drift"), F.round(V.cosine_distance(a, b), 6).alias("distance"))
+
+
+@query("""SELECT item_id, 'stub ' || substr(md5('Label: ' || text), 1, 8) AS label FROM benchmark""")
+def provider_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster labels from the stub provider, with the cut message as fallback."""
+    b = D.read(spark, sf_dir, "benchmark").select("item_id", "text")
+    return with_completion(b, F.concat(F.lit("Label: "), "text"), E.auto_label(F.col("text")), out="label").select("item_id", "label")

@@ -230,3 +230,40 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         "resolved_at": none, "affected_services": F.lit("svc-1, svc-2"), "created_at": F.lit("2024-01-31"), **dict.fromkeys(I.REPORT_SECTIONS, none), "summary": F.col("c_name"),
     }
     return D.read(spark, sf_dir, "customer").select("c_custkey", I.report_markdown(report).alias("markdown"))
+
+
+@query(f"""{BASE}, {D.DEPLOYMENTS}, r AS (SELECT d.id, d.service_name, count(*) FILTER (WHERE e."timestamp" >= deployed_at - INTERVAL 6 HOURS AND e."timestamp" < deployed_at) AS b,
+count(*) FILTER (WHERE e."timestamp" >= deployed_at AND e."timestamp" <= deployed_at + INTERVAL 6 HOURS) AS h FROM deployments d JOIN errs e ON d.service_name = e.service_name GROUP BY ALL),
+f AS (SELECT id, service_name, round((round(h / 6, 4) - round(b / 6, 4)) / round(b / 6, 4), 4) AS d FROM r WHERE b > 0 AND h > 0)
+SELECT id, service_name || ': error_rate_increase — error rate increased ' || printf('%.1f', round(d * 100, 1)) || '% post-deploy.' AS explanation FROM f WHERE d >= 0.5""")
+def regression_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = I.rate_regressions(D.logs(spark, sf_dir), D.deployments(spark, sf_dir), 6)
+    return r.select("id", I.regression_text(F.col("service_name"), F.lit("error_rate_increase"), F.col("delta")).alias("explanation"))
+
+
+@query(f"""WITH {L} SELECT id, "timestamp", severity, service_name FROM logs WHERE severity = 'CRITICAL' AND environment = 'prod' ORDER BY "timestamp" DESC, id DESC LIMIT 100""")
+def filtered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional filters apply only where a value is given."""
+    rows = I.list_rows(D.logs(spark, sf_dir), [F.desc("timestamp"), F.desc("id")], 100, severity="CRITICAL", service_name=None, environment="prod")
+    return rows.select("id", "timestamp", "severity", "service_name")
+
+
+@query(f"""WITH {L}, {D.SERVICES}, al AS (SELECT id AS alert_id, service_name AS service_id, duration_ms AS risk_score FROM logs WHERE id % 5 = 0)
+SELECT o_orderkey AS report_id, al.alert_id, name, risk_score FROM orders JOIN al ON o_orderkey = al.alert_id JOIN services s ON s.service_id = al.service_id""")
+def report_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = D.logs(spark, sf_dir).where(F.col("id") % 5 == 0).select(F.col("id").alias("alert_id"), F.col("service_name").alias("service_id"), F.col("duration_ms").alias("risk_score"))
+    reports = D.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderkey").alias("alert_id"))
+    return I.enrich_reports(reports, alerts, D.services(spark, sf_dir))
+
+
+@query(f"""WITH {L} SELECT service_name, count(DISTINCT severity) AS severities, list_aggregate(list_sort(list(DISTINCT environment)), 'string_agg', ',') AS environments FROM logs GROUP BY service_name""")
+def affected_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.logs(spark, sf_dir).groupBy("service_name").agg(
+        F.countDistinct("severity").alias("severities"), F.array_join(F.array_sort(F.collect_set("environment")), ",").alias("environments")
+    )
+
+
+@query(f"""WITH {L} SELECT id, extra_fields FROM logs WHERE CAST(json_extract_string(extra_fields, '$.k') AS INT) = 42 AND hour("timestamp") = 7 AND isodow("timestamp") <= 5""")
+def json_and_time_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = D.logs(spark, sf_dir).where((F.get_json_object("extra_fields", "$.k").cast("int") == 42) & (F.hour("timestamp") == 7) & (F.weekday("timestamp") <= 4))
+    return own.select("id", "extra_fields")

@@ -11,8 +11,6 @@ from emberlog.operators import parsing as P
 from emberlog.plans.domain import LOGS, as_of, logs, read
 from emberlog.sources import readers, sinks
 
-PARTS = """p AS (SELECT event_id AS id, ts, user_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type FROM events)"""
-
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line in one of eight forms for each event."""
