@@ -318,3 +318,9 @@ def enrich_reports(reports: DataFrame, alerts: DataFrame, services: DataFrame) -
     """reports (report_id, alert_id) with their alert's score and service's name; reports without either go."""
     joined = reports.join(alerts.select("alert_id", "service_id", "risk_score"), "alert_id", "left").join(services.select("service_id", "name"), "service_id", "left")
     return joined.where(F.col("risk_score").isNotNull() & F.col("name").isNotNull()).select("report_id", "alert_id", "name", "risk_score")
+
+
+def draft_premortems(alerts: DataFrame) -> DataFrame:
+    """A draft for each critical alert (id, service_name, risk_score, risk_tier, matched_pattern, autonomy_tier), unless its tier only observes."""
+    own = alerts.where((F.col("risk_tier") == "critical") & (F.col("autonomy_tier") != "observe"))
+    return own.select("id", F.lit("draft").alias("status"), premortem_text(F.col("service_name"), F.col("risk_score"), F.col("risk_tier"), F.col("matched_pattern")).alias("body"))

@@ -383,3 +383,11 @@ def provider_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster labels from the stub provider, with the cut message as fallback."""
     b = D.read(spark, sf_dir, "benchmark").select("item_id", "text")
     return with_completion(b, F.concat(F.lit("Label: "), "text"), E.auto_label(F.col("text")), out="label").select("item_id", "label")
+
+
+@query(f"""WITH {SNAP} SELECT id, 'draft' AS status, '# Pre-mortem: ' || service_name || chr(10) || chr(10) || '**Risk score:** ' || {_fixed('risk_score', 1)} || ' (critical)' || chr(10) || chr(10)
+|| '**Matched pattern:** p' || (id % 4) || chr(10) || chr(10) || '## Likely failure' || chr(10) || chr(10) || 'Review the signals above before the next change.' || chr(10) AS body FROM snaps WHERE risk_score >= 80 AND id % 3 <> 0""")
+def premortem_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _snapshots(spark, sf_dir).withColumn("risk_tier", S.risk_tier(F.col("risk_score"))).withColumn("risk_score", F.round("risk_score", 1))
+    tier = F.when(F.col("id") % 3 == 0, "observe").when(F.col("id") % 3 == 1, "propose").otherwise("auto")
+    return I.draft_premortems(s.withColumn("autonomy_tier", tier).withColumn("matched_pattern", F.concat(F.lit("p"), F.col("id") % 4)))
