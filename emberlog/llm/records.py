@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,6 +102,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def file_place(file: Column) -> tuple[Column, Column]:
+    """The writing task and its file's number; the name's middle is random and may look like either."""
+    return F.regexp_extract(file, r"^part-(\d+)", 1).cast("long"), F.regexp_extract(file, r"-c(\d+)\.\w+$", 1).cast("long")
+
+
 def build_index(spark: SparkSession, path: str) -> DataFrame:
     """Reads all record files under path, checks every record and returns file, at (offset), size (bytes), doc_id, start (ids of all records before it), n_tokens, ids_crc32."""
 
@@ -121,7 +126,7 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     schema = "file string, at long, size long, doc_id long, before long, n_tokens long, ids_crc32 long"
     index = stored(_files(spark, path).mapInArrow(scan, schema), "record-index")
     # One row for each file; sums run within blocks of writing tasks, and over the blocks.
-    part, chunk = (F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)"))
+    part, chunk = file_place(F.col("file"))
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(part / BLOCK_TASKS))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = files.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(W.orderBy("block")).alias("base"))

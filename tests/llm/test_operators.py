@@ -147,6 +147,11 @@ def test_frames_find_damage():
             list(records.frames(raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]))
 
 
+def test_file_names_with_misleading_middles(spark):
+    names = spark.createDataFrame([("part-00012-0aa1-c123-part-77-c000.txt",), ("part-00012-0aa1-c123-part-77-c010.txt",)], "file string")
+    assert [tuple(r) for r in names.select(*records.file_place(F.col("file"))).collect()] == [(12, 0), (12, 10)]
+
+
 def test_records_of_nothing(spark, empty, tmp_path):
     path = f"file://{tmp_path}/none"
     records.write_records(empty, path, public_tokenizers.path("word_bpe_49k.json"))
