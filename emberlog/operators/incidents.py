@@ -286,9 +286,8 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, filters: li
     """One page of the filtered rows in order, with the number of all of them in total_rows. The order ends in a unique column."""
     for f in filters:
         df = df.where(f)
-    total = df.agg(F.count("*").alias("total_rows"))
-    rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    return rows.join(F.broadcast(total), F.lit(True))
+    total = df.agg(F.count("*")).scalar()
+    return df.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total_rows", total)
 
 
 def patch(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
