@@ -9,7 +9,7 @@ once, and lane words in which all distances exceed the radius are left.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,17 +32,19 @@ _PAIRS = 1 << 16
 _U = np.uint64
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, width: int = 1) -> np.ndarray:
-    """width 64-bit words. A bit is 1 if over half of the shingles' hashes have it; the first word takes XXH64 with seed 42, the others mixes of it."""
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle, repeats included; fewer words make one, none make none."""
     words = text.lower().split()  # of bytes: A-Z only, and white space is \x20 and \x09-\x0D
-    if not words:
-        return np.zeros(width, _U)
     if len(words) < shingle:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles], dtype="<u8")
+    return np.array([digest(s, 42) for s in shingles], dtype="<u8")
+
+
+def _majority(h: np.ndarray, width: int = 1) -> np.ndarray:
+    """width 64-bit words. A bit is 1 if over half of the hashes have it; the first word takes the hashes, the others mixes of them."""
     counts = np.zeros(64 * width, np.int64)
     for k in range(0, len(h), 1 << 13):
         part = h[k : k + (1 << 13), None]
@@ -52,6 +54,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, width: int = 1) -> np.ndarr
     return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    return _majority(_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a long) for each row of docs; a null text has no words."""
     schema = docs.select("doc_id").schema.add("fp", "long")
@@ -84,7 +90,14 @@ def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def compare(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indexes of fingerprints (n x words) at most radius bits apart that share a bucket; rows of a bucket stand together."""
+    """All that compared() gives."""
+    found = list(compared(fps, bucket, radius))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
+
+
+def compared(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of indexes (the second is smaller) of fingerprints (n x words) at most radius bits apart that share a bucket; rows of a bucket stand together."""
     n, n_bits = len(fps), 64 * fps.shape[1]
     first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
     start = np.flatnonzero(first)
@@ -106,7 +119,6 @@ def compare(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[
     per = place // 64 + 1
     queries = np.repeat(np.arange(n), per)
     targets = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(at_word[b], per)
-    left, right = [], []
     step = 4 if radius < 8 else 16
     for k in range(0, len(queries), _PAIRS):
         q, w = queries[k : k + _PAIRS], targets[k : k + _PAIRS]
@@ -136,10 +148,7 @@ def compare(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[
             row, bit = np.nonzero(near)
             other = heads[w[row]] + bit
             go = other < q[row]
-            left.append(q[row][go])
-            right.append(other[go])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none)
+            yield q[row][go], other[go]
 
 
 def _roots(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
@@ -156,21 +165,15 @@ def _roots(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def _sorted_links(radius: int):
-    """For mapInArrow over rows (parts of the bucket's key, then the fingerprint: long or binary) that are sorted by bucket: whole buckets, many at a time."""
+def _by_bucket(n_key: int, act: Callable[[np.ndarray, list[np.ndarray]], Iterator[pa.RecordBatch]]):
+    """For mapInArrow over rows whose first n_key columns are their bucket's key, sorted by it: act gets whole buckets, many at a time, as their numbers and all columns."""
 
-    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        *key, fp = (np.concatenate(h) for h in held)
-        new = np.zeros(len(fp), bool)
-        for k in key:
+    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(h) for h in held]
+        new = np.zeros(len(columns[0]), bool)
+        for k in columns[:n_key]:
             new[1:] |= k[1:] != k[:-1]
-        words = fp.view(_U).reshape(len(fp), -1)
-        root = _roots(words, np.cumsum(new), radius)
-        linked = np.flatnonzero(root != np.arange(len(fp)))
-        # a wide fingerprint's name is its hash
-        name = words[:, 0] if words.shape[1] == 1 else np.array([xxhash.xxh64_intdigest(w.tobytes(), 42) for w in words], _U)
-        a, b = name[linked].view(np.int64), name[root[linked]].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return act(np.cumsum(new), columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -183,29 +186,41 @@ def _sorted_links(radius: int):
                 columns[-1] = np.frombuffer(b"".join(columns[-1]), f"V{size}")
             n = batch.num_rows
             last, goes_on = np.ones(n, bool), bool(held)
-            for i, c in enumerate(columns[:-1]):
+            for i, c in enumerate(columns[:n_key]):
                 last &= c == c[-1]
                 goes_on = goes_on and held[i][-1][-1] == c[0]
             cut = n - int(last.sum())
             if held and not goes_on:
-                yield flush(held)
+                yield from flush(held)
                 held = []
             if held:
                 for h, c in zip(held, columns, strict=True):
                     h.append(c[:cut] if cut else c)
                 if cut:
-                    yield flush(held)
+                    yield from flush(held)
                     held = [[c[cut:]] for c in columns]
             else:
                 if cut:
-                    yield flush([[c[:cut]] for c in columns])
+                    yield from flush([[c[:cut]] for c in columns])
                 held = [[c[cut:]] for c in columns]
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 
 
+def _forest(radius: int):
+    """For _by_bucket: the links of a forest of each bucket's fingerprints (the last column)."""
+
+    def act(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        fp = columns[-1]
+        root = _roots(fp.view(_U).reshape(-1, 1), bucket, radius)
+        linked = np.flatnonzero(root != np.arange(len(fp)))
+        yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], names=["a", "b"])
+
+    return act
+
+
 def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """a, b: links that connect the distinct values of fps.fp as all pairs at most radius bits apart do, no more than a few for each value.
 
@@ -237,7 +252,7 @@ def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) ->
         cold.select(*key, "fp").unionByName(hot.select(*key, "fp").distinct())
         .repartition(tasks(fps), *key).sortWithinPartitions(*key)
     )
-    return dealt.mapInArrow(_sorted_links(radius), "a long, b long").distinct()
+    return dealt.mapInArrow(_by_bucket(2, _forest(radius)), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -263,13 +278,15 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     )
 
 
-# Near copies that share most of their words rather than all: wide fingerprints, compared where they agree in sampled bits.
+# Near copies that share most of their words rather than all: wide fingerprints of the sets of shingles find candidates, the sets decide.
 
-WIDE, WIDE_SHINGLE = 4, 5
-#: Of 256 bits 39 differ on average if two texts share 0.8 of their shingles; the deviation is 6.
-WIDE_RADIUS = 48
-#: Bands of sampled bits: two such texts agree in one of them with a probability of 0.97.
-BANDS, BAND_BITS = 64, 18
+WIDE, WIDE_SHINGLE, SIMILARITY = 4, 5, 0.8
+#: Of 256 bits 39 differ on average if two sets share 0.8 of their shingles; the deviation is 6. Nodes within CLOSE are tried first.
+WIDE_RADIUS, CLOSE = 60, 36
+#: Bands of sampled bits: two sets that differ in 39 bits agree in one of them with a probability of 0.99.
+BANDS, BAND_BITS = 96, 18
+#: Pairs of a node that are checked together.
+_TOGETHER = 7
 
 
 def _band_bits() -> np.ndarray:
@@ -277,53 +294,159 @@ def _band_bits() -> np.ndarray:
     return np.array([rng.choice(64 * WIDE, BAND_BITS, replace=False) for _ in range(BANDS)])
 
 
+def _name(shingles: np.ndarray) -> int:
+    """A set of shingles by the hash of its hashes."""
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 42))
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """doc_id, text_hash, fp (binary), node (its hash), keys (its bits in each band)."""
+    """doc_id, text_hash, node (the name of its set of shingles), fp (of the set; binary), keys (its bits in each band)."""
     bits, powers = _band_bits(), 1 << np.arange(BAND_BITS)
     schema = docs.select("doc_id").schema
-    for name, kind in (("text_hash", "long"), ("fp", "binary"), ("node", "long")):
+    for name, kind in (("text_hash", "long"), ("node", "long"), ("fp", "binary")):
         schema = schema.add(name, kind)
     schema = schema.add("keys", T.ArrayType(T.IntegerType()))
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, shingle, WIDE) for t in texts])
+        sets = [np.unique(_hashes(t, shingle)) for t in texts]
+        fps = np.array([_majority(h, WIDE) for h in sets])
         spread = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
         keys = (spread[:, bits] @ powers).astype(np.int32)
-        raw = [f.tobytes() for f in fps]
-        node = np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], _U).view(np.int64)
         offsets = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
-        columns = [pa.array(raw, pa.binary()), pa.array(node), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))]
+        columns = [
+            pa.array([_name(h) for h in sets], pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+        ]
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=schema.names)
 
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     return own.mapInArrow(by_slice(run), schema)
 
 
-def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """a, b: links between nodes whose fingerprints agree in a band and differ in radius bits at most, or that connect the same.
+def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """node, shingles (distinct hashes) of the texts of docs that rows names (doc_id, text_hash), one row for each node."""
+
+    def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        sets = [np.unique(_hashes(t, shingle)) for t in texts]
+        columns = [pa.array([_name(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
+
+    named = rows.select(F.col("doc_id").alias("own_id"), "text_hash")
+    same = docs["doc_id"].eqNullSafe(named["own_id"]) & (F.xxhash64(docs["text"]) == named["text_hash"])
+    texts = docs.join(named, same, "left_semi").select(F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(by_slice(run), "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def _pairs(node: np.ndarray, band: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Pairs of rows as nodes, the larger first, each side with a part that no more than a few of the node's pairs share."""
+    swap = node[x] < node[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    columns = []
+    for side in (x, y):
+        of = node[side]
+        order = np.argsort(of, kind="stable")
+        start = np.concatenate([[True], of[order][1:] != of[order][:-1]])[: len(of)]
+        rank = np.empty(len(of), np.int64)
+        rank[order] = np.arange(len(of)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+        columns += [pa.array(of), pa.array((band[side].astype(np.int64) << 32) + (rank >> _TOGETHER))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "a_part", "b", "b_part"])
+
+
+def _nearest(radius: int, close: int):
+    """For _by_bucket: each node with a candidate in its bucket, and the first of them, close ones before others."""
+
+    def act(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        band, node, fp = columns[0], columns[5], columns[-1]
+        n, words = len(fp), fp.view(_U).reshape(len(fp), -1)
+        best = np.full(n, 2 * n)
+        for a, b in compared(words, bucket, radius):
+            later = n * (np.bitwise_count(words[a] ^ words[b]).sum(1) > close)
+            np.minimum.at(best, a, b + later)
+            np.minimum.at(best, b, a + later)
+        x = np.flatnonzero(best < 2 * n)
+        yield _pairs(node, band, x, best[x] % n)
+
+    return act
+
+
+def _apart(radius: int):
+    """For _by_bucket: the pairs of nodes of different classes, each in the first band in which they agree."""
+    masks = np.zeros((BANDS, 64 * WIDE), np.uint8)
+    np.put_along_axis(masks, _band_bits(), 1, axis=1)
+    masks = np.packbits(masks, axis=1, bitorder="little").view(_U)
+
+    def act(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        band, _, i, j, tile, node, of, fp = columns
+        words = fp.view(_U).reshape(len(fp), -1)
+        for a, b in compared(words, bucket, radius):
+            go = (of[a] != of[b]) & ((i[a] == j[a]) | (tile[a] != tile[b]))
+            a, b = a[go], b[go]
+            differ, first = words[a] ^ words[b], np.ones(len(a), bool)
+            for k, mask in enumerate(masks):
+                first &= (k >= band[a]) | (differ & mask).any(axis=1)
+            yield _pairs(node, band, a[first], b[first])
+
+    return act
 
-    A bucket of more than hot_bucket different fingerprints is split into
-    tiles, and every pair of tiles is a bucket of its own, so no task compares more than 2 * hot_bucket.
+
+def _dealt(nodes: DataFrame, hot_bucket: int) -> DataFrame:
+    """band, key, i, j, tile, node, class, fp: nodes by bucket.
+
+    A bucket of more than hot_bucket nodes is split into tiles, and every
+    pair of tiles i, j is a bucket of its own, so no task compares more than 2 * hot_bucket.
     """
-    every = fps.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.posexplode("keys").alias("band", "key"))
+    every = nodes.select("node", "class", "fp", F.posexplode("keys").alias("band", "key"))
     hot = every.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket)
     hot = stored(hot.select("band", "key", F.ceil(F.col("n") / hot_bucket).cast("int").alias("tiles")), "hot-buckets")
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles") - 1, F.lit(0))))
     tiled = (
         every.join(hot, ["band", "key"], "left")
-        .withColumn("tile", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int"))
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int"))
         .withColumn("other", other)
-        .select("band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp")
+        .select("band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "class", "fp")
     )
     key = ["band", "key", "i", "j"]
-    dealt = tiled.repartition(tasks(fps), *key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(_sorted_links(radius), "a long, b long").distinct()
+    return tiled.repartition(tasks(nodes), *key).sortWithinPartitions(*key)
+
 
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs whose sets share so much of their union. A set meets its pairs part by part, so that no task gets all pairs of a node."""
+    for side in ("a", "b"):
+        key = [side, f"{side}_part"]
+        own = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+        pairs = pairs.join(pairs.select(*key).distinct().join(own, side), key)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b")
 
-def drop_near_copies(docs: DataFrame, radius: int = WIDE_RADIUS, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """The rows of docs without near copies: of each component of wide links one row stays, that with the smallest doc_id (null before others; of equal ids by the text's hash, of equal rows any)."""
+
+def wide_links(docs: DataFrame, fps: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, hot_bucket: int = HOT_BUCKET, radius: int = WIDE_RADIUS) -> DataFrame:
+    """a, b: pairs of nodes with a similarity of at least similarity that connect all such pairs of candidates.
+
+    Candidates agree in a band and differ in radius bits at most. First each
+    node is checked against one candidate of each bucket. The classes that
+    these links make take the place of their pairs: after that only pairs of
+    different classes are checked, all of them.
+    """
+    pair = "a long, a_part long, b long, b_part long"
+    nodes = fps.dropDuplicates(["node"]).withColumn("class", F.col("node"))
+    near = _dealt(nodes, hot_bucket).mapInArrow(_by_bucket(4, _nearest(radius, CLOSE)), pair)
+    parts = F.min(F.struct("a_part", "b_part")).alias("parts")
+    near = stored(near.groupBy("a", "b").agg(parts).select("a", "parts.a_part", "b", "parts.b_part"), "near")
+    met = stored(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "met")
+    rows = fps.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("row.*")
+    sets = stored(shingle_sets(docs, rows, shingle), "shingle-sets")
+    first = stored(similar(near, sets, similarity), "links")
+    classes = components(first)
+    unsettled = nodes.drop("class").join(met, "node", "left_semi").join(classes, "node", "left")
+    unsettled = stored(unsettled.withColumn("class", F.coalesce("component", "node")).drop("component"), "unsettled")
+    rest = stored(_dealt(unsettled, hot_bucket).mapInArrow(_by_bucket(4, _apart(radius)), pair), "apart")
+    return first.unionByName(stored(similar(rest, sets, similarity), "links"))
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """The rows of docs without near copies: of each component of wide links one row stays, that with the smallest doc_id (null before others; of equal ids by the text's hash, of equal rows any). Texts without words are copies of each other; a text of fewer words than a shingle has one of all its words."""
     fps = stored(wide_fingerprints(docs, shingle), "wide-fingerprints")
-    found = components(wide_links(fps, radius))
+    found = components(wide_links(docs, fps, similarity, shingle, hot_bucket))
     nodes = fps.groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     kept = (
         nodes.join(found, "node", "left")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -470,6 +471,42 @@ def test_bit_planes(radius):
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i in range(150) for j in range(i) if bucket[i] == bucket[j] and far(i, j) <= radius}
 
 
+def jaccard_components(rows):
+    sets = []
+    for _, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if group[i] != group[j] and (a == b or len(a & b) >= 0.8 * len(a | b)):
+            old, new = sorted((group[i], group[j]), reverse=True)
+            group = [new if g == old else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("hot", [4096, 8])
+def test_near_copies_by_sets(spark, hot):
+    """Groups of copies with one word in n changed, above and below the threshold, in the same buckets."""
+    rng = random.Random(8)
+    rows = [(None, words(70, 9000)), (900, ""), (901, None), (902, "two words"), (903, "Two  words"), (904, "two words more")]
+    for base, (every, copies) in enumerate([(60, 12), (25, 6), (20, 12), (12, 6), (400, 3)]):
+        start = words(240, 100 + base).split()
+        for _ in range(copies):
+            w = [f"new{rng.randrange(10**6)}" if rng.randrange(every) == 0 else x for x in start]
+            rows.append((len(rows), " ".join(w)))
+    rows += [rows[-1], (2000, rows[-1][1].upper())]
+    group = jaccard_components(rows)
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, node string, class string")
+    out = simhash.drop_near_copies(df, hot_bucket=hot)
+    assert out.columns == df.columns
+    found = [r.doc_id for r in out.collect()]
+    key = lambda x: (x is not None, x)
+    expected = [min((r[0] for r, g in zip(rows, group, strict=True) if g == c), key=key) for c in set(group)]
+    assert sorted(found, key=key) == sorted(expected, key=key)
+    assert simhash.drop_near_copies(df.limit(0)).count() == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     assert {r.node: r.component for r in components.components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
