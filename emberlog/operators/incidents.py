@@ -26,28 +26,35 @@ REPORT_SECTIONS = {
 # --- root causes
 
 
+def causes(logs: DataFrame) -> DataFrame:
+    """All errors and warnings of all services, in no order: id, timestamp, service, severity, message (300 characters)."""
+    own = logs.where(F.col("severity").isin(CAUSE_SEVERITIES))
+    return own.select("id", "timestamp", F.col("service_name").alias("service"), "severity", F.substring(F.coalesce("message", F.lit("")), 1, 300).alias("message"))
+
+
 def timeline(logs: DataFrame, services: list[str], start: Column, end: Column, limit: int | None = 200) -> DataFrame:
     """The first limit errors and warnings of services from start to end (both included): id, timestamp, service, severity, message (300 characters)."""
-    own = logs.where(F.col("severity").isin(CAUSE_SEVERITIES) & F.col("service_name").isin(services) & F.col("timestamp").between(start, end))
-    own = own.orderBy("timestamp", "id")
-    own = own.limit(limit) if limit else own
-    return own.select("id", "timestamp", F.col("service_name").alias("service"), "severity", F.substring(F.coalesce("message", F.lit("")), 1, 300).alias("message"))
+    own = causes(logs.where(F.col("service_name").isin(services) & F.col("timestamp").between(start, end))).orderBy("timestamp", "id")
+    return own.limit(limit) if limit else own
 
 
 def dependencies(events: DataFrame, lead: int = LEAD_SECONDS, ratio: float = LEAD_RATIO) -> DataFrame:
     """src, dst, lead_ratio: services whose events another service's events follow within lead seconds more often than ratio.
 
-    A range semi-join on time buckets of lead seconds: an event looks into
-    its own bucket and the next one, so the join is an equi-join whatever the number of services.
+    An event looks into its own time bucket of lead seconds and the next one.
+    Of a service's events in a bucket the last decides for events of the
+    same bucket, and the first for those of the bucket before, so an event
+    meets one row of each service, however many events follow it.
     """
     bucket = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / (lead * 1_000_000)).cast("long")
-    own = events.select("id", F.col("service").alias("src"), F.col("timestamp").alias("t"), bucket.alias("bucket"))
-    later = events.select(F.col("service").alias("dst"), F.col("timestamp").alias("u"), bucket.alias("slot"))
-    looks = own.withColumn("slot", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    follows = looks.join(later, "slot").where(
-        (F.col("src") != F.col("dst")) & (F.col("u") > F.col("t")) & (F.col("u") <= F.col("t") + F.expr(f"INTERVAL {lead} SECONDS"))
+    own = events.select(F.col("service").alias("src"), F.col("timestamp").alias("t"), bucket.alias("bucket"))
+    ends = events.groupBy(F.col("service").alias("dst"), bucket.alias("slot")).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    here, before = ends.select("dst", F.col("slot").alias("bucket"), "last"), ends.select("dst", (F.col("slot") - 1).alias("bucket"), "first")
+    later = here.join(before, ["dst", "bucket"], "full_outer")
+    follows = own.join(later, "bucket").where(
+        (F.col("src") != F.col("dst")) & ((F.col("last") > F.col("t")) | (F.col("first") <= F.col("t") + F.expr(f"INTERVAL {lead} SECONDS")))
     )
-    followed = follows.select("src", "dst", "id").distinct().groupBy("src", "dst").agg(F.count("*").alias("followed"))
+    followed = follows.groupBy("src", "dst").agg(F.count("*").alias("followed"))
     sizes = own.groupBy("src").agg(F.count("*").alias("n"))
     return followed.join(sizes, "src").where(F.col("followed") / F.col("n") > ratio).select("src", "dst", F.round(F.col("followed") / F.col("n"), 4).alias("lead_ratio"))
 

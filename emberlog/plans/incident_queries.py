@@ -53,18 +53,42 @@ def service_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.dependencies(_timeline(spark, sf_dir), 1800, 0.3)
 
 
-@query(f"""WITH {L}, {CAUSES}, {DEPS.format(lead=1800, ratio=0.45)}, st AS (SELECT service, count(*) AS n, min("timestamp") AS first_ts, arg_min(severity, ("timestamp", id)) AS severity, arg_min(message, ("timestamp", id)) AS message FROM tl GROUP BY ALL),
+CHAIN = """st AS (SELECT service, count(*) AS n, min("timestamp") AS first_ts, arg_min(severity, ("timestamp", id)) AS severity, arg_min(message, ("timestamp", id)) AS message FROM tl GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp", id) AS r FROM tl), ids AS (SELECT service, string_agg(id::VARCHAR, ',' ORDER BY r) AS supporting FROM rk WHERE r <= 5 GROUP BY ALL),
 im AS (SELECT src AS service, string_agg(DISTINCT dst, ', ' ORDER BY dst) AS impact FROM deps GROUP BY ALL), dn AS (SELECT DISTINCT dst AS service FROM deps)
 SELECT row_number() OVER (ORDER BY dn.service IS NOT NULL, first_ts, st.service)::INT AS step, st.service, CASE WHEN n > 5 THEN 'error_spike' ELSE 'new_error' END AS event_type, first_ts,
 n || ' ' || severity || ' event(s) starting at ' || strftime(first_ts, '%Y-%m-%dT%H:%M:%S') || '. First message: ' || substr(message, 1, 120) || CASE WHEN impact IS NOT NULL THEN ' [Downstream impact on: ' || impact || ']' ELSE '' END AS description,
-supporting, CASE WHEN dn.service IS NULL THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM st JOIN ids ON st.service = ids.service LEFT JOIN im ON st.service = im.service LEFT JOIN dn ON st.service = dn.service""")
+supporting, CASE WHEN dn.service IS NULL THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM st JOIN ids ON st.service = ids.service LEFT JOIN im ON st.service = im.service LEFT JOIN dn ON st.service = dn.service"""
+
+
+@query(f"WITH {L}, {CAUSES}, {DEPS.format(lead=1800, ratio=0.45)}, {CHAIN}")
 def causal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _timeline(spark, sf_dir)
+    return _chain(_timeline(spark, sf_dir))
+
+
+def _chain(events: DataFrame) -> DataFrame:
     c = I.causal_chain(events, I.dependencies(events, 1800, 0.45))
     return c.withColumn("supporting", F.array_join(F.transform("supporting_log_ids", lambda x: x.cast("string")), ",")).withColumn("confidence", F.col("confidence").cast("double")).drop("supporting_log_ids")
 
 
+# The same over the whole table: every service, no window, no limit.
+
+ALL_CAUSES = """tl AS (SELECT id, "timestamp", service_name AS service, severity, substr(coalesce(message, ''), 1, 300) AS message FROM logs WHERE severity IN ('ERROR', 'CRITICAL', 'FATAL', 'WARNING', 'WARN'))"""
+ALL_DEPS = """nn AS (SELECT service AS src, count(*) AS n FROM tl GROUP BY ALL), aa AS (SELECT a.service AS src, a."timestamp" AS t, d.src AS dst FROM tl a JOIN nn d ON a.service <> d.src),
+ff AS (SELECT aa.src, aa.dst, count(*) AS followed FROM aa ASOF JOIN tl b ON b.service = aa.dst AND aa.t < b."timestamp" WHERE b."timestamp" <= aa.t + INTERVAL {lead} SECONDS GROUP BY ALL),
+deps AS (SELECT ff.src, dst, round(followed / n, 4) AS lead_ratio FROM ff JOIN nn ON ff.src = nn.src WHERE followed / n > {ratio})"""
+
+
+@query(f"WITH {L}, {ALL_CAUSES}, {ALL_DEPS.format(lead=1800, ratio=0.3)} SELECT * FROM deps")
+def service_dependencies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.dependencies(I.causes(D.logs(spark, sf_dir)), 1800, 0.3)
+
+
+@query(f"WITH {L}, {ALL_CAUSES}, {ALL_DEPS.format(lead=1800, ratio=0.45)}, {CHAIN}")
+def causal_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(I.causes(D.logs(spark, sf_dir)))
+
+
 # --- deployments
 
 

@@ -5,6 +5,7 @@ import gzip
 import random
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from emberlog.operators import errors as E
 from emberlog.operators import incidents as I  # noqa: E741
 from emberlog.operators import parsing as P
 from emberlog.operators import signals as S
+from emberlog.plans import catalog
 from emberlog.sources import readers, sinks
 from emberlog.streaming import jobs
 
@@ -155,6 +157,38 @@ def test_dependencies_and_chain(spark):
     assert I.causal_chain(events.limit(0), edges.limit(0)).count() == 0
 
 
+def test_dependencies_of_all_events(spark):
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(seconds=rng.randrange(6000) if k % 3 else 10 * rng.randrange(600)), f"svc-{rng.choice([0, 0, 0, 1, 2, 5, 8])}", "ERROR", "m") for k in range(900)]
+    times = {s: sorted(r[1] for r in rows if r[2] == s) for s in {r[2] for r in rows}}
+    lead = dt.timedelta(seconds=30)
+    ratios = {(a, b): sum(any(t < u <= t + lead for u in times[b]) for t in times[a]) / len(times[a]) for a in times for b in times if a != b}
+    logs = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, service_name string, severity string, message string")
+    events = I.causes(logs)
+    found = {(r.src, r.dst): r.lead_ratio for r in I.dependencies(events, 30, 0.5).collect()}
+    assert found == {k: round(v, 4) for k, v in ratios.items() if v > 0.5} and 0 < len(found) < len(ratios)
+    chain = {r.service: r.description for r in I.causal_chain(events, I.dependencies(events, 30, 0.5)).collect()}
+    assert {s: int(d.split()[0]) for s, d in chain.items()} == {s: len(t) for s, t in times.items()}
+    # However many events follow, an event meets a service once.
+    burst = [(k, start + dt.timedelta(seconds=k % 30), f"svc-{k % 2}", "ERROR", "m") for k in range(4000)]
+    own = I.dependencies(I.causes(spark.createDataFrame(burst, logs.schema)), 30, 0.0)
+    assert {(r.src, r.dst) for r in own.collect()} == {("svc-0", "svc-1"), ("svc-1", "svc-0")}
+
+
+@pytest.mark.parametrize("name", ["service_dependencies_all", "causal_chain_all"])
+def test_root_causes_see_every_event(spark, name):
+    """At sf0.01 the services outside the four of the window count too."""
+    duck = duckdb.connect()
+    duck.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    found = duck.execute(catalog.SQL[name])
+    columns = [d[0] for d in found.description]
+    expected = sorted(map(str, found.fetchall()))
+    assert sorted(str(tuple(r)) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").select(*columns).collect()) == expected
+    if name == "causal_chain_all":
+        assert len(expected) == 10
+
+
 def test_weights_are_clamped_in_order(spark):
     rng = random.Random(3)
     rows, weight = [], 1.0
