@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from emberlog.functions import text as T
 from emberlog.operators.errors import ERROR_SEVERITIES
@@ -18,6 +23,7 @@ from emberlog.sources.sinks import payload
 
 #: Groups of a service that a message is compared with, its least similarity, the weight of a new vector.
 RECENT_GROUPS, SIMILARITY, ALPHA = 200, 0.85, 0.1
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def velocity(logs: DataFrame, late: str = "5 minutes", seconds: int = 60) -> DataFrame:
@@ -56,29 +62,92 @@ def fingerprint_counts(logs: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 class Groups:
-    """Semantic groups of one service, the most recent last: fingerprint, count and centroid of each."""
+    """Semantic groups of one service as (n, centroid) by fingerprint: the RECENT_GROUPS last used, the most recent last, and all others in older, a map with pop and put."""
 
-    def __init__(self, rows: list[dict] | None = None):
-        self.rows = rows or []
+    def __init__(self, older, recent: dict[str, tuple[int, list[float]]]):
+        self.older, self.recent = older, recent
 
     def add(self, print_: str, vector: np.ndarray) -> tuple[str, bool]:
-        """The group of a message: that of its fingerprint, else the most similar recent one, else a new one."""
-        found = next((g for g in self.rows if g["fingerprint"] == print_), None)
-        if found is None and self.rows and np.linalg.norm(vector) > 0:
-            centres = np.array([g["centroid"] for g in self.rows[-RECENT_GROUPS:]])
-            size = np.linalg.norm(centres, axis=1) * np.linalg.norm(vector)
-            similar = np.divide(centres @ vector, size, out=np.zeros(len(centres)), where=size > 0)
-            best = int(similar.argmax())
-            if similar[best] >= SIMILARITY:
-                found = self.rows[-RECENT_GROUPS:][best]
-        if found is None:
-            self.rows.append({"fingerprint": print_, "n": 1, "centroid": np.round(vector, 6).tolist()})
-            return print_, True
-        found["n"] += 1
-        found["centroid"] = np.round((1 - ALPHA) * np.array(found["centroid"]) + ALPHA * vector, 6).tolist()
-        self.rows.remove(found)
-        self.rows.append(found)
-        return found["fingerprint"], False
+        """The group of a message: that of its fingerprint among all groups, else the most similar recent one, else a new one."""
+        name = print_
+        group = self.recent.pop(name, None) or self.older.pop(name)
+        if group is None and (found := self._similar(vector)) is not None:
+            name, group = found, self.recent.pop(found)
+        if group is None:
+            self.recent[name] = (1, np.round(vector, 6).tolist())
+        else:
+            n, centroid = group
+            self.recent[name] = (n + 1, np.round((1 - ALPHA) * np.array(centroid) + ALPHA * vector, 6).tolist())
+        if len(self.recent) > RECENT_GROUPS:
+            last = next(iter(self.recent))
+            self.older.put(last, self.recent.pop(last))
+        return name, group is None
+
+    def _similar(self, vector: np.ndarray) -> str | None:
+        if not self.recent or not np.linalg.norm(vector) > 0:
+            return None
+        centres = np.array([c for _, c in self.recent.values()])
+        size = np.linalg.norm(centres, axis=1) * np.linalg.norm(vector)
+        similar = np.divide(centres @ vector, size, out=np.zeros(len(centres)), where=size > 0)
+        best = int(similar.argmax())
+        return list(self.recent)[best] if similar[best] >= SIMILARITY else None
+
+
+class _Older:
+    """Groups by fingerprint in a MapState, a row each."""
+
+    def __init__(self, state: MapState):
+        self.state = state
+
+    def pop(self, print_: str) -> tuple[int, list[float]] | None:
+        if not self.state.containsKey((print_,)):
+            return None
+        n, centroid = self.state.getValue((print_,))
+        self.state.removeKey((print_,))
+        return int(n), list(centroid)
+
+    def put(self, print_: str, group: tuple[int, list[float]]) -> None:
+        self.state.updateValue((print_,), group)
+
+
+def in_order(frames: Iterator[pd.DataFrame], block: int = 256) -> Iterator[tuple]:
+    """id, fingerprint, embedding of all rows by time and id (null times last). Each frame is a sorted run in a temporary file, read back a block at a time, so the rows are never in memory together."""
+
+    def run(blocks: list[int]) -> Iterator[tuple]:
+        for at in blocks:
+            f.seek(at)
+            yield from pickle.load(f)
+
+    with tempfile.TemporaryFile() as f:
+        runs = []
+        for b in frames:
+            b = b.assign(_at=b["timestamp"].astype("datetime64[us]").astype("int64").where(b["timestamp"].notna(), np.iinfo(np.int64).max)).sort_values(["_at", "id"])
+            rows = list(zip(b["_at"].tolist(), b["id"].tolist(), b["fingerprint"], b["embedding"], strict=True))
+            runs.append([])
+            for k in range(0, len(rows), block):
+                runs[-1].append(f.tell())
+                pickle.dump(rows[k : k + block], f)
+        for row in heapq.merge(*map(run, runs), key=lambda r: r[:2]):
+            yield row[1:]
+
+
+class _SemanticGroups(StatefulProcessor):
+    """All groups of a service: the recent ones in one value, the others in a map."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.older = _Older(handle.getMapState("older", "fingerprint string", "n long, centroid array<double>"))
+        self.recent = handle.getValueState("recent", "prints array<string>, counts array<long>, centroids array<array<double>>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        prints, counts, centres = self.recent.get() if self.recent.exists() else ([], [], [])
+        groups = Groups(self.older, {p: (int(n), list(c)) for p, n, c in zip(prints, counts, centres, strict=True)})
+        own = ((key[0], i, *groups.add(p, np.array(v, float))) for i, p, v in in_order(rows))
+        while some := list(islice(own, 10_000)):
+            yield pd.DataFrame(some, columns=["service_name", "id", "group_fingerprint", "is_new"])
+        self.recent.update((list(groups.recent), [n for n, _ in groups.recent.values()], [c for _, c in groups.recent.values()]))
+
+    def close(self) -> None:
+        pass
 
 
 _DEDUP = "service_name string, id long, group_fingerprint string, is_new boolean"
@@ -87,22 +156,14 @@ _DEDUP = "service_name string, id long, group_fingerprint string, is_new boolean
 def semantic_dedup(records: DataFrame) -> DataFrame:
     """service_name, id, group_fingerprint, is_new for a stream of records (service_name, id, timestamp, message, embedding).
 
-    Records of a service are taken in order of time and id within a batch;
-    the state of a service holds its RECENT_GROUPS last groups, so it doesn't grow with the stream.
+    Records of a service are taken in order of time and id within a batch.
+    The state has every group of a service, as an old fingerprint may come
+    back; only the RECENT_GROUPS last are compared by similarity. The state
+    is kept in RocksDB, which the session's settings are changed to.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prints, counts, centres = state.get if state.exists else ([], [], [])
-        groups = Groups([{"fingerprint": p, "n": n, "centroid": list(c)} for p, n, c in zip(prints, counts, centres, strict=True)])
-        frames = pd.concat(list(batches)).sort_values(["timestamp", "id"])
-        rows = [(key[0], i, *groups.add(p, np.array(v, float))) for i, p, v in zip(frames["id"], frames["fingerprint"], frames["embedding"], strict=True)]
-        kept = groups.rows[-RECENT_GROUPS:]
-        state.update(([g["fingerprint"] for g in kept], [g["n"] for g in kept], [g["centroid"] for g in kept]))
-        yield pd.DataFrame(rows, columns=["service_name", "id", "group_fingerprint", "is_new"])
-
-    own = records.withColumn("fingerprint", T.fingerprint(F.col("message")))
-    kept = "prints array<string>, counts array<long>, centroids array<array<double>>"
-    return own.groupBy("service_name").applyInPandasWithState(step, _DEDUP, kept, "append", GroupStateTimeout.NoTimeout)
+    records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    own = records.select("service_name", "id", "timestamp", T.fingerprint(F.col("message")).alias("fingerprint"), "embedding")
+    return own.groupBy("service_name").transformWithStateInPandas(_SemanticGroups(), _DEDUP, "append", "none")
 
 
 def silence(logs: DataFrame, minutes: int = 15) -> DataFrame:

@@ -248,6 +248,42 @@ def test_semantic_groups(spark, tmp_path):
     assert out[1][1] and not out[2][1] and out[2][0] == out[1][0] == out[4][0] and out[3][1]
 
 
+def test_semantic_groups_stay_known(spark, tmp_path):
+    """More groups than are compared by similarity, in several batches, each in many Arrow batches and out of order."""
+    rng = random.Random(7)
+    t, schema = dt.datetime(2024, 1, 1), "service_name string, id long, timestamp timestamp_ntz, message string, embedding array<double>"
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(1000 + k))
+    vectors = {k: [rng.gauss(0, 1) for _ in range(24)] for k in range(300)}
+    seen = [*range(260), *range(0, 260, 3), *(rng.randrange(300) for _ in range(200))]
+    seen += [k + 300 for k in rng.sample(range(300), 60)]  # other words, the vectors of known ones
+    rows = [("s", n, t + dt.timedelta(seconds=n), f"fail {word(k)}", vectors[k % 300]) for n, k in enumerate(seen)]
+    expected, groups = {}, []  # groups by time of use, the last used last
+    for _, n, _, message, v in rows:
+        found = next((g for g in groups if g[0] == message), None)
+        if found is None:
+            near = [(float(np.dot(v, g[1]) / np.linalg.norm(v) / np.linalg.norm(g[1])), g) for g in groups[-200:]]
+            best = max(near, key=lambda x: x[0], default=(0, None))
+            found = best[1] if best[0] >= 0.85 else None
+        expected[n] = found is None
+        if found is None:
+            groups.append([message, np.array(v)])
+        else:
+            found[1] = 0.9 * found[1] + 0.1 * np.array(v)
+            groups.append(groups.pop(next(k for k, g in enumerate(groups) if g is found)))
+    assert len(groups) > 260
+    for k in range(3):
+        part = rows[k * 220 : (k + 1) * 220 if k < 2 else None]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+        out = {r.id: r.is_new for r in jobs.drained(spark, jobs.semantic_dedup(stream), "semantic_many").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out == expected
+
+
 def test_stream_derivatives(spark, tmp_path):
     schema = "service_name string, severity string, window_start timestamp, error_count long"
     rows = [("s", "ERROR", dt.datetime(2024, 1, 1, 0, k), n) for k, n in enumerate([1, 4, 9, 9])]
