@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import incidents as I  # noqa: E741
 from emberlog.operators.errors import dedup_groups
+from emberlog.operators.signals import spikes
 from emberlog.plans import domain as D
-from emberlog.plans.analysis_queries import BASE, GROUPS, L
+from emberlog.plans.analysis_queries import BASE, GROUPS, HOURS, SPIKES, STATS, L
 
 QUERIES, SQL = {}, {}
 START, END = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
@@ -134,21 +135,27 @@ def snapshot_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- health
 
-HEALTH = f"""{D.SERVICES}, rt AS (SELECT service_name AS service_id, CASE WHEN count(*) % 3 = 0 THEN 'critical' WHEN count(*) % 3 = 1 THEN 'warning' ELSE 'normal' END AS risk_tier FROM logs GROUP BY ALL),
-an AS (SELECT service_name AS service_id, count(*) AS n FROM logs WHERE http_status = 503 AND severity = 'ERROR' AND id % 20 = 0 GROUP BY ALL),
-cl AS (SELECT service_name AS service_id, count(DISTINCT extra_fields) AS n FROM logs WHERE id % 50 = 0 GROUP BY ALL),
-hs AS (SELECT s.service_id, s.name, coalesce(rt.risk_tier, 'normal') AS risk_tier, coalesce(an.n, 0) AS open_anomalies, coalesce(cl.n, 0) AS active_clusters,
+TIERS = """rt AS (SELECT service_name AS service_id, CASE WHEN count(*) % 3 = 0 THEN 'critical' WHEN count(*) % 3 = 1 THEN 'warning' ELSE 'normal' END AS risk_tier FROM logs GROUP BY ALL),"""
+STATES = """hs AS (SELECT s.service_id, s.name, coalesce(rt.risk_tier, 'normal') AS risk_tier, coalesce(an.n, 0) AS open_anomalies, coalesce(cl.n, 0) AS active_clusters,
   greatest(100 - CASE rt.risk_tier WHEN 'critical' THEN 50 WHEN 'warning' THEN 20 ELSE 0 END - least(5 * coalesce(an.n, 0), 30) - least(2 * coalesce(cl.n, 0), 20), 0)::DOUBLE AS health_score
   FROM services s LEFT JOIN rt ON s.service_id = rt.service_id LEFT JOIN an ON s.service_id = an.service_id LEFT JOIN cl ON s.service_id = cl.service_id WHERE s.is_active)"""
+HEALTH = f"""{D.SERVICES}, {TIERS}
+an AS (SELECT service_name AS service_id, count(*) AS n FROM logs WHERE http_status = 503 AND severity = 'ERROR' AND id % 20 = 0 GROUP BY ALL),
+cl AS (SELECT service_name AS service_id, count(DISTINCT extra_fields) AS n FROM logs WHERE id % 50 = 0 GROUP BY ALL),
+{STATES}"""
+
+
+def _states(spark: SparkSession, sf_dir: str, anomalies: DataFrame, clusters: DataFrame) -> DataFrame:
+    n = F.count("*") % 3
+    risk = D.logs(spark, sf_dir).groupBy(F.col("service_name").alias("service_id")).agg(F.when(n == 0, "critical").when(n == 1, "warning").otherwise("normal").alias("risk_tier"))
+    return I.health_states(D.services(spark, sf_dir).where("is_active"), risk, anomalies, clusters)
 
 
 def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = D.logs(spark, sf_dir).withColumn("service_id", F.col("service_name"))
-    n = F.count("*") % 3
-    risk = own.groupBy("service_id").agg(F.when(n == 0, "critical").when(n == 1, "warning").otherwise("normal").alias("risk_tier"))
     anomalies = own.where((F.col("http_status") == 503) & (F.col("severity") == "ERROR") & (F.col("id") % 20 == 0)).groupBy("service_id").agg(F.count("*").alias("n"))
     clusters = own.where(F.col("id") % 50 == 0).groupBy("service_id").agg(F.countDistinct("extra_fields").alias("n"))
-    return I.health_states(D.services(spark, sf_dir).where("is_active"), risk, anomalies, clusters)
+    return _states(spark, sf_dir, anomalies, clusters)
 
 
 @query(f"WITH {L}, {HEALTH} SELECT service_id, name, risk_tier, open_anomalies, active_clusters, health_score FROM hs ORDER BY health_score, service_id")
@@ -162,6 +169,31 @@ def fleet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.fleet_summary(_health(spark, sf_dir))
 
 
+# The same from the detectors' results over all rows: spikes at 0.5 deviations, as in spike_zscore, and error groups.
+
+ALL_HEALTH = f"""{BASE}, {GROUPS}, {HOURS}, {STATS}, {SPIKES}, {D.SERVICES}, {TIERS}
+an AS (SELECT service_name AS service_id, count(*) AS n FROM z WHERE abs(observed - mean) / std >= 0.5 GROUP BY ALL),
+cl AS (SELECT service_name AS service_id, count(*) AS n FROM groups GROUP BY ALL),
+{STATES}"""
+
+
+def _health_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = D.logs(spark, sf_dir)
+    n = lambda df: df.groupBy(F.col("service_name").alias("service_id")).agg(F.count("*").alias("n"))
+    return _states(spark, sf_dir, n(spikes(own, D.as_of(), 0.5)), n(dedup_groups(own)))
+
+
+@query(f"{ALL_HEALTH} SELECT service_id, name, risk_tier, open_anomalies, active_clusters, health_score FROM hs ORDER BY health_score, service_id")
+def health_state_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _health_all(spark, sf_dir).select("service_id", "name", "risk_tier", "open_anomalies", "active_clusters", "health_score").orderBy("health_score", "service_id")
+
+
+@query(f"""{ALL_HEALTH} SELECT count(*) AS total_services, count(*) FILTER (WHERE health_score >= 80) AS healthy, count(*) FILTER (WHERE health_score >= 50 AND health_score < 80) AS warning, count(*) FILTER (WHERE health_score < 50) AS critical,
+sum(open_anomalies)::BIGINT AS open_anomalies, sum(active_clusters)::BIGINT AS active_clusters, arg_min(name, (health_score, name)) AS worst_service FROM hs""")
+def fleet_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.fleet_summary(_health_all(spark, sf_dir))
+
+
 @query(f"""{BASE}, {GROUPS}, r AS (SELECT *, row_number() OVER (PARTITION BY service_name ORDER BY occurrence_count DESC, fingerprint) AS n FROM groups)
 SELECT service_name, string_agg(occurrence_count::VARCHAR, ',' ORDER BY n) AS counts, string_agg(substr(fingerprint, 1, 8), ',' ORDER BY n) AS prints FROM r WHERE n <= 5 GROUP BY service_name""")
 def service_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +307,18 @@ def filtered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {L}, {D.SERVICES}, al AS (SELECT id AS alert_id, service_name AS service_id, duration_ms AS risk_score FROM logs WHERE id % 5 = 0)
 SELECT o_orderkey AS report_id, al.alert_id, name, risk_score FROM orders JOIN al ON o_orderkey = al.alert_id JOIN services s ON s.service_id = al.service_id""")
 def report_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = D.logs(spark, sf_dir).where(F.col("id") % 5 == 0).select(F.col("id").alias("alert_id"), F.col("service_name").alias("service_id"), F.col("duration_ms").alias("risk_score"))
+    return _enriched(spark, sf_dir, D.logs(spark, sf_dir).where(F.col("id") % 5 == 0))
+
+
+@query(f"""WITH {L}, {D.SERVICES}, al AS (SELECT id AS alert_id, service_name AS service_id, duration_ms AS risk_score FROM logs)
+SELECT o_orderkey AS report_id, al.alert_id, name, risk_score FROM orders JOIN al ON o_orderkey = al.alert_id JOIN services s ON s.service_id = al.service_id""")
+def report_enrichment_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as an alert."""
+    return _enriched(spark, sf_dir, D.logs(spark, sf_dir))
+
+
+def _enriched(spark: SparkSession, sf_dir: str, logs: DataFrame) -> DataFrame:
+    alerts = logs.select(F.col("id").alias("alert_id"), F.col("service_name").alias("service_id"), F.col("duration_ms").alias("risk_score"))
     reports = D.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderkey").alias("alert_id"))
     return I.enrich_reports(reports, alerts, D.services(spark, sf_dir))
 

@@ -77,16 +77,40 @@ _PARSED = """x AS (SELECT event_id, session_id, form,
 _CASCADE = 'SELECT event_id, log_format, "timestamp", service_name, severity, message, request_id, source_ip, http_method, http_path, http_status, duration_ms, extra_fields, is_malformed FROM x'
 
 
+def _grammar(form: int, lines: DataFrame, fields: list[str]) -> DataFrame:
+    parse = {0: P.parse_json, 1: P.parse_combined, 2: P.parse_common, 3: P.parse_nginx, 4: P.parse_rfc5424, 6: P.parse_generic}
+    record = parse[form](F.col("value")) if form != 5 else P.parse_rfc3164(F.col("value"), as_of())
+    return lines.select("event_id", record.alias("r")).select("event_id", *(F.to_json("r.extra_fields").alias(f) if f == "extra_fields" else F.col(f"r.{f}") for f in fields))
+
+
 def _one(form: int, fields: list[str]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lines = raw_lines(spark, sf_dir).where(F.col("event_id") % 8 == form)
-        parse = {0: P.parse_json, 1: P.parse_combined, 2: P.parse_common, 3: P.parse_nginx, 4: P.parse_rfc5424, 6: P.parse_generic}
-        record = parse[form](F.col("value")) if form != 5 else P.parse_rfc3164(F.col("value"), as_of())
-        return lines.select("event_id", record.alias("r")).select("event_id", *(F.to_json("r.extra_fields").alias(f) if f == "extra_fields" else F.col(f"r.{f}") for f in fields))
+        return _grammar(form, raw_lines(spark, sf_dir).where(F.col("event_id") % 8 == form), fields)
+
+    return query
+
+
+def _every(form: int, fields: list[str]):
+    """A grammar over the lines of all forms, with nulls for those that it refuses."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _grammar(form, raw_lines(spark, sf_dir), fields)
 
     return query
 
 
+#: Forms that a grammar takes besides its own: the later access grammars of the cascade take the earlier ones' lines.
+_ALSO = {2: [1], 3: [1, 2]}
+
+
+def _every_sql(form: int, fields: list[str]) -> str:
+    """The common grammar leaves out what a combined line has more; the one of nginx takes all of it."""
+    own = {f: f'x."{f}"' for f in fields} | ({"extra_fields": """'{"bytes_sent":"' || (100 + k) || '"}'"""} if form == 2 else {})
+    forms = ", ".join(map(str, [form, *_ALSO.get(form, [])]))
+    names = ", ".join(f'CASE WHEN x.form IN ({forms}) THEN {own[f]} END AS "{f}"' for f in fields)
+    return f"WITH {RAW}, {_PARSED} SELECT x.event_id, {names} FROM x JOIN (SELECT event_id, k FROM raw) r ON x.event_id = r.event_id"
+
+
 def _one_sql(form: int, fields: list[str]) -> str:
     names = ", ".join('"timestamp"' if f == "timestamp" else f for f in fields)
     return f"WITH {RAW}, {_PARSED} SELECT event_id, {names} FROM x WHERE form = {form}"
@@ -234,6 +258,7 @@ NORMAL = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replac
 QUERIES = {
     "parse_cascade": parse_cascade,
     **{name: _one(form, fields) for name, (form, fields) in _GRAMMARS.items()},
+    **{f"{name}_all": _every(form, fields) for name, (form, fields) in _GRAMMARS.items()},
     "format_vote": format_vote,
     "session_stats": session_stats,
     "severity_coercion": severity_coercion,
@@ -268,6 +293,7 @@ def _redact_sql(pattern: str, placeholder: str, before: str = "") -> str:
 SQL = {
     "parse_cascade": f"WITH {RAW}, {_PARSED} {_CASCADE}",
     **{name: _one_sql(form, fields) for name, (form, fields) in _GRAMMARS.items()},
+    **{f"{name}_all": _every_sql(form, fields) for name, (form, fields) in _GRAMMARS.items()},
     "format_vote": f"WITH {RAW}, {_PARSED}, c AS (SELECT session_id, log_format, count(*) AS n, min(event_id) AS f FROM x GROUP BY ALL) SELECT session_id, arg_max(log_format, (n, -f)) AS dominant_format FROM c GROUP BY session_id",
     "session_stats": f"WITH {LOGS} SELECT session_id, count(*) AS total_lines, count(*) FILTER (WHERE NOT is_malformed) AS inserted, count(*) FILTER (WHERE is_malformed) AS failed, sum(pii_count)::BIGINT AS pii_total FROM logs GROUP BY session_id",
     "severity_coercion": f"WITH {LOGS} SELECT id, CASE id % 4 WHEN 1 THEN 'WARNING' WHEN 2 THEN 'UNKNOWN' ELSE severity END AS severity, log_format FROM logs",

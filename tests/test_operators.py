@@ -189,6 +189,13 @@ def test_root_causes_see_every_event(spark, name):
         assert len(expected) == 10
 
 
+def test_grammars_see_foreign_lines(spark):
+    for name, taken in {"parse_json_all": 1, "parse_clf_combined_all": 1, "parse_clf_common_all": 2, "parse_nginx_all": 3, "parse_rfc5424_all": 1, "parse_rfc3164_all": 1, "parse_generic_all": 1}.items():
+        seen = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").where("severity IS NOT NULL").select((F.col("event_id") % 8).alias("form")).distinct().count()
+        assert (name, seen) == (name, taken)
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 1000
+
+
 def test_weights_are_clamped_in_order(spark):
     rng = random.Random(3)
     rows, weight = [], 1.0
