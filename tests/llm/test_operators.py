@@ -260,6 +260,64 @@ def test_repeats(docs, split):
     same(out, [expected[r[0], r[1] or ""] for r in ROWS])
 
 
+def brute_repeats(texts, length=100):
+    """n_removed by text, for texts in order."""
+    seen, removed = set(), []
+    for raw in texts:
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - length + 1):
+            if raw[k : k + length] in seen:
+                gone[k : k + length] = True
+            seen.add(raw[k : k + length])
+        removed.append(int(gone.sum()))
+    return removed
+
+
+@pytest.mark.parametrize("split", [512, 3])
+def test_repeats_around_common_passages(spark, split):
+    """Passages that are longer or shorter than a stretch, alone and in mixed contexts, and texts with periods."""
+    rng = random.Random(11)
+    letters = lambda n, of="abcdefghij": "".join(rng.choice(of) for _ in range(n))
+    common = [letters(n) for n in (30, 60, 95, 99, 140)]
+    texts = [letters(rng.randrange(0, 60), "ab") + rng.choice(common) + letters(rng.randrange(0, 60), "ab") + rng.choice(common) for _ in range(150)]
+    texts += [letters(k) * (400 // k) for k in (1, 2, 7, 24, 30, 90, 101)] + [letters(3) * 100 + common[4] for _ in range(5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.n_removed for r in substrings.remove_repeats(rows, split_runs=split).collect()}
+    assert [found[k] for k in range(len(texts))] == brute_repeats([t.encode() for t in texts])
+
+
+def test_halves_stay_few_and_end(spark):
+    """Runs of a frequent key: a few parts for each, not a row for each byte; and a key whose runs all differ late still ends."""
+    rng = random.Random(12)
+    seed = "the same twenty-four byte"
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(90)) + seed + "".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(200)]
+    own = substrings._own(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    none = F.lit(None).cast("int")
+    key = int(substrings.Rolling(np.frombuffer(seed[:24].encode(), np.uint8)).of(np.array([0]), np.array([24])).view(np.int64)[0])
+    bytes_ = F.expr("substring(text, 15, 176)")
+    runs = own.select(F.lit(key).alias("key"), "doc", "variant", F.lit(14).cast("long").alias("start"), none.alias("a"), none.alias("l"), none.alias("h"), bytes_.alias("b"))
+    halves = runs.mapInArrow(substrings._halved(100, 24), substrings._RUNS).collect()
+    assert len(halves) == 400
+    assert sum(len(r["bytes"]) - 99 for r in halves) == 200 * 77
+
+
+def test_repeats_of_rows_without_ids(spark):
+    """Many rows of no or one id: texts whose hashes share 22 bits are still told apart."""
+    hashes = spark.range(9000).select(F.concat(F.lit("text "), "id").alias("text")).select("text", F.shiftrightunsigned(F.xxhash64("text"), 42).alias("h"))
+    met = hashes.groupBy("h").agg(F.collect_list("text").alias("t")).where("size(t) > 1").first().t[:2]
+    rng = random.Random(13)
+    long = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (150, 160)]
+    hash_of = lambda df: df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 42).alias("h"))
+    made = spark.range(30_000).select(F.concat(F.lit(long[0]), F.lit(" "), "id").alias("text"))
+    other = hash_of(spark.range(30_000).select(F.concat(F.lit(long[1]), F.lit(" "), "id").alias("text"))).withColumnRenamed("text", "other")
+    pair = hash_of(made).join(other, "h").orderBy("text", "other").first()
+    texts = [pair["text"], pair["other"], long[0], long[1], *met]
+    for ids in ([None] * 6, [5] * 6, [1, 2, 3, 4, 5, 6]):
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        out = substrings.remove_repeats(rows).collect()
+        assert sum(r.n_removed for r in out) == 310
+
+
 def test_repeats_of_nothing(empty):
     assert substrings.remove_repeats(empty).count() == 0
 
