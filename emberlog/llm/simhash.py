@@ -9,8 +9,11 @@ once, and lane words in which all distances exceed the radius are left.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +78,7 @@ def _parts(bits: list[int], n: int) -> list[list[int]]:
 
 def _masks(bits: list[int], radius: int) -> list[int]:
     """Masks of radius + 2 parts taken two at a time; one of them has no difference if radius bits differ at most."""
-    return [sum(1 << b for p in pair for b in p) for pair in combinations(_parts(bits, radius + 2), 2)]
+    return [sum(1 << b for p in pair for b in p) for pair in itertools.combinations(_parts(bits, radius + 2), 2)]
 
 
 def _signed(x: int) -> int:
@@ -96,8 +99,13 @@ def compare(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
 
 
-def compared(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of indexes (the second is smaller) of fingerprints (n x words) at most radius bits apart that share a bucket; rows of a bucket stand together."""
+def compared(
+    fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS, asks: np.ndarray | None = None, lane_words: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of indexes (the second is smaller) of fingerprints (n x words) at most radius bits apart that share a bucket; rows of a bucket stand together.
+
+    Only rows of asks are first in a pair, and second are only those of the bucket's first lane_words words of 64.
+    """
     n, n_bits = len(fps), 64 * fps.shape[1]
     first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
     start = np.flatnonzero(first)
@@ -117,11 +125,16 @@ def compared(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> Itera
     taken = np.bitwise_or.reduceat(_U(1) << lane, heads)
     # a query meets the lane words of its bucket up to its own
     per = place // 64 + 1
-    queries = np.repeat(np.arange(n), per)
-    targets = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(at_word[b], per)
+    if lane_words is not None:
+        per = np.minimum(per, lane_words)
+    if asks is not None:
+        per = per * asks
+    ends = np.cumsum(per)
     step = 4 if radius < 8 else 16
-    for k in range(0, len(queries), _PAIRS):
-        q, w = queries[k : k + _PAIRS], targets[k : k + _PAIRS]
+    for k in range(0, int(ends[-1]) if n else 0, _PAIRS):
+        each = np.arange(k, min(k + _PAIRS, ends[-1]))
+        q = np.searchsorted(ends, each, side="right")
+        w = each - (ends[q] - per[q]) + at_word[b[q]]
         counters = [np.zeros(len(q), _U) for _ in range(radius.bit_length())]
         over = ~taken[w]
         for bit in range(n_bits):
@@ -278,45 +291,112 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     )
 
 
-# Near copies that share most of their words rather than all: wide fingerprints of the sets of shingles find candidates, the sets decide.
+# Near copies that share most of their words rather than all: parts of the sets of shingles that are equal find candidates, wide fingerprints compare them, the sets decide.
 
 WIDE, WIDE_SHINGLE, SIMILARITY = 4, 5, 0.8
-#: Of 256 bits 39 differ on average if two sets share 0.8 of their shingles; the deviation is 6. Nodes within CLOSE are tried first.
-WIDE_RADIUS, CLOSE = 60, 36
-#: Bands of sampled bits. Two sets that differ in exactly 39 bits agree in one of them with a probability of 0.99, but as distances spread,
-#: 0.968 of the pairs with a similarity of 0.80 do, 0.981 with 0.82 and 0.995 with 0.85 (measured on 2,500 pairs each).
-BANDS, BAND_BITS = 96, 18
+#: Of 256 bits 39 differ on average if two sets share 0.8 of their shingles (48 for sets of 4 and 5); the deviation is 6. So one pair in
+#: 10^9 of the smallest sets is beyond WIDE_RADIUS, and fewer of others.
+WIDE_RADIUS = 84
+#: Words of a bitmap of a set's shingles, from which follows how many of them another set can have at most.
+MAP = 32
+#: Neighbours that a node is checked against in each round before all pairs of different classes are.
+NEAREST = (1, 6)
+#: Signatures of a set in a level, and elements of the parts of levels that have more parts than that.
+SIGNATURES, PART = 64, 4
 #: Pairs of a node that are checked together.
 _TOGETHER = 7
 
 
-def _band_bits() -> np.ndarray:
-    rng = np.random.default_rng(64)
-    return np.array([rng.choice(64 * WIDE, BAND_BITS, replace=False) for _ in range(BANDS)])
-
-
 def _name(shingles: np.ndarray) -> int:
     """A set of shingles by the hash of its hashes."""
     return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 42))
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """doc_id, text_hash, node (the name of its set of shingles), fp (of the set; binary), keys (its bits in each band)."""
-    bits, powers = _band_bits(), 1 << np.arange(BAND_BITS)
+@functools.cache
+def _levels(similarity: float, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least size of each level of sets, its number of parts, and how many filled ones a set must have to leave out its empty ones.
+
+    A level ends so early that a set's partners that are larger are in its
+    own level or the next. Sets below the first level have no partner but themselves.
+    """
+    least = [math.ceil(similarity / (1 - similarity) - 1e-9)]
+    least.append(least[0] + 1)
+    while least[-1] < most:
+        least.append(math.floor((least[-1] - 1) / similarity + 1e-9) + 1)
+    parts, need = [], []
+    for low, end in itertools.pairwise(least):
+        large = math.floor((end - 1) / similarity + 1e-9)  # the largest partner of the level's largest set
+        apart = math.floor((1 - similarity) / (1 + similarity) * (end - 1 + large) + 1e-9)
+        m = apart + 1
+        while m <= SIGNATURES:
+            empty = (1 - 1 / m) ** low
+            if m * (1 - empty) - 3 * math.sqrt(m * empty * (1 - empty)) >= apart + 1 or m >= low:
+                break
+            m += 1
+        exact = m <= SIGNATURES
+        parts.append(m if exact else max(SIGNATURES, low // PART))
+        need.append(apart + 1 if exact else 0)
+    return np.array(least[:-1]), np.array(parts), np.array(need)
+
+
+def signatures(sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Number of a set and signature, for sets of distinct hashes: any two different sets with such a similarity share a signature.
+
+    Shingles are dealt to the parts of a level. In small sets (at 0.8, up to
+    about 180 shingles) a similar pair differs in fewer elements than the
+    level has filled parts, so one of them is equal in both; its hash is the
+    signature. Where chance leaves too few filled, the empty ones count as
+    well. Of larger sets only the first SIGNATURES parts are looked at; each
+    is equal with a probability of 0.28 or more, so a pair shares none
+    once in 10^9. Each set has the signatures of its level and, for smaller partners, of the level before.
+    """
+    least, parts, need = _levels(similarity)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    hashes, of = np.concatenate([*sets, np.zeros(0, _U)]).astype(_U), np.repeat(np.arange(len(sets)), sizes)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for down in (0, 1):
+        level = np.searchsorted(least, sizes, side="right") - 1 - down
+        number = np.flatnonzero(level >= 0)
+        level = level[number]
+        m = np.minimum(parts[level], SIGNATURES)  # those that are looked at
+        base = np.zeros(len(sets), np.int64)
+        base[number] = np.cumsum(m) - m
+        inside = np.zeros(len(sets), bool)
+        inside[number] = True
+        own = inside[of]
+        h, d = hashes[own], of[own]
+        own_m = np.zeros(len(sets), np.int64)
+        own_m[number] = parts[level]
+        part = (((mix(h) >> _U(32)) * own_m[d].astype(_U)) >> _U(32)).astype(np.int64)
+        h, d, part = (x[part < SIGNATURES] for x in (h, d, part))
+        slot = base[d] + part
+        sums, counts = np.zeros(int(m.sum()), _U), np.bincount(slot, minlength=int(m.sum()))
+        np.add.at(sums, slot, mix(h ^ _U(0x5DEECE66D)))
+        row = np.repeat(np.arange(len(number)), m)
+        part = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+        filled = np.bincount(row[counts > 0], minlength=len(number))
+        kept = (counts > 0) | (filled < need[level])[row]
+        place = mix((level[row].astype(_U) << _U(40)) + part.astype(_U))
+        found.append((number[row[kept]], mix(sums[kept] ^ place[kept])))
+    number, signature = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(number, kind="stable")
+    return number[order], signature[order]
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, node (the name of its set of shingles), fp (of the set; binary), signatures."""
     schema = docs.select("doc_id").schema
     for name, kind in (("text_hash", "long"), ("node", "long"), ("fp", "binary")):
         schema = schema.add(name, kind)
-    schema = schema.add("keys", T.ArrayType(T.IntegerType()))
+    schema = schema.add("signatures", T.ArrayType(T.LongType()))
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         sets = [np.unique(_hashes(t, shingle)) for t in texts]
-        fps = np.array([_majority(h, WIDE) for h in sets])
-        spread = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-        keys = (spread[:, bits] @ powers).astype(np.int32)
-        offsets = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
+        number, found = signatures(sets, similarity)
+        offsets = np.searchsorted(number, np.arange(len(sets) + 1)).astype(np.int32)
         columns = [
-            pa.array([_name(h) for h in sets], pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+            pa.array([_name(h) for h in sets], pa.int64()), pa.array([_majority(h, WIDE).tobytes() for h in sets], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64))),
         ]
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=schema.names)
 
@@ -324,24 +404,41 @@ def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame
     return own.mapInArrow(by_slice(run), schema)
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    bits = np.zeros(64 * MAP, bool)
+    bits[(mix(shingles) % _U(64 * MAP)).astype(np.int64)] = True
+    return np.array([len(shingles)], _U).tobytes() + np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_be_similar(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the pairs can have the similarity. A common shingle is a common bit, or one of those by which a set has fewer bits than shingles; so no similar pair is lost."""
+    size, bits = sketches[:, 0].astype(np.int64), sketches[:, 1:]
+    spare = size - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), _PAIRS):
+        x, y = a[k : k + _PAIRS], b[k : k + _PAIRS]
+        both = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(spare[x], spare[y])
+        out[k : k + _PAIRS] = both >= similarity / (1 + similarity) * (size[x] + size[y]) - 1e-9
+    return out
+
+
 def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """node, shingles (distinct hashes) of the texts of docs that rows names (doc_id, text_hash), one row for each node."""
+    """node, shingles (distinct hashes), sketch (number and bitmap of them) of the texts of docs that rows names (doc_id, text_hash), one row for each node."""
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         sets = [np.unique(_hashes(t, shingle)) for t in texts]
         columns = [pa.array([_name(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
+        columns.append(pa.array([_sketch(h) for h in sets], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
 
     named = rows.select(F.col("doc_id").alias("own_id"), "text_hash")
     same = docs["doc_id"].eqNullSafe(named["own_id"]) & (F.xxhash64(docs["text"]) == named["text_hash"])
     texts = docs.join(named, same, "left_semi").select(F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(by_slice(run), "node long, shingles array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(by_slice(run), "node long, shingles array<long>, sketch binary").dropDuplicates(["node"])
 
 
-def _pairs(node: np.ndarray, band: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    """Pairs of rows as nodes, the larger first, each side with a part that no more than a few of the node's pairs share."""
-    swap = node[x] < node[y]
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
+def _pairs(node: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+    """Pairs of rows as nodes, far bits apart, each side with a part that no more than a few of the node's pairs share."""
     columns = []
     for side in (x, y):
         of = node[side]
@@ -349,65 +446,85 @@ def _pairs(node: np.ndarray, band: np.ndarray, x: np.ndarray, y: np.ndarray) ->
         start = np.concatenate([[True], of[order][1:] != of[order][:-1]])[: len(of)]
         rank = np.empty(len(of), np.int64)
         rank[order] = np.arange(len(of)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-        columns += [pa.array(of), pa.array((band[side].astype(np.int64) << 32) + (rank >> _TOGETHER))]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "a_part", "b", "b_part"])
+        columns += [pa.array(of), pa.array((bucket[side] << 32) + (rank >> _TOGETHER))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(far.astype(np.int32))], names=["a", "a_part", "b", "b_part", "far"])
+
+
+_PAIR = "a long, a_part long, b long, b_part long, far int"
 
 
-def _nearest(radius: int, close: int):
-    """For _by_bucket: each node with a candidate in its bucket, and the first of them, close ones before others."""
+def _nearest(radius: int, most: int):
+    """For _by_bucket: for each node the most nearest nodes of other classes among the 64 that come first in its bucket."""
 
     def act(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        band, node, fp = columns[0], columns[5], columns[-1]
-        n, words = len(fp), fp.view(_U).reshape(len(fp), -1)
-        best = np.full(n, 2 * n)
-        for a, b in compared(words, bucket, radius):
-            later = n * (np.bitwise_count(words[a] ^ words[b]).sum(1) > close)
-            np.minimum.at(best, a, b + later)
-            np.minimum.at(best, b, a + later)
-        x = np.flatnonzero(best < 2 * n)
-        yield _pairs(node, band, x, best[x] % n)
+        signature, _, node, of, fp = columns
+        words = fp.view(_U).reshape(len(fp), -1)
+        found = [np.zeros((3, 0), np.int64)]
+        for a, b in compared(words, bucket, radius, lane_words=1):
+            go = of[a] != of[b]
+            a, b = a[go], b[go]
+            found.append(np.stack([a, b, np.bitwise_count(words[a] ^ words[b]).sum(1).astype(np.int64)]))
+        a, b, far = np.concatenate(found, axis=1)
+        order = np.lexsort((b, far, a))
+        a, b, far = a[order], b[order], far[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        few = rank < most
+        yield _pairs(node, signature, a[few], b[few], far[few])
 
     return act
 
 
-def _apart(radius: int):
-    """For _by_bucket: the pairs of nodes of different classes, each in the first band in which they agree."""
-    masks = np.zeros((BANDS, 64 * WIDE), np.uint8)
-    np.put_along_axis(masks, _band_bits(), 1, axis=1)
-    masks = np.packbits(masks, axis=1, bitorder="little").view(_U)
+def _apart(radius: int, similarity: float):
+    """For _by_bucket: the pairs of nodes of different classes that may be similar, of which the one that asks comes second in the bucket; among those that ask, only in buckets of their own."""
 
     def act(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        band, _, i, j, tile, node, of, fp = columns
-        words = fp.view(_U).reshape(len(fp), -1)
-        for a, b in compared(words, bucket, radius):
-            go = (of[a] != of[b]) & ((i[a] == j[a]) | (tile[a] != tile[b]))
+        signature, _, target, asks, node, of, fp = columns
+        asks = asks.astype(bool)
+        both = fp.view(_U).reshape(len(fp), -1)
+        words, sketches = np.ascontiguousarray(both[:, :WIDE]), both[:, WIDE:]
+        for a, b in compared(words, bucket, radius, asks):
+            go = (of[a] != of[b]) & (~asks[b] | (target[a] < 0))
+            a, b = a[go], b[go]
+            go = _may_be_similar(sketches, a, b, similarity)
             a, b = a[go], b[go]
-            differ, first = words[a] ^ words[b], np.ones(len(a), bool)
-            for k, mask in enumerate(masks):
-                first &= (k >= band[a]) | (differ & mask).any(axis=1)
-            yield _pairs(node, band, a[first], b[first])
+            swap = node[a] < node[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield _pairs(node, signature, a, b, np.bitwise_count(words[a] ^ words[b]).sum(1))
 
     return act
 
 
-def _dealt(nodes: DataFrame, hot_bucket: int) -> DataFrame:
-    """band, key, i, j, tile, node, class, fp: nodes by bucket.
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair of nodes once."""
+    parts = F.min(F.struct("a_part", "b_part", "far")).alias("parts")
+    return pairs.groupBy("a", "b").agg(parts).select("a", "parts.a_part", "b", "parts.b_part", "parts.far")
+
 
-    A bucket of more than hot_bucket nodes is split into tiles, and every
-    pair of tiles i, j is a bucket of its own, so no task compares more than 2 * hot_bucket.
+def _unsettled(members: DataFrame, wide: DataFrame, classes: DataFrame, hot_bucket: int) -> DataFrame:
+    """signature, asker, target, asks, node, class, fp: where a signature's nodes are of several classes, its buckets.
+
+    Nodes of the largest class don't ask, so a large class whose members are
+    settled costs no pairs of its own. Nodes that ask and nodes that don't are tiles of
+    hot_bucket at most; each tile that asks is a bucket with each that doesn't (target from 0 on) and
+    with each that asks (target below 0).
     """
-    every = nodes.select("node", "class", "fp", F.posexplode("keys").alias("band", "key"))
-    hot = every.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket)
-    hot = stored(hot.select("band", "key", F.ceil(F.col("n") / hot_bucket).cast("int").alias("tiles")), "hot-buckets")
-    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles") - 1, F.lit(0))))
-    tiled = (
-        every.join(hot, ["band", "key"], "left")
-        .withColumn("tile", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int"))
-        .withColumn("other", other)
-        .select("band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "class", "fp")
-    )
-    key = ["band", "key", "i", "j"]
-    return tiled.repartition(tasks(nodes), *key).sortWithinPartitions(*key)
+    own = members.join(classes, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("class"))
+    sizes = own.groupBy("signature", "class").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("signature").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("all")).where(F.col("all") > F.col("main.n"))
+    tiles = [F.ceil(x / hot_bucket).cast("int").alias(name) for x, name in ((F.col("main.n"), "targets"), (F.col("all") - F.col("main.n"), "askers"))]
+    mixed = stored(mixed.select("signature", F.col("main.class").alias("main"), *tiles), "mixed")
+    asks = F.col("class") != F.col("main")
+    tile = F.pmod(F.xxhash64("node", "signature"), F.when(asks, F.col("askers")).otherwise(F.col("targets"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    bucket = lambda asker, target: F.struct(asker.cast("int").alias("asker"), target.cast("int").alias("target"))
+    with_targets = F.transform(upto("targets"), lambda t: bucket(F.col("tile"), t))
+    with_askers = F.transform(upto("askers"), lambda k: bucket(F.least("tile", k), -1 - F.greatest("tile", k)))
+    buckets = F.when(F.col("asks"), F.concat(with_targets, with_askers)).otherwise(F.transform(upto("askers"), lambda k: bucket(k, F.col("tile"))))
+    placed = own.join(mixed, "signature").select("signature", "node", "class", asks.alias("asks"), tile.alias("tile"), "askers", "targets")
+    every = placed.select("signature", "node", "class", "asks", F.explode(buckets).alias("bucket"))
+    columns = ["signature", "bucket.asker", "bucket.target", F.col("asks").cast("int").alias("asks"), "node", "class", "fp"]
+    dealt = every.join(wide, "node").select(*columns).repartition(tasks(members), "signature", "asker", "target")
+    return dealt.sortWithinPartitions("signature", "asker", "target", "asks")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -421,32 +538,45 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def wide_links(docs: DataFrame, fps: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, hot_bucket: int = HOT_BUCKET, radius: int = WIDE_RADIUS) -> DataFrame:
-    """a, b: pairs of nodes with a similarity of at least similarity that connect all such pairs of candidates.
+    """a, b: pairs of nodes with a similarity of at least similarity that connect all such pairs.
 
-    Candidates agree in a band and differ in radius bits at most. First each
-    node is checked against one candidate of each bucket. The classes that
-    these links make take the place of their pairs: after that only pairs of
-    different classes are checked, all of them.
+    Candidates share a signature and differ in radius bits at most. In a few
+    rounds each node is compared with 64 of each of its buckets, others in
+    each, and checked against the nearest of other classes that it finds; the
+    links make classes. After that pairs of different classes are checked, all of them.
     """
-    pair = "a long, a_part long, b long, b_part long"
-    nodes = fps.dropDuplicates(["node"]).withColumn("class", F.col("node"))
-    near = _dealt(nodes, hot_bucket).mapInArrow(_by_bucket(4, _nearest(radius, CLOSE)), pair)
-    parts = F.min(F.struct("a_part", "b_part")).alias("parts")
-    near = stored(near.groupBy("a", "b").agg(parts).select("a", "parts.a_part", "b", "parts.b_part"), "near")
-    met = stored(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "met")
-    rows = fps.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("row.*")
+    every = fps.select("node", F.explode("signatures").alias("signature"))
+    shared = every.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    members = every.join(stored(shared.select("signature"), "shared"), "signature").select("signature", "node").distinct()
+    members = stored(members, "members")
+    wide = fps.join(members.select("node").distinct(), "node", "left_semi").select("node", "fp").dropDuplicates(["node"])
+    wide = stored(wide, "wide")
+    rows = fps.join(wide, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("row.*")
     sets = stored(shingle_sets(docs, rows, shingle), "shingle-sets")
-    first = stored(similar(near, sets, similarity), "links")
-    classes = components(first)
-    unsettled = nodes.drop("class").join(met, "node", "left_semi").join(classes, "node", "left")
-    unsettled = stored(unsettled.withColumn("class", F.coalesce("component", "node")).drop("component"), "unsettled")
-    rest = stored(_dealt(unsettled, hot_bucket).mapInArrow(_by_bucket(4, _apart(radius)), pair), "apart")
-    return first.unionByName(stored(similar(rest, sets, similarity), "links"))
+    hot = members.groupBy("signature").agg(F.ceil(F.count("*") / hot_bucket).cast("int").alias("tiles")).where("tiles > 1")
+    hot = stored(hot, "hot-buckets")
+    classes, links = wide.select("node", F.col("node").alias("component")).limit(0), []
+    for n, most in enumerate(NEAREST):
+        place = F.xxhash64("node", "signature", F.lit(n))
+        tile = F.pmod(place, F.coalesce("tiles", F.lit(1))).cast("int")
+        own = wide.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "fp")
+        tiled = members.join(hot, "signature", "left").select("signature", tile.alias("tile"), place.alias("place"), "node")
+        dealt = tiled.join(own, "node").repartition(tasks(docs), "signature", "tile").sortWithinPartitions("signature", "tile", "place")
+        near = dealt.select("signature", "tile", "node", "class", "fp").mapInArrow(_by_bucket(2, _nearest(radius, most)), _PAIR)
+        # of a node's pairs those that differ least
+        ranked = F.array_sort(F.collect_list(F.struct("far", "b", "a_part", "b_part")))
+        near = _once(near).groupBy("a").agg(F.slice(ranked, 1, most).alias("x")).select("a", F.explode("x").alias("x"))
+        near = stored(near.select("a", "x.a_part", "x.b", "x.b_part"), "near")
+        links.append(stored(similar(near, sets, similarity), "links"))
+        classes = stored(components(reduce(DataFrame.unionByName, links)), "classes")
+    both = wide.join(sets, "node").select("node", F.concat("fp", "sketch").alias("fp"))
+    apart = stored(_once(_unsettled(members, both, classes, hot_bucket).mapInArrow(_by_bucket(3, _apart(radius, similarity)), _PAIR)), "apart")
+    return reduce(DataFrame.unionByName, [*links, stored(similar(apart, sets, similarity), "links")])
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """The rows of docs without near copies: of each component of wide links one row stays, that with the smallest doc_id (null before others; of equal ids by the text's hash, of equal rows any). Texts without words are copies of each other; a text of fewer words than a shingle has one of all its words."""
-    fps = stored(wide_fingerprints(docs, shingle), "wide-fingerprints")
+    fps = stored(wide_fingerprints(docs, shingle, similarity), "wide-fingerprints")
     found = components(wide_links(docs, fps, similarity, shingle, hot_bucket))
     nodes = fps.groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     kept = (
