@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.llm.common import table
-from emberlog.llm.textops import Rolling, Texts, by_slice, grams, mix, repeated
+from emberlog.llm.textops import Rolling, Texts, grams, mix, repeated, sliced
 
 #: n-gram length: largest share of word characters inside repeated n-grams.
 MAX_GRAM_SHARE = {5: 0.40, 6: 0.39, 7: 0.38, 8: 0.37, 9: 0.36, 10: 0.35}
@@ -81,6 +82,29 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     return out
 
 
+def _measures(text: Column) -> Column:
+    """All counts of a text as a struct. The row itself stays in the JVM: the text goes out once, counts come back."""
+    names = [*COUNTS, *_GRAMS]
+
+    @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in names]))
+    def counts(texts: pa.Array) -> pa.Array:
+        parts = [measure(own) for _, own in sliced(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        columns = [np.concatenate([np.zeros(0, np.int64), *(m[c].astype(np.int64) for m in parts)]) for c in names]
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return counts.asNondeterministic()(text.cast("binary"))  # so that no filter on the counts measures a second time
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), m (struct of the counts), base_failed, kept."""
+    own = docs.select(F.struct(*docs.columns).alias("row"), _measures(docs["text"]).alias("m"))
+    base = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
+    fine = F.col("m.dup_line_chars") <= MAX_LINE_SHARE * F.col("m.word_chars")
+    for n, share in MAX_GRAM_SHARE.items():
+        fine &= F.col(f"m.dup_{n}gram_chars") <= share * F.col("m.word_chars")
+    return own.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & fine)
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """docs with the counts, base_failed and kept added (replacing columns of these names); row by row, so repeated rows and null ids need no care.
 
@@ -89,25 +113,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     windows that occur twice or more. kept: not base_failed, and no more than
     the shares above of the word characters in repeated n-grams or lines. All comparisons are strict.
     """
-    added = [*COUNTS, *_GRAMS]
-    docs = docs.drop(*added, "base_failed", "kept")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("measured"))
-    schema = packed.select("row").schema
-    for c in added:
-        schema = schema.add(c, "long")
-
-    def add(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        m = measure(texts)
-        return pa.RecordBatch.from_arrays(
-            [part.column(0), *(pa.array(m[c].astype(np.int64)) for c in added)], names=["row", *added]
-        )
-
-    found = packed.mapInArrow(by_slice(add, "measured"), schema).select("row.*", *added)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fine = F.col("dup_line_chars") <= MAX_LINE_SHARE * F.col("word_chars")
-    for n, share in MAX_GRAM_SHARE.items():
-        fine &= F.col(f"dup_{n}gram_chars") <= share * F.col("word_chars")
-    return found.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & fine)
+    docs = docs.drop(*COUNTS, *_GRAMS, "base_failed", "kept")
+    return judged(docs).select("row.*", "m.*", "base_failed", "kept")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
