@@ -93,23 +93,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     one document; a null doc_id is smaller than any other. Repeated rows stay
     and are treated alike.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text")
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    maps = drop_bitmaps(own.select("doc_id", "text"), min_chars, min_docs, hot_lines).select(
+    return deduped(docs.drop("n_lines", "n_dropped", "kept_text"), min_chars, min_docs, hot_lines).select("row.*", "n_lines", "n_dropped", "kept_text")
+
+
+def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
+    """row (all columns of docs), n_lines, n_dropped, kept_text."""
+    text = F.coalesce("text", F.lit(""))
+    maps = drop_bitmaps(docs.select("doc_id", text.alias("text")), min_chars, min_docs, hot_lines).select(
         F.col("doc_id").alias("to"), F.col("text_hash").alias("to_hash"), "words"
     )
-    own = own.withColumn("lines", F.split("text", "\n")).join(
-        maps, F.col("doc_id").eqNullSafe(F.col("to")) & (F.xxhash64("text") == F.col("to_hash")), "left"
-    )
+    # Only the row itself meets its map; lines are split after that.
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_hash"))
+    own = own.join(maps, F.col("own_id").eqNullSafe(F.col("to")) & (F.col("own_hash") == F.col("to_hash")), "left")
+    own = own.select("row", "words", F.split(F.coalesce("row.text", F.lit("")), "\n").alias("lines"))
     kept = F.when(F.col("words").isNull(), F.col("lines")).otherwise(
         F.expr("filter(lines, (x, i) -> coalesce(shiftright(element_at(words, shiftright(i, 6)), i & 63) & 1L, 0L) = 0L)")
     )
-    return own.select("row.*", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(
-        *docs.columns,
-        "n_lines",
-        (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
-        F.array_join("kept", "\n").alias("kept_text"),
-    )
+    own = own.select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    return own.select("row", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
