@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import table
 
 ROUNDS = 8
-#: Stands for a secret that production jobs pass in.
+#: Only the registered query takes this key; jobs pass in a secret of their own.
 DEMO_KEY = "emberlog demonstration key"
 #: 400 Gregorian years repeat exactly: 146,097 = 189 * 773 days.
 FIRST_DAY, DAYS = "1700-01-01", (189, 773)
@@ -224,20 +224,26 @@ def _pseudonym(x: Column, key: str) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, column: str = "text", key: str = DEMO_KEY, rounds: int = ROUNDS) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, column: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """docs with pseudonyms in column, and with pii_kinds (one kind for each replaced value, in order; replaces a column of that name).
 
     Rows are independent, so repeated rows and null ids need no care. A null
     or empty text stays as it is and has no kinds. What looks like a number
-    but fails its validation stays. l, r of one value never leave its row: nothing is joined or shuffled.
+    but fails its validation stays. Of a number with an international prefix
+    that is no ten-digit one the last seven digits are permuted, of a local part of an address
+    its last 20 letters and digits (the ones before them are hashed). A text is worked on as a
+    whole, however long; no rows give no rows; columns of any name stay.
+    Nothing is joined or shuffled. The key is a literal of the plan, so event
+    logs and plans of a job that uses it must be kept like the key.
     """
     docs = docs.drop("pii_kinds")
-    text = F.col(column)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(column).alias("text"))
+    text = F.col("text")
     some = F.coalesce(text.rlike("[0-9@=:]"), F.lit(False))
     pattern = F.lit(_PATTERN)
     found = F.when(some, F.regexp_extract_all(text, pattern, F.lit(0)))
-    with_found = docs.withColumn("_found", found)
-    parsed = F.transform("_found", lambda m: F.struct(m.alias("m"), _digits(m).alias("digits")))
+    with_found = packed.withColumn("found", found)
+    parsed = F.transform("found", lambda m: F.struct(m.alias("m"), _digits(m).alias("digits")))
     parsed = F.transform(parsed, lambda x: F.struct(x["m"].alias("m"), x["digits"].alias("digits"), _kind(x["m"], x["digits"]).alias("kind")))
     valued = F.transform(parsed, lambda x: F.struct(x["m"].alias("m"), x["digits"].alias("digits"), x["kind"].alias("kind"), _value(x).alias("v")))
     moved = F.transform(
@@ -248,17 +254,17 @@ def pseudonymize(docs: DataFrame, column: str = "text", key: str = DEMO_KEY, rou
         ),
     )
     named = F.transform(moved, lambda x: F.struct(x["kind"].alias("kind"), _pseudonym(x, key).alias("name")))
-    with_named = with_found.withColumn("_named", F.when(F.size("_found") > 0, named))
+    with_named = with_found.withColumn("named", F.when(F.size("found") > 0, named))
     parts = F.split(text, _PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.col("_named"), lambda p, x: F.array(p, F.coalesce(x["name"], F.lit(""))))), "")
-    kinds = F.filter(F.transform("_named", lambda x: x["kind"]), lambda k: k.isNotNull())
-    result = with_named.withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
-    result = result.withColumn(column, F.when(F.col("_named").isNotNull(), joined).otherwise(text))
-    return result.select(*docs.columns, "pii_kinds")
+    joined = F.array_join(F.flatten(F.zip_with(parts, F.col("named"), lambda p, x: F.array(p, F.coalesce(x["name"], F.lit(""))))), "")
+    kinds = F.filter(F.transform("named", lambda x: x["kind"]), lambda k: k.isNotNull())
+    changed = F.when(F.col("named").isNotNull(), joined).otherwise(text)
+    columns = [changed.alias(c) if c == column else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return with_named.select(*columns, F.coalesce(kinds, F.array().cast("array<string>")).alias("pii_kinds"))
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymize(docs).select(
+    return pseudonymize(docs, DEMO_KEY).select(
         "doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("kinds")
     )
