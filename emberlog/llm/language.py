@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import table
+from emberlog.llm.common import stored, table
 from emberlog.llm.textops import by_slice
 
 #: Bytes that the network reads at a stretch, and its units in each direction.
 WINDOW, UNITS = 64, 8
-#: The training sample: at most so many languages (the most frequent), about so many documents of each, windows of each document.
-MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_WINDOWS = 100, 500, 4
+#: The training sample: about so many documents of each language, but no more than about SAMPLE_TOTAL of all; windows of each document.
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_WINDOWS = 500, 50_000, 4
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.02, 7
 #: Windows that are worked on at once.
 _BLOCK = 1024
@@ -187,22 +187,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """lang, part: windows spread over the whole texts of about per_language documents of each of the MAX_LANGUAGES most frequent languages, none held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return known.select("lang", F.col("text").alias("part")).limit(0)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, F.lit(per_language / r.n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
+    """lang, part: windows spread over the whole texts of about per_language documents of each language, none held out.
+
+    All languages are learned. Where that would make more than SAMPLE_TOTAL
+    documents, fewer of each are drawn, but one of each at least on average.
+    """
+    known = docs.select("doc_id", "lang", "text")
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n = sizes.count()
+    each = max(1, min(per_language, SAMPLE_TOTAL // max(1, n)))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(float(each)) / F.col("n")
     part = F.expr(
         f"transform(sequence(0, {SAMPLE_WINDOWS - 1}), i -> substring(text, 1 + cast(i * greatest(length(text) - {WINDOW}, 0) / {SAMPLE_WINDOWS - 1} as int), {WINDOW}))"
     )
-    # binomial draws: twice the expected number is never met, but it is a proven bound
-    return known.where(drawn).select("lang", F.explode(F.array_distinct(part)).alias("part")).limit(
-        2 * len(sizes) * per_language * SAMPLE_WINDOWS
-    )
+    parts = known.join(sizes, "lang").where(drawn).select("doc_id", "lang", F.explode(F.array_distinct(part)).alias("part"))
+    # a bound where chance, or rows of one id, would draw far more: those with the least hashes
+    order = [F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id", "lang", "part"]
+    return parts.orderBy(*order).limit(2 * max(1, n) * each * SAMPLE_WINDOWS).select("lang", "part")
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
@@ -211,7 +213,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for each row of docs; und and 0 where the text is null or has no letter, or nothing was learned. Other columns are ignored."""
+    """doc_id, lang_pred, score for each row of docs, repeated ones included; und and 0 where the text is null or has no letter, or nothing was learned. A text is read to its end in windows, however long; other columns are ignored."""
     schema = docs.select("doc_id").schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
