@@ -31,6 +31,9 @@ FILE_RECORDS = 4_000
 #: Writing tasks whose files' sizes are summed up in order by one task.
 BLOCK_TASKS = 256
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
+#: The folder of the index beside the records.
+INDEX = "_index"
+_INDEX_SCHEMA = "file string, at long, size long, doc_id long, start long, n_tokens long, ids_crc32 long"
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<Bq")
 _WIDE, _NO_ID = 1, 2
@@ -75,7 +78,11 @@ def record_at(content: bytes, at: int) -> tuple[int | None, np.ndarray]:
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_records: int = FILE_RECORDS) -> None:
-    """Writes docs (doc_id, text) in ascending doc_id order: null ids first, equal ids by text, null texts as empty ones."""
+    """Writes docs (doc_id, an integer, and text) in ascending doc_id order: null ids first, equal ids by text, null texts as empty ones.
+
+    Repeated rows are records each; a text is encoded as a whole, however
+    long; no rows make no records; other columns are ignored, whatever their names.
+    """
 
     def encode(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         found = Encoder.of(tokenizer, spaces=False).encode(texts)
@@ -107,6 +114,17 @@ def file_place(file: Column) -> tuple[Column, Column]:
     return F.regexp_extract(file, r"^part-(\d+)", 1).cast("long"), F.regexp_extract(file, r"-c(\d+)\.\w+$", 1).cast("long")
 
 
+def write_index(spark: SparkSession, path: str) -> DataFrame:
+    """Writes the index of the records under path into its folder _index, where readers of the records don't look, and reads it back."""
+    build_index(spark, path).write.mode("overwrite").parquet(f"{path}/{INDEX}")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The stored index: file, at, size, doc_id, start, n_tokens, ids_crc32."""
+    return spark.read.schema(_INDEX_SCHEMA).parquet(f"{path}/{INDEX}")
+
+
 def build_index(spark: SparkSession, path: str) -> DataFrame:
     """Reads all record files under path, checks every record and returns file, at (offset), size (bytes), doc_id, start (ids of all records before it), n_tokens, ids_crc32."""
 
@@ -140,7 +158,9 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """doc_id and ids (array of long) of the records named by index rows (file, at), in any order: shuffled or partial reads."""
+    """doc_id and ids (array of long) of the records named by index rows (file, at), in any order: shuffled or partial reads. Of other files nothing is shuffled."""
+    wanted = index.select("file", "at")
+    files = _files(spark, path).join(wanted.select("file").distinct(), "file", "left_semi")
 
     def decode(key, left: pa.Table, right: pa.Table) -> pa.Table:
         docs, ids = [], []
@@ -153,7 +173,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
         return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
     return (
-        index.select("file", "at").groupBy("file").cogroup(_files(spark, path).groupBy("file"))
+        wanted.groupBy("file").cogroup(files.groupBy("file"))
         .applyInArrow(decode, "doc_id long, ids array<long>")
     )
 
@@ -161,4 +181,4 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "records")
     write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
-    return build_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return write_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
