@@ -25,8 +25,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local sessions and tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset in a local session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not path:
         path = f"file://{tempfile.mkdtemp(prefix='emberlog-')}"
         spark.conf.set("spark.checkpoint.dir", path)
