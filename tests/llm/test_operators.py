@@ -1,8 +1,10 @@
 """The corpus operators against brute force, on rows with every odd thing: nulls, empty and long texts, repeated rows, empty tables, columns with clashing names."""
 
 import collections
+import datetime
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -115,6 +117,43 @@ def test_language_gradients():
             assert abs((up - down) / 2e-3 - d[at]) < 5e-3
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 3000])
+def test_probabilities_equal_the_plain_network(n):
+    """The fast pass over many windows against the form that was trained, letter by letter."""
+    rng = np.random.default_rng(n)
+    units, langs = 4, ["a", "b", "c"]
+    normal = lambda *shape: rng.normal(0, 0.7, shape).astype(np.float32)
+    x, u, b = ([normal(*shape) for _ in range(2)] for shape in ((256, 3 * units), (units, 3 * units), (units,)))
+    model = language.Model(langs, x, u, b, normal(2 * units, 3), normal(3))
+    texts = [bytes(rng.integers(32, 256, n + k).astype(np.uint8)) for k in range(3)] + [b"", b"12 34", b"Az"]
+    found = language.probabilities(model, texts)
+    for text, own in zip(texts, found, strict=True):
+        sums, letters = np.zeros(3), 0
+        for k in range(0, len(text), language.WINDOW):
+            data = np.frombuffer(text[k : k + language.WINDOW].ljust(language.WINDOW), np.uint8)[:, None]
+            ways = (range(language.WINDOW), range(language.WINDOW - 1, -1, -1))
+            states = np.concatenate([language._forward(x[d], u[d], b[d], data, ways[d]) for d in (0, 1)], axis=2)[:, 0]
+            logits = (states @ model.out + model.out_b).astype(float)
+            for c, row in zip(data[:, 0].tolist(), logits, strict=True):
+                if c >= 0x80 or chr(c).isalpha():
+                    sums += np.exp(row - row.max()) / np.exp(row - row.max()).sum()
+                    letters += 1
+        assert np.allclose(own, sums / max(1, letters), atol=1e-4)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample has room for: fewer documents of each, but no language is left out; repeated rows and long texts are read to the end."""
+    rows = [(k, f"{k % 130} " + chr(0x4E00 + k % 130) * 20, f"l{k % 130}") for k in range(130 * 8)]
+    rows += [(5000, "x" * 200_000 + "é", "l1"), (5000, "x" * 200_000 + "é", "l1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang for r in language.training_sample(df).collect()} == {f"l{k}" for k in range(130)}
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 260)
+    drawn = [r.lang for r in language.training_sample(df).collect()]
+    assert len(set(drawn)) > 90 and len(drawn) < 2 * 260 * language.SAMPLE_WINDOWS
+    model = language.fit(df.where("doc_id < 40"), per_language=2)
+    assert language.identify(df, model).where("doc_id = 5000").count() == 2
+
+
 def test_language_without_labels(empty):
     model = language.fit(empty)
     assert model.languages == [] and language.identify(empty, model).count() == 0
@@ -125,8 +164,9 @@ def test_language_without_labels(empty):
 
 def test_records_round_trip(spark, docs, tmp_path):
     path = f"file://{tmp_path}/records"
-    records.write_records(docs, path, public_tokenizers.path("word_bpe_49k.json"), file_records=4)
-    index = records.build_index(spark, path)
+    records.write_records(docs.withColumn("frame", F.lit("clash")).withColumn("value", F.lit(1)), path, public_tokenizers.path("word_bpe_49k.json"), file_records=4)
+    index = records.write_index(spark, path)
+    assert records.read_index(spark, path).count() == len(ROWS)
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     t.encode_special_tokens = True
     expected, start, ids_of = [], 0, collections.defaultdict(list)
@@ -157,6 +197,7 @@ def test_records_of_nothing(spark, empty, tmp_path):
     path = f"file://{tmp_path}/none"
     records.write_records(empty, path, public_tokenizers.path("word_bpe_49k.json"))
     assert records.build_index(spark, path).count() == 0
+    assert records.write_index(spark, path).count() == 0
 
 
 # --- 3
@@ -336,7 +377,7 @@ def test_pseudonyms(spark):
         (4, "me.Too42@mail.example.com, +1 (988) 555-2485"), (5, None), (6, ""), (6, ""), (7, 'token = "be8a8e7152a5c568"'), (None, "ip 8.8.4.4"), (8, "ssn 123-45-6789"),
         (9, "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not DE88370400440532013000"),
     ]
-    out = [(r.doc_id, r.text, r.pii_kinds) for r in pii.pseudonymize(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, pii_kinds string")).collect()]
+    out = [(r.doc_id, r.text, r.pii_kinds) for r in pii.pseudonymize(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, pii_kinds string"), pii.DEMO_KEY).collect()]
     of = {i: t for i, t, _ in out}
     one, two = re.findall(r"(?:\d ?){16}", of[1])[:2]
     assert one.replace(" ", "") == two.replace(" ", "").strip() and luhn(one.strip()) and one != "4041894974608795" and "4041894974608796" in of[1]
@@ -352,10 +393,57 @@ def test_pseudonyms(spark):
     assert sorted(len(k) for _, _, k in out) == [0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2]
 
 
+def test_network_against_plain_integers(spark):
+    """The Feistel network on addresses, days and numbers in plain Python, its inverse, and no clash with the caller's columns."""
+    key = "another key"
+
+    def part(*x):
+        return int(hashlib.sha256("|".join(map(str, (key, *x))).encode()).hexdigest()[:15], 16)
+
+    def network(kind, left, right, a, b, back=False):
+        for i in range(8, 0, -1) if back else range(1, 9):
+            if back:
+                right = (right - part(kind, i, a, b, "r", left) % b) % b
+                left = (left - part(kind, i, a, b, "l", right) % a) % a
+            else:
+                left = (left + part(kind, i, a, b, "l", right) % a) % a
+                right = (right + part(kind, i, a, b, "r", left) % b) % b
+        return left, right
+
+    def address(text, back=False):
+        o = [int(x) for x in text.split(".")]
+        x, y = network("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, back)
+        return f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
+
+    def day(text, back=False):
+        first = datetime.date(1700, 1, 1)
+        days = (datetime.date.fromisoformat(text) - first).days
+        x, y = network("date", *divmod(days, 773), 189, 773, back)
+        return (first + datetime.timedelta(x * 773 + y)).isoformat()
+
+    def social(text, back=False):
+        area, group, serial = map(int, text.split("-"))
+        x, y = network("ssn", area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, back)
+        return f"{x + 1 + (x + 1 >= 666):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+
+    rng = random.Random(3)
+    values = [(address, ".".join(str(rng.randrange(256)) for _ in range(4))) for _ in range(30)]
+    values += [(day, (datetime.date(1950, 1, 1) + datetime.timedelta(rng.randrange(30_000))).isoformat()) for _ in range(30)]
+    values += [(social, f"{rng.choice([1, 665, 667, 899])}".zfill(3) + f"-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10_000):04d}") for _ in range(30)]
+    rows = spark.createDataFrame([(k, f"on {v} ", "own") for k, (_, v) in enumerate(values)], "doc_id long, text string, _found string")
+    out = {r.doc_id: r for r in pii.pseudonymize(rows.withColumn("row", F.lit(1)).withColumn("named", F.lit(2)), key).collect()}
+    for k, (f, v) in enumerate(values):
+        assert out[k].text == f"on {f(v)} " and f(f(v), back=True) == v
+        assert (out[k]._found, out[k]["row"], out[k].named) == ("own", 1, 2)
+    assert pii.pseudonymize(rows.limit(0), key).count() == 0
+    long = spark.createDataFrame([(1, "no data here " * 60_000 + "10.1.2.3")], "doc_id long, text string")
+    assert pii.pseudonymize(long, key).first().text.endswith(f"here {address('10.1.2.3')}")
+
+
 def test_pseudonyms_permute(spark):
     """Different values of a format have different pseudonyms."""
     phones = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("%03d-555-%04d", F.col("id") % 800 + 200, F.col("id")).alias("text"))
-    out = pii.pseudonymize(phones).select("text").distinct()
+    out = pii.pseudonymize(phones, pii.DEMO_KEY).select("text").distinct()
     assert out.where(r"text rlike '^[2-9]\\d\\d-[2-9]\\d\\d-\\d{4}$'").count() == 3000
 
 
@@ -543,6 +631,36 @@ def jaccard_components(rows):
     return group
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.9])
+def test_similar_sets_share_a_signature(similarity):
+    """Pairs of every small size, and of larger ones, as different as they may be: none is without a common signature."""
+    rng = np.random.default_rng(17)
+    sizes = [*range(1, 40), *(int(x) for x in rng.integers(40, 3000, 60))]
+    for n in sizes:
+        for large in {n, n + 1, int(n / similarity + 1e-9), int(rng.integers(n, int(n / similarity + 1e-9) + 1))}:
+            both = math.ceil(similarity / (1 + similarity) * (n + large) - 1e-9)  # the fewest common elements
+            if both > n or n == large == both:
+                continue
+            for _ in range(30 if n < 40 else 3):
+                u = rng.integers(0, 2**64, n + large - both, dtype=np.uint64)
+                a, b = np.unique(u[:n]), np.unique(np.concatenate([u[:both], u[n:]]))
+                number, found = simhash.signatures([a, np.zeros(0, np.uint64), b], similarity)
+                assert not (number == 1).any()
+                assert np.intersect1d(found[number == 0], found[number == 2]).size, (n, large)
+
+
+@pytest.mark.parametrize("lane_words", [None, 1])
+def test_bit_planes_of_those_that_ask(lane_words):
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**64, (300, 1), dtype=np.uint64)
+    bucket, asks = np.sort(rng.integers(0, 2, 300)), rng.random(300) < 0.5
+    found = {(i, j) for a, b in simhash.compared(fps, bucket, 28, asks, lane_words) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    place = [i - int(np.searchsorted(bucket, bucket[i])) for i in range(300)]
+    far = lambda i, j: (int(fps[i, 0]) ^ int(fps[j, 0])).bit_count()
+    most = 64 if lane_words else 300
+    assert found == {(i, j) for i in range(300) for j in range(i) if bucket[i] == bucket[j] and far(i, j) <= 28 and asks[i] and place[j] < most}
+
+
 @pytest.mark.parametrize("hot", [4096, 8])
 def test_near_copies_by_sets(spark, hot):
     """Groups of copies with one word in n changed, above and below the threshold, in the same buckets."""

@@ -4,6 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -52,6 +53,21 @@ def test_stages(spark, sf_dir, tmp_path):
     assert sum(r.length for r in after[4].collect()) == expected
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Names that the operators use themselves stay what they were, and change nothing."""
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+    names = ["row", "m", "kept", "base_failed", "hit", "own", "own_id", "n_dropped", "n_lines", "kept_text", "words", "to", "node", "component", "kept_id", "rows", "signature", "far"]
+    more = plain.select("*", *(F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, sf_dir)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert all(r[n] == f"{n} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+        expected = stage(spark, plain, sf_dir).collect()
+        assert sorted(map(str, ((r.doc_id, r.text) for r in rows))) == sorted(map(str, ((r.doc_id, r.text) for r in expected)))
+    assert corpus_pipeline.pack(spark, more, sf_dir).count() == corpus_pipeline.pack(spark, plain, sf_dir).count()
+
+
 def test_run_and_registry(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == 10
     assert QUERIES["pipeline"] is corpus_pipeline.run
