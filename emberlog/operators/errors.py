@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
 from emberlog.functions import vectors as V
+from emberlog.operators.graph import components
+from emberlog.sources.shared import stored
 
 ERROR_SEVERITIES = ["ERROR", "CRITICAL", "FATAL"]
 MIN_SAMPLES, EPS = 2, 0.25
@@ -24,7 +28,9 @@ def within(logs: DataFrame, as_of: Column, interval: str, column: str = "timesta
 def dedup_groups(logs: DataFrame) -> DataFrame:
     """One row for each service and fingerprint of errors: count, first and last time, latest message and severity, ids (ascending).
 
-    All aggregates combine before the shuffle, so a frequent fingerprint costs its groups' ids alone.
+    All aggregates combine before the shuffle, so a frequent fingerprint costs
+    its groups' ids alone. Those stand in one row; where groups may have
+    many millions of members, take dedup_members instead of source_record_ids.
     """
     by_time = F.struct("timestamp", "id")
     return (
@@ -38,6 +44,11 @@ def dedup_groups(logs: DataFrame) -> DataFrame:
     )
 
 
+def dedup_members(logs: DataFrame) -> DataFrame:
+    """service_name, fingerprint, id of every error: the members of dedup_groups, a row each, for groups of any size."""
+    return errors(logs).select("service_name", T.fingerprint(F.col("message")).alias("fingerprint"), "id")
+
+
 def dedup_pass(logs: DataFrame, known: DataFrame, as_of: Column, minutes: int = 60, newest: int = 1000) -> DataFrame:
     """Of the newest errors of the look-back of each service: processed records, new groups and those merged into known ones (service_name, fingerprint)."""
     recent = within(errors(logs), as_of, f"{minutes} MINUTES")
@@ -54,39 +65,49 @@ def dedup_pass(logs: DataFrame, known: DataFrame, as_of: Column, minutes: int =
     )
 
 
-def pairs_within(vectors: DataFrame, key: str, eps: float) -> DataFrame:
-    """src, dst (both ways) of vectors with the same key whose cosine distance is eps at most.
+#: Vectors of a tile; two tiles meet in a task.
+TILE = 2048
+
+
+def pairs_within(vectors: DataFrame, key: str, eps: float, tile: int = TILE) -> DataFrame:
+    """src, dst (both ways) of vectors with the same key whose cosine distance is eps at most; vectors of no length have none.
 
-    The join is on the key; vectors are scaled to length 1 before it, so a pair costs one dot product.
+    Vectors of a key are dealt to tiles of a bounded size, and each two tiles
+    of a key make one block: a matrix product in numpy, of which only near
+    pairs are written. So no key, however frequent, meets in one task.
     """
-    size = V.norm(F.col("embedding"))
-    unit = vectors.select(
-        F.col(key).alias("key"), "id",
-        F.when(size > 0, F.transform(V.doubles(F.col("embedding")), lambda x: x / size)).alias("unit"),
-    ).where(F.col("unit").isNotNull())
-    a, b = unit.alias("a"), unit.alias("b")
-    near = 1 - F.aggregate(F.zip_with("a.unit", "b.unit", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) <= eps
-    half = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).where(near)
-    half = half.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
-    return half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-
-
-def min_label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and root (smallest id reachable) of nodes over edges (src, dst, both ways). Each round takes the least label of the neighbours and then its label; it is cut off the lineage by a checkpoint."""
-    sc = nodes.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # only where a cluster names none, as in tests
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberlog-"))
-    labels = nodes.select("id", F.col("id").alias("root")).checkpoint()
-    while True:
-        least = edges.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("root").alias("least"))
-        step = labels.join(least, F.col("id") == F.col("src"), "left").select("id", "root", F.least("root", F.coalesce("least", "root")).alias("next"))
-        up = labels.select(F.col("id").alias("next"), F.col("root").alias("above"))
-        new = step.join(up, "next", "left").select("id", "root", F.least("next", F.coalesce("above", "next")).alias("new")).checkpoint()
-        if new.where("new <> root").limit(1).count() == 0:
-            return labels
-        labels = new.select("id", F.col("new").alias("root"))
+    own = vectors.select(F.col(key).alias("key"), "id", V.doubles(F.col("embedding")).alias("v")).where("v is not null")
+    tiles = stored(own.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "tiles")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    placed = own.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", other)
+    blocks = placed.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "v")
+    id_type = vectors.schema["id"].dataType.simpleString()
+
+    def near(block: pa.Table) -> pa.Table:
+        ids, of = block.column("id").to_numpy(), block.column("tile").to_numpy()
+        v = np.array([np.asarray(x, float) for x in block.column("v").to_pylist()])
+        size = np.sqrt((v * v).sum(axis=1))
+        some = size > 0
+        ids, of, unit = ids[some], of[some], v[some] / size[some, None]
+        one, other = (of.min(), of.max()) if len(of) else (0, 0)
+        across = one != other
+        left = np.flatnonzero(of == one)
+        right = np.flatnonzero(of == other)
+        src, dst = [], []
+        for k in range(0, len(left), 256):
+            a, b = np.nonzero(1 - unit[left[k : k + 256]] @ unit[right].T <= eps)
+            a, b = left[a + k], right[b]
+            keep = np.full(len(a), True) if across else a != b
+            src.append(ids[a[keep]])
+            dst.append(ids[b[keep]])
+        src, dst = (np.concatenate([ids[:0], *x]) for x in (src, dst))
+        if across:  # a block of one tile has both ways already
+            src, dst = np.concatenate([src, dst]), np.concatenate([dst, src])
+        return pa.table({"src": pa.array(src, block.schema.field("id").type), "dst": pa.array(dst, block.schema.field("id").type)})
+
+    # of a block of two tiles only pairs across count, so a block with rows of one of its tiles alone has none
+    whole = blocks.groupBy("key", "i", "j")
+    return whole.applyInArrow(lambda t: near(t) if t["i"][0] == t["j"][0] or len(t["tile"].unique()) > 1 else near(t.slice(0, 0)), f"src {id_type}, dst {id_type}")
 
 
 def dbscan(vectors: DataFrame, key: str = "service_id", eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
@@ -96,11 +117,13 @@ def dbscan(vectors: DataFrame, key: str = "service_id", eps: float = EPS, min_sa
     components of cores, numbered from 0 by their smallest core id; a vector
     near a core takes the lowest label of those; the rest is noise, -1.
     """
-    edges = pairs_within(vectors, key, eps).checkpoint() if vectors.sparkSession.sparkContext.getCheckpointDir() else pairs_within(vectors, key, eps)
-    cores = edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("src").alias("id"))
+    edges = stored(pairs_within(vectors, key, eps), "edges")
+    cores = stored(edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("src").alias("id")), "cores")
     both = edges.join(cores.withColumnRenamed("id", "src"), "src").join(cores.withColumnRenamed("id", "dst"), "dst")
-    roots = min_label_components(cores, both.select("src", "dst"))
+    found = components(both.select("src", "dst"))
+    roots = cores.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     named = roots.join(vectors.select("id", key), "id").withColumn("label", F.expr(f"dense_rank() over (partition by `{key}` order by root) - 1"))
+    named = stored(named, "cores")
     border = (
         edges.join(named.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("border"))
         .select(F.col("src").alias("id"), "border")
