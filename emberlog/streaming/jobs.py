@@ -19,6 +19,7 @@ from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor
 from emberlog.functions import text as T
 from emberlog.operators.errors import ERROR_SEVERITIES
 from emberlog.operators.signals import velocity_score
+from emberlog.sources.shared import fresh_path
 from emberlog.sources.sinks import payload
 
 #: Groups of a service that a message is compared with, its least similarity, the weight of a new vector.
@@ -199,7 +200,12 @@ def fan_out(alerts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything that a stream over files yields, as a table: it runs until no new file is left."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Everything that a stream over files yields, as a table in the shared folder: it runs until no new file is left. In complete mode the last batch replaces those before."""
+    path = fresh_path(spark, name)
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", f"{path}/rows")
+    else:
+        out = out.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows"))
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
