@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions import vectors
+
 
 class Provider(Protocol):
     name: str
@@ -33,8 +35,7 @@ class Stub:
         return "stub " + hashlib.md5(prompt.encode()).hexdigest()[:8]
 
     def embed(self, text: str) -> list[float]:
-        seed = int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
-        return [((seed >> k) % 1000) / 1000 for k in range(16)]
+        return vectors.stub_vector(text)
 
 
 _PROVIDERS: dict[str, Callable[[], Provider]] = {"stub": Stub}

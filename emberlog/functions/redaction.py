@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns and placeholders.
 JWT = r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+"
@@ -97,23 +98,49 @@ def with_redaction(df: DataFrame, column: str, prefix: str = "redacted") -> Data
     )
 
 
-def redact_map(df: DataFrame, key: list[str], column: str) -> DataFrame:
-    """df with the string values of a map column redacted, and {column}_count; other value types are left to the caller's cast.
-
-    Values become rows with the key columns, so every value goes through the
-    same expressions as a text; a row's map comes back by partial aggregation.
-    """
-    values = df.select(*key, F.explode(column).alias("_k", "_v"))
-    done = with_redaction(values, "_v", "_r")
-    back = done.groupBy(*key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_r_text")))).alias("_map"), F.sum("_r_count").alias("_n")
-    )
-    return (
-        df.join(back, key, "left")
-        .withColumn(column, F.coalesce("_map", column))
-        .withColumn(f"{column}_count", F.coalesce("_n", F.lit(0)).cast("int"))
-        .drop("_map", "_n")
-    )
+def redacted(text: Column) -> Column:
+    """(text, n) of a text without any of the kinds. Each step's lambda binds what the step before left."""
+    def step(kind: str):
+        def act(s: Column) -> Column:
+            done = redact_kind(s["text"], kind)
+            return _result(done["text"], s["n"] + F.coalesce(done["n"], F.lit(0)))
+
+        return act
+
+    out = _result(text, F.lit(0))
+    for kind in PLACEHOLDERS:
+        out = F.get(F.transform(F.array(out), step(kind)), F.lit(0))
+    return out
+
+
+def redact_value(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """A value of any type with its texts redacted, and how many were: texts, and maps and structs down to their texts; lists and other values stay."""
+    if isinstance(kind, T.StringType):
+        done = redacted(value)
+        return done["text"], F.coalesce(done["n"], F.lit(0))
+    if isinstance(kind, T.MapType):
+
+        def entry(e: Column) -> Column:
+            text, n = redact_value(e["value"], kind.valueType)
+            return F.struct(e["key"].alias("key"), text.alias("value"), n.cast("int").alias("n"))
+
+        entries = F.transform(F.map_entries(value), entry)
+        back = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+        return back, F.coalesce(F.aggregate(entries, F.lit(0), lambda s, e: s + e["n"]), F.lit(0))
+    if isinstance(kind, T.StructType):
+        parts = {f.name: redact_value(value[f.name], f.dataType) for f in kind.fields}
+        back = F.when(value.isNotNull(), F.struct(*(x.alias(name) for name, (x, _) in parts.items())))
+        total = F.lit(0)
+        for _, n in parts.values():
+            total += n
+        return back, total
+    return value, F.lit(0)
+
+
+def redact_map(df: DataFrame, column: str) -> DataFrame:
+    """df with the texts of a map (or struct) column redacted at any depth, and {column}_count. Rows are worked on one by one: nothing is shuffled."""
+    changed, n = redact_value(F.col(column), df.schema[column].dataType)
+    return df.withColumns({column: changed, f"{column}_count": n.cast("int")})
 
 
 def redact_records(df: DataFrame) -> DataFrame:

@@ -48,13 +48,17 @@ def centroids(df: DataFrame, keys: list[str], vector: str, digits: int | None =
     return parts.groupBy(*keys).agg(F.transform(ordered, lambda x: x["m"]).alias(name))
 
 
+def stub_vector(text: str | None, dimensions: int = STUB_DIMENSIONS) -> list[float]:
+    seed = int(hashlib.md5((text or "").encode()).hexdigest(), 16)
+    return [round(math.sin(seed + i) * 0.5, 6) for i in range(dimensions)]
+
+
 def stub_embeddings(texts: DataFrame, column: str, dimensions: int = STUB_DIMENSIONS) -> DataFrame:
     """A deterministic stand-in for a model: sin(seed + i) / 2 with the text's MD5 as the seed, 6 digits. Arrow batches, as the seed has 128 bits."""
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seeds = [int(hashlib.md5((t or "").encode()).hexdigest(), 16) for t in b[column]]
-            yield b.assign(embedding=[[round(math.sin(s + i) * 0.5, 6) for i in range(dimensions)] for s in seeds])
+            yield b.assign(embedding=[stub_vector(t, dimensions) for t in b[column]])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes) + ", embedding array<double>"
     return texts.mapInPandas(embed, schema)
