@@ -70,10 +70,12 @@ def _matched(line: Column, pattern: str, record: Callable[[Callable[[int], Colum
     """record(group, text) where the pattern matches, else null; group(n) is null and text(n) empty where group n took no part.
 
     One replacement turns the line into its groups, and the lambda binds them, so each line meets each pattern once.
+    Only a line that has the mark itself meets it once for each group.
     """
     n = re.compile(pattern.replace("–", "-")).groups
+    singly = F.when(line.rlike(pattern), F.array(*(F.regexp_extract(line, pattern, k + 1) for k in range(n))))
     marked = F.regexp_replace(line, pattern + "(?s:.*)$", _MARK.join(f"${k + 1}" for k in range(n)))
-    groups = F.when(~line.contains(_MARK), F.split(marked, _MARK))
+    groups = F.when(line.contains(_MARK), singly).otherwise(F.split(marked, _MARK))
     text = lambda g: lambda k: F.get(g, F.lit(k - 1))
     group = lambda g: lambda k: F.nullif(F.get(g, F.lit(k - 1)), F.lit(""))
     return F.get(F.transform(F.array(groups), lambda g: F.when(F.size(g) == n, record(group(g), text(g)))), F.lit(0))
