@@ -48,12 +48,6 @@ ff AS (SELECT pp.src, pp.dst, count(*) AS followed FROM pp JOIN tl a ON a.servic
 deps AS (SELECT ff.src, dst, round(followed / n, 4) AS lead_ratio FROM ff JOIN nn ON ff.src = nn.src WHERE followed / n > {ratio})"""
 
 
-@query(f"WITH {L}, {CAUSES}, {DEPS.format(lead=1800, ratio=0.3)} SELECT * FROM deps")
-def service_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With half an hour of lead and a ratio of 0.3, which these sparse events reach."""
-    return I.dependencies(_timeline(spark, sf_dir), 1800, 0.3)
-
-
 CHAIN = """st AS (SELECT service, count(*) AS n, min("timestamp") AS first_ts, arg_min(severity, ("timestamp", id)) AS severity, arg_min(message, ("timestamp", id)) AS message FROM tl GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp", id) AS r FROM tl), ids AS (SELECT service, string_agg(id::VARCHAR, ',' ORDER BY r) AS supporting FROM rk WHERE r <= 5 GROUP BY ALL),
 im AS (SELECT src AS service, string_agg(DISTINCT dst, ', ' ORDER BY dst) AS impact FROM deps GROUP BY ALL), dn AS (SELECT DISTINCT dst AS service FROM deps)
@@ -62,17 +56,12 @@ n || ' ' || severity || ' event(s) starting at ' || strftime(first_ts, '%Y-%m-%d
 supporting, CASE WHEN dn.service IS NULL THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM st JOIN ids ON st.service = ids.service LEFT JOIN im ON st.service = im.service LEFT JOIN dn ON st.service = dn.service"""
 
 
-@query(f"WITH {L}, {CAUSES}, {DEPS.format(lead=1800, ratio=0.45)}, {CHAIN}")
-def causal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chain(_timeline(spark, sf_dir))
-
-
 def _chain(events: DataFrame) -> DataFrame:
     c = I.causal_chain(events, I.dependencies(events, 1800, 0.45))
     return c.withColumn("supporting", F.array_join(F.transform("supporting_log_ids", lambda x: x.cast("string")), ",")).withColumn("confidence", F.col("confidence").cast("double")).drop("supporting_log_ids")
 
 
-# The same over the whole table: every service, no window, no limit.
+# Dependencies and the chain see the whole table: every service, no window, no limit.
 
 ALL_CAUSES = """tl AS (SELECT id, "timestamp", service_name AS service, severity, substr(coalesce(message, ''), 1, 300) AS message FROM logs WHERE severity IN ('ERROR', 'CRITICAL', 'FATAL', 'WARNING', 'WARN'))"""
 ALL_DEPS = """nn AS (SELECT service AS src, count(*) AS n FROM tl GROUP BY ALL), aa AS (SELECT a.service AS src, a."timestamp" AS t, d.src AS dst FROM tl a JOIN nn d ON a.service <> d.src),
@@ -81,12 +70,13 @@ deps AS (SELECT ff.src, dst, round(followed / n, 4) AS lead_ratio FROM ff JOIN n
 
 
 @query(f"WITH {L}, {ALL_CAUSES}, {ALL_DEPS.format(lead=1800, ratio=0.3)} SELECT * FROM deps")
-def service_dependencies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def service_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With half an hour of lead and a ratio of 0.3, which these sparse events reach."""
     return I.dependencies(I.causes(D.logs(spark, sf_dir)), 1800, 0.3)
 
 
 @query(f"WITH {L}, {ALL_CAUSES}, {ALL_DEPS.format(lead=1800, ratio=0.45)}, {CHAIN}")
-def causal_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def causal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chain(I.causes(D.logs(spark, sf_dir)))
 
 
@@ -139,10 +129,6 @@ TIERS = """rt AS (SELECT service_name AS service_id, CASE WHEN count(*) % 3 = 0
 STATES = """hs AS (SELECT s.service_id, s.name, coalesce(rt.risk_tier, 'normal') AS risk_tier, coalesce(an.n, 0) AS open_anomalies, coalesce(cl.n, 0) AS active_clusters,
   greatest(100 - CASE rt.risk_tier WHEN 'critical' THEN 50 WHEN 'warning' THEN 20 ELSE 0 END - least(5 * coalesce(an.n, 0), 30) - least(2 * coalesce(cl.n, 0), 20), 0)::DOUBLE AS health_score
   FROM services s LEFT JOIN rt ON s.service_id = rt.service_id LEFT JOIN an ON s.service_id = an.service_id LEFT JOIN cl ON s.service_id = cl.service_id WHERE s.is_active)"""
-HEALTH = f"""{D.SERVICES}, {TIERS}
-an AS (SELECT service_name AS service_id, count(*) AS n FROM logs WHERE http_status = 503 AND severity = 'ERROR' AND id % 20 = 0 GROUP BY ALL),
-cl AS (SELECT service_name AS service_id, count(DISTINCT extra_fields) AS n FROM logs WHERE id % 50 = 0 GROUP BY ALL),
-{STATES}"""
 
 
 def _states(spark: SparkSession, sf_dir: str, anomalies: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -151,47 +137,29 @@ def _states(spark: SparkSession, sf_dir: str, anomalies: DataFrame, clusters: Da
     return I.health_states(D.services(spark, sf_dir).where("is_active"), risk, anomalies, clusters)
 
 
-def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = D.logs(spark, sf_dir).withColumn("service_id", F.col("service_name"))
-    anomalies = own.where((F.col("http_status") == 503) & (F.col("severity") == "ERROR") & (F.col("id") % 20 == 0)).groupBy("service_id").agg(F.count("*").alias("n"))
-    clusters = own.where(F.col("id") % 50 == 0).groupBy("service_id").agg(F.countDistinct("extra_fields").alias("n"))
-    return _states(spark, sf_dir, anomalies, clusters)
-
-
-@query(f"WITH {L}, {HEALTH} SELECT service_id, name, risk_tier, open_anomalies, active_clusters, health_score FROM hs ORDER BY health_score, service_id")
-def health_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _health(spark, sf_dir).select("service_id", "name", "risk_tier", "open_anomalies", "active_clusters", "health_score").orderBy("health_score", "service_id")
-
+# From the detectors' results over all rows: spikes at 0.5 deviations, as in spike_zscore, and error groups.
 
-@query(f"""WITH {L}, {HEALTH} SELECT count(*) AS total_services, count(*) FILTER (WHERE health_score >= 80) AS healthy, count(*) FILTER (WHERE health_score >= 50 AND health_score < 80) AS warning, count(*) FILTER (WHERE health_score < 50) AS critical,
-sum(open_anomalies)::BIGINT AS open_anomalies, sum(active_clusters)::BIGINT AS active_clusters, arg_min(name, (health_score, name)) AS worst_service FROM hs""")
-def fleet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.fleet_summary(_health(spark, sf_dir))
-
-
-# The same from the detectors' results over all rows: spikes at 0.5 deviations, as in spike_zscore, and error groups.
-
-ALL_HEALTH = f"""{BASE}, {GROUPS}, {HOURS}, {STATS}, {SPIKES}, {D.SERVICES}, {TIERS}
+HEALTH = f"""{BASE}, {GROUPS}, {HOURS}, {STATS}, {SPIKES}, {D.SERVICES}, {TIERS}
 an AS (SELECT service_name AS service_id, count(*) AS n FROM z WHERE abs(observed - mean) / std >= 0.5 GROUP BY ALL),
 cl AS (SELECT service_name AS service_id, count(*) AS n FROM groups GROUP BY ALL),
 {STATES}"""
 
 
-def _health_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = D.logs(spark, sf_dir)
     n = lambda df: df.groupBy(F.col("service_name").alias("service_id")).agg(F.count("*").alias("n"))
     return _states(spark, sf_dir, n(spikes(own, D.as_of(), 0.5)), n(dedup_groups(own)))
 
 
-@query(f"{ALL_HEALTH} SELECT service_id, name, risk_tier, open_anomalies, active_clusters, health_score FROM hs ORDER BY health_score, service_id")
-def health_state_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _health_all(spark, sf_dir).select("service_id", "name", "risk_tier", "open_anomalies", "active_clusters", "health_score").orderBy("health_score", "service_id")
+@query(f"{HEALTH} SELECT service_id, name, risk_tier, open_anomalies, active_clusters, health_score FROM hs ORDER BY health_score, service_id")
+def health_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _health(spark, sf_dir).select("service_id", "name", "risk_tier", "open_anomalies", "active_clusters", "health_score").orderBy("health_score", "service_id")
 
 
-@query(f"""{ALL_HEALTH} SELECT count(*) AS total_services, count(*) FILTER (WHERE health_score >= 80) AS healthy, count(*) FILTER (WHERE health_score >= 50 AND health_score < 80) AS warning, count(*) FILTER (WHERE health_score < 50) AS critical,
+@query(f"""{HEALTH} SELECT count(*) AS total_services, count(*) FILTER (WHERE health_score >= 80) AS healthy, count(*) FILTER (WHERE health_score >= 50 AND health_score < 80) AS warning, count(*) FILTER (WHERE health_score < 50) AS critical,
 sum(open_anomalies)::BIGINT AS open_anomalies, sum(active_clusters)::BIGINT AS active_clusters, arg_min(name, (health_score, name)) AS worst_service FROM hs""")
-def fleet_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.fleet_summary(_health_all(spark, sf_dir))
+def fleet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.fleet_summary(_health(spark, sf_dir))
 
 
 @query(f"""{BASE}, {GROUPS}, r AS (SELECT *, row_number() OVER (PARTITION BY service_name ORDER BY occurrence_count DESC, fingerprint) AS n FROM groups)
@@ -304,15 +272,9 @@ def filtered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "timestamp", "severity", "service_name")
 
 
-@query(f"""WITH {L}, {D.SERVICES}, al AS (SELECT id AS alert_id, service_name AS service_id, duration_ms AS risk_score FROM logs WHERE id % 5 = 0)
-SELECT o_orderkey AS report_id, al.alert_id, name, risk_score FROM orders JOIN al ON o_orderkey = al.alert_id JOIN services s ON s.service_id = al.service_id""")
-def report_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _enriched(spark, sf_dir, D.logs(spark, sf_dir).where(F.col("id") % 5 == 0))
-
-
 @query(f"""WITH {L}, {D.SERVICES}, al AS (SELECT id AS alert_id, service_name AS service_id, duration_ms AS risk_score FROM logs)
 SELECT o_orderkey AS report_id, al.alert_id, name, risk_score FROM orders JOIN al ON o_orderkey = al.alert_id JOIN services s ON s.service_id = al.service_id""")
-def report_enrichment_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record as an alert."""
     return _enriched(spark, sf_dir, D.logs(spark, sf_dir))
 

@@ -83,13 +83,6 @@ def _grammar(form: int, lines: DataFrame, fields: list[str]) -> DataFrame:
     return lines.select("event_id", record.alias("r")).select("event_id", *(F.to_json("r.extra_fields").alias(f) if f == "extra_fields" else F.col(f"r.{f}") for f in fields))
 
 
-def _one(form: int, fields: list[str]):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _grammar(form, raw_lines(spark, sf_dir).where(F.col("event_id") % 8 == form), fields)
-
-    return query
-
-
 def _every(form: int, fields: list[str]):
     """A grammar over the lines of all forms, with nulls for those that it refuses."""
 
@@ -111,12 +104,7 @@ def _every_sql(form: int, fields: list[str]) -> str:
     return f"WITH {RAW}, {_PARSED} SELECT x.event_id, {names} FROM x JOIN (SELECT event_id, k FROM raw) r ON x.event_id = r.event_id"
 
 
-def _one_sql(form: int, fields: list[str]) -> str:
-    names = ", ".join('"timestamp"' if f == "timestamp" else f for f in fields)
-    return f"WITH {RAW}, {_PARSED} SELECT event_id, {names} FROM x WHERE form = {form}"
-
-
-_GRAMMARS = {
+GRAMMARS = {
     "parse_json": (0, ["timestamp", "severity", "message", "service_name", "http_status"]),
     "parse_json_extras": (0, ["extra_fields"]),
     "parse_clf_combined": (1, ["timestamp", "source_ip", "http_method", "http_path", "http_status", "severity", "extra_fields"]),
@@ -220,15 +208,16 @@ def _redact_secret(kind: str):
 
 
 def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every kind over whole conversations and the synthetic secrets."""
+    """Every kind over the whole texts of conversations and documents, and the synthetic secrets."""
     lines = read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("id"), F.col("text").alias("line"))
+    lines = lines.unionByName(read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("line")))
     every = lines.unionByName(_secrets(spark, sf_dir).select(F.concat(F.lit("s"), "doc_id").alias("id"), "line"))
     return R.with_redaction(every, "line").select("id", "redacted_text", "redacted_count", F.array_join("redacted_types", ",").alias("types"))
 
 
 def redact_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _secrets(spark, sf_dir).select("doc_id", F.create_map(F.lit("a"), F.col("line"), F.lit("b"), F.lit("plain")).alias("fields"))
-    return R.redact_map(own, ["doc_id"], "fields").select("doc_id", F.to_json("fields").alias("fields"), "fields_count")
+    return R.redact_map(own, "fields").select("doc_id", F.to_json("fields").alias("fields"), "fields_count")
 
 
 def redact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,8 +246,7 @@ NORMAL = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replac
 
 QUERIES = {
     "parse_cascade": parse_cascade,
-    **{name: _one(form, fields) for name, (form, fields) in _GRAMMARS.items()},
-    **{f"{name}_all": _every(form, fields) for name, (form, fields) in _GRAMMARS.items()},
+    **{name: _every(form, fields) for name, (form, fields) in GRAMMARS.items()},
     "format_vote": format_vote,
     "session_stats": session_stats,
     "severity_coercion": severity_coercion,
@@ -292,8 +280,7 @@ def _redact_sql(pattern: str, placeholder: str, before: str = "") -> str:
 
 SQL = {
     "parse_cascade": f"WITH {RAW}, {_PARSED} {_CASCADE}",
-    **{name: _one_sql(form, fields) for name, (form, fields) in _GRAMMARS.items()},
-    **{f"{name}_all": _every_sql(form, fields) for name, (form, fields) in _GRAMMARS.items()},
+    **{name: _every_sql(form, fields) for name, (form, fields) in GRAMMARS.items()},
     "format_vote": f"WITH {RAW}, {_PARSED}, c AS (SELECT session_id, log_format, count(*) AS n, min(event_id) AS f FROM x GROUP BY ALL) SELECT session_id, arg_max(log_format, (n, -f)) AS dominant_format FROM c GROUP BY session_id",
     "session_stats": f"WITH {LOGS} SELECT session_id, count(*) AS total_lines, count(*) FILTER (WHERE NOT is_malformed) AS inserted, count(*) FILTER (WHERE is_malformed) AS failed, sum(pii_count)::BIGINT AS pii_total FROM logs GROUP BY session_id",
     "severity_coercion": f"WITH {LOGS} SELECT id, CASE id % 4 WHEN 1 THEN 'WARNING' WHEN 2 THEN 'UNKNOWN' ELSE severity END AS severity, log_format FROM logs",
