@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from emberlog.functions import redaction as R
 from emberlog.functions import text as T
 from emberlog.functions import vectors as V
+from emberlog.operators import composed as C
 from emberlog.operators import errors as E
 from emberlog.operators import incidents as I  # noqa: E741
 from emberlog.operators import parsing as P
@@ -57,6 +58,15 @@ def test_blank_lines_go(spark):
     assert parse(spark, "", "  ", None, "x\r\n")[0].raw_line == "x"
 
 
+def test_marks_in_lines(spark):
+    """A control character that parsing uses itself is like any other."""
+    line = "2024-01-02 03:04:05 ERROR svc - a\x01b"
+    rows = P.parse_lines(spark.createDataFrame([(line,), (line.replace("\x01", "c"),), ("no\x01line",)], "value string"), F.lit("2024-01-31").cast("timestamp_ntz")).collect()
+    found = {r.raw_line: (r.severity, r.message, r.is_malformed) for r in rows}
+    assert found[line][0] == "ERROR" and not found[line][2] and found[line][1].endswith("a\x01b")
+    assert found[line][1].replace("\x01", "c") == found[line.replace("\x01", "c")][1] and found["no\x01line"][2]
+
+
 def test_key_that_is_present_wins_even_if_null(spark):
     assert parse(spark, '{"message":null,"msg":"late"}')[0].message is None
 
@@ -87,6 +97,19 @@ def test_record_gate(spark):
     assert [(r.raw_line, r.pii_count) for r in out] == [(None, 1), (None, 1), ("raw", 1)]
 
 
+def test_fields_at_any_depth(spark):
+    """Maps, nested maps and structs are redacted to their texts, lists stay; rows that are equal don't meet."""
+    schema = "id long, fields map<string,string>, deep map<string,map<string,string>>, parts struct<a:string,b:array<string>,c:int>"
+    row = (1, {"mail": "to a@b.org", "n": None}, {"x": {"ip": "8.8.8.8", "own": "10.0.0.1"}, "y": None}, ("c@d.org e@f.org", ["g@h.org"], 3))
+    df = spark.createDataFrame([row, row, (None, None, {}, None)], schema)
+    out = R.redact_map(R.redact_map(R.redact_map(df, "fields"), "deep"), "parts").collect()
+    for r in out[:2]:
+        assert r.fields == {"mail": "to [REDACTED_EMAIL]", "n": None} and r.fields_count == 1
+        assert r.deep == {"x": {"ip": "[REDACTED_IP]", "own": "[INTERNAL_IP]"}, "y": None} and r.deep_count == 1
+        assert tuple(r.parts) == ("[REDACTED_EMAIL] [REDACTED_EMAIL]", ["g@h.org"], 3) and r.parts_count == 2
+    assert (out[2].fields, out[2].fields_count, out[2].deep, out[2].parts, out[2].parts_count) == (None, 0, {}, None, 0)
+
+
 def test_normalised_messages_meet(spark):
     a, b, c = column(spark, ["Fail 123e4567-e89b-12d3-a456-426614174000 at 10.0.0.1 id 12345", "fail 00000000-e89b-12d3-a456-426614174000 at 8.8.8.8 id 99999 ", None], T.fingerprint)
     assert a == b != c
@@ -130,6 +153,23 @@ def test_dbscan_equals_the_sequential_form(spark):
     assert found == brute_dbscan(points, 0.002, 2) and -1 in found and max(found) > 1
 
 
+def test_pairs_in_tiles_are_those_in_one(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"s{k % 2 or k % 3 and 5}", k, [float(x) for x in v]) for k, v in enumerate(rng.normal(0, 1, (90, 3)))] + [("s0", 200, [0.0] * 3), ("s0", 201, None), (None, 202, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "service_id string, id long, embedding array<double>")
+    own = [(s, i, np.array(v) / np.linalg.norm(v)) for s, i, v in rows if s and v and any(v)]
+    expected = sorted((i, j) for s, i, v in own for t, j, w in own if s == t and i != j and 1 - v @ w <= 0.3)
+    for tile in (2048, 7):
+        assert sorted((r.src, r.dst) for r in E.pairs_within(df, "service_id", 0.3, tile).collect()) == expected
+    assert E.pairs_within(df.limit(0), "service_id", 0.3).count() == 0
+
+
+def test_confidence_of_narratives(spark):
+    texts = ["Confidence: 0.82 or so", "confidence 7", "no number", "confidence: ...", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(C.narrative_confidence(F.col("t"))).collect()] == [0.82, 1.0, 0.5, 0.5, 0.5]
+
+
 def test_baseline_rules(spark):
     df = spark.createDataFrame([("a", 5), ("a", 7), ("b", 4), ("b", 4), ("b", 4), ("c", 1), ("c", 2), ("c", 3)], "k string, n int")
     out = {r.k: (r.mean, round(r.std, 6)) for r in S.baseline(df, ["k"]).collect()}
