@@ -101,30 +101,30 @@ class Segment:
         at[at == len(self.terms)] = 0
         return np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(len(terms), -1)
 
-    def match(self, rows: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which windows (rows of this segment's term numbers, none missing) occur from which word on, each term within slack words of its place and in one document."""
+    def match(self, rows: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which windows (rows of this segment's term numbers, none missing) occur from which word on in which document, each term within slack words of its place and in that document."""
         size = self.counts[rows]
         order = np.argsort(size, axis=1, kind="stable")  # offsets, the rarest term's first
         rare = rows[np.arange(len(rows)), order[:, 0]]
         n = self.counts[rare]
         row = np.repeat(np.arange(len(rows)), n)
         at = np.repeat(self.first[rare] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        start = self.positions[at] - order[row, 0]
-        go = (start >= 0) & (start + rows.shape[1] <= (self.ends[-1] if len(self.ends) else 0))
-        row, start = row[go], start[go]
-        last = start + rows.shape[1] - 1
-        go = np.searchsorted(self.ends, start, side="right") == np.searchsorted(self.ends, last, side="right")
-        row, start = row[go], start[go]
+        position = self.positions[at]
+        start, doc = position - order[row, 0], np.searchsorted(self.ends, position, side="right")
+        begin = np.concatenate([[0], self.ends[:-1]])[: len(self.ends)]
+        go = (start >= begin[doc] - slack) & (start + rows.shape[1] <= self.ends[doc] + slack)
+        row, start, doc = row[go], start[go], doc[go]
         for k in range(1, rows.shape[1]):
             if not len(row):
                 break
             offset = order[row, k]
-            key = rows[row, offset] << 32 | (start + offset)
-            low = np.searchsorted(self.keys, np.maximum(key - slack, key >> 32 << 32))
+            term, place = rows[row, offset] << 32, start + offset
+            least, most = np.maximum(place - slack, begin[doc]), np.minimum(place + slack, self.ends[doc] - 1)
+            low = np.searchsorted(self.keys, term | least)
             found = self.keys[np.minimum(low, len(self.keys) - 1)]
-            go = (low < len(self.keys)) & (found <= key + slack) & (found >> 32 == key >> 32)
-            row, start = row[go], start[go]
-        return row, start
+            go = (least <= most) & (low < len(self.keys)) & (found >= term | least) & (found <= term | most)
+            row, start, doc = row[go], start[go], doc[go]
+        return row, start, doc
 
 
 def _hits(segment: Segment, query: Windows, slack: int) -> tuple[dict, dict, dict]:
@@ -140,8 +140,7 @@ def _hits(segment: Segment, query: Windows, slack: int) -> tuple[dict, dict, dic
         if not len(here):
             continue
         for tolerance, of in ((0, exact), *(((slack, near),) if slack else ())):
-            row, start = segment.match(rows[here], tolerance)
-            doc = np.searchsorted(segment.ends, start, side="right")
+            row, start, doc = segment.match(rows[here], tolerance)
             for r, s, d in zip(here[row].tolist(), start.tolist(), doc.tolist(), strict=True):
                 of.setdefault(d, set()).update(items[r].tolist())
                 if not tolerance:
@@ -170,7 +169,7 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int =
     or a shorter item as a whole; items without words have none. A null
     item_id counts as the empty string; rows of one id are one item. An item
     is near a document if all words of a window stand in it, each within
-    slack words of its place.
+    slack words of its place as counted from the rarest one's.
     """
     spark = index.sparkSession
     items = items.select("item_id", "text")
