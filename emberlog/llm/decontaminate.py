@@ -110,7 +110,17 @@ class Segment:
         row = np.repeat(np.arange(len(rows)), n)
         at = np.repeat(self.first[rare] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         position = self.positions[at]
-        start, doc = position - order[row, 0], np.searchsorted(self.ends, position, side="right")
+        doc = np.searchsorted(self.ends, position, side="right")
+        found = row, position - order[row, 0], doc
+        if slack:
+            # the rarest term too may be off its place: the others are within twice the slack of where it points to
+            row, start, doc = self._standing(rows, order, *found, 2 * slack)
+            shifts = np.arange(-slack, slack + 1)
+            found = np.repeat(row, len(shifts)), (start[:, None] + shifts).ravel(), np.repeat(doc, len(shifts))
+        return self._standing(rows, order, *found, slack)
+
+    def _standing(self, rows: np.ndarray, order: np.ndarray, row: np.ndarray, start: np.ndarray, doc: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of candidates (window, first word, document) those with all terms but the rarest within slack words of their places and in the document."""
         begin = np.concatenate([[0], self.ends[:-1]])[: len(self.ends)]
         go = (start >= begin[doc] - slack) & (start + rows.shape[1] <= self.ends[doc] + slack)
         row, start, doc = row[go], start[go], doc[go]
@@ -168,8 +178,10 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int =
     items: item_id, text. A window is window consecutive words of an item,
     or a shorter item as a whole; items without words have none. A null
     item_id counts as the empty string; rows of one id are one item. An item
-    is near a document if all words of a window stand in it, each within
-    slack words of its place as counted from the rarest one's.
+    is near a document if there is a place for one of its windows such that
+    each word of the window stands in the document within slack words of its
+    own place (equal words may share one). Where documents are cut into
+    segments plays no part.
     """
     spark = index.sparkSession
     items = items.select("item_id", "text")
@@ -243,6 +255,8 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"),
     )
 
 
@@ -253,7 +267,14 @@ bw AS (SELECT DISTINCT item, least(10, len(ws)) AS n, ws[i:i + least(10, len(ws)
 dw AS (SELECT k, n, i, ws[i:i + n - 1] AS g FROM (SELECT k, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
 h AS (SELECT dw.k, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
 p AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, i + unnest(range(0, n)) AS place FROM h) GROUP BY k),
-q AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY k)
-SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN p ON d.k = p.k LEFT JOIN q ON d.k = q.k
+q AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY k),
+t AS (SELECT k, i, ws[i] AS w FROM (SELECT k, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+r AS (SELECT x.n, g, arg_min(o, (coalesce(c.n, 0), o)) AS o FROM (SELECT n, g, unnest(range(1, n + 1)) AS o FROM (SELECT DISTINCT n, g FROM bw)) x LEFT JOIN c ON c.w = g[o] GROUP BY x.n, g),
+a AS (SELECT DISTINCT t.k, n, g, i - o + 1 - unnest(range(-3, 4)) AS s FROM r JOIN t ON t.w = g[o]),
+m AS (SELECT DISTINCT a.k, n, g FROM a JOIN d ON a.k = d.k WHERE list_bool_and([list_contains(ws[greatest(1, s + j - 4):greatest(0, s + j + 2)], g[j]) FOR j IN range(1, n + 1)])),
+z AS (SELECT k, count(DISTINCT item) AS n_near_items, string_agg(DISTINCT item, ',' ORDER BY item) AS near_items FROM m JOIN bw ON m.n = bw.n AND m.g = bw.g GROUP BY k)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+coalesce(n_near_items, 0) AS n_near_items, sha256(coalesce(near_items, '')) AS near_items_sha256
+FROM d LEFT JOIN p ON d.k = p.k LEFT JOIN q ON d.k = q.k LEFT JOIN z ON d.k = z.k
 """

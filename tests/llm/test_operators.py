@@ -248,19 +248,17 @@ def test_proximity_stays_in_a_document(spark):
     texts, items, slack, window = [some(rng.randrange(0, 12)) for _ in range(120)], [some(5) for _ in range(40)], 2, 4
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
-    counts = collections.Counter(w for t in texts for w in t)
 
     def near(text, win):
-        k = min(range(window), key=lambda i: (counts[win[i]], i))  # the rarest term is at its place
-        for p in (p for p, w in enumerate(text) if w == win[k]):
-            at = lambda i: range(max(0, p - k + i - slack), min(len(text), p - k + i + slack + 1))  # noqa: B023, E731
-            if p - k >= -slack and p - k + window <= len(text) + slack and all(i == k or any(text[x] == win[i] for x in at(i)) for i in range(window)):
-                return True
-        return False
+        at = lambda i: range(max(0, i - slack), min(len(text), i + slack + 1))
+        starts = range(-slack, len(text) - window + slack + 1)
+        return any(all(any(text[x] == win[i] for x in at(s + i)) for i in range(window)) for s in starts)
 
     found = {r.doc_id: set(r.near_items) for r in decontaminate.find(decontaminate.build_index(docs), bench, window, slack).collect()}
     expected = {k: {str(i) for i, t in enumerate(items) if any(near(text, t[j : j + window]) for j in range(2))} for k, text in enumerate(texts)}
     assert found == expected and sum(map(len, found.values())) > 10
+    cut = decontaminate.find(decontaminate.build_index(docs.repartition(4), 100), bench, window, slack)  # other segments, same items
+    assert {r.doc_id: set(r.near_items) for r in cut.collect()} == expected
 
 
 def test_decontamination_of_nothing(spark, docs, empty):
