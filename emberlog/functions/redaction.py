@@ -98,49 +98,64 @@ def with_redaction(df: DataFrame, column: str, prefix: str = "redacted") -> Data
     )
 
 
+def _bound(value: Column, act) -> Column:
+    """act(value), with the value evaluated once however often act uses it."""
+    return F.get(F.transform(F.array(value), act), F.lit(0))
+
+
 def redacted(text: Column) -> Column:
     """(text, n) of a text without any of the kinds. Each step's lambda binds what the step before left."""
+
     def step(kind: str):
         def act(s: Column) -> Column:
-            done = redact_kind(s["text"], kind)
-            return _result(done["text"], s["n"] + F.coalesce(done["n"], F.lit(0)))
+            return _bound(redact_kind(s["text"], kind), lambda done: _result(done["text"], s["n"] + F.coalesce(done["n"], F.lit(0))))
 
         return act
 
     out = _result(text, F.lit(0))
     for kind in PLACEHOLDERS:
-        out = F.get(F.transform(F.array(out), step(kind)), F.lit(0))
+        out = _bound(out, step(kind))
     return out
 
 
-def redact_value(value: Column, kind: T.DataType) -> tuple[Column, Column]:
-    """A value of any type with its texts redacted, and how many were: texts, and maps and structs down to their texts; lists and other values stay."""
+def redact_value(value: Column, kind: T.DataType) -> Column:
+    """(value, n) of a value of any type with its texts redacted, and how many were: texts, and maps and structs down to their texts; lists and other values stay."""
+
+    def result(value: Column, n: Column) -> Column:
+        return F.struct(value.alias("value"), F.coalesce(n, F.lit(0)).cast("int").alias("n"))
+
     if isinstance(kind, T.StringType):
-        done = redacted(value)
-        return done["text"], F.coalesce(done["n"], F.lit(0))
+        return _bound(redacted(value), lambda done: result(done["text"], done["n"]))
     if isinstance(kind, T.MapType):
 
         def entry(e: Column) -> Column:
-            text, n = redact_value(e["value"], kind.valueType)
-            return F.struct(e["key"].alias("key"), text.alias("value"), n.cast("int").alias("n"))
-
-        entries = F.transform(F.map_entries(value), entry)
-        back = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-        return back, F.coalesce(F.aggregate(entries, F.lit(0), lambda s, e: s + e["n"]), F.lit(0))
-    if isinstance(kind, T.StructType):
-        parts = {f.name: redact_value(value[f.name], f.dataType) for f in kind.fields}
-        back = F.when(value.isNotNull(), F.struct(*(x.alias(name) for name, (x, _) in parts.items())))
-        total = F.lit(0)
-        for _, n in parts.values():
-            total += n
-        return back, total
-    return value, F.lit(0)
+            return _bound(redact_value(e["value"], kind.valueType), lambda r: F.struct(e["key"].alias("key"), r["value"].alias("value"), r["n"].alias("n")))
+
+        def whole(entries: Column) -> Column:
+            back = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+            return result(back, F.aggregate(entries, F.lit(0), lambda s, e: s + e["n"]))
+
+        return _bound(F.transform(F.map_entries(value), entry), whole)
+    if isinstance(kind, T.StructType) and kind.fields:
+
+        def fields(parts: Column) -> Column:
+            back = F.struct(*(parts[f"_{k}"]["value"].alias(f.name) for k, f in enumerate(kind.fields)))
+            n = F.lit(0)
+            for k in range(len(kind.fields)):
+                n += parts[f"_{k}"]["n"]
+            return result(F.when(value.isNotNull(), back), n)
+
+        return _bound(F.struct(*(redact_value(value[f.name], f.dataType).alias(f"_{k}") for k, f in enumerate(kind.fields))), fields)
+    return result(value, F.lit(0))
 
 
 def redact_map(df: DataFrame, column: str) -> DataFrame:
     """df with the texts of a map (or struct) column redacted at any depth, and {column}_count. Rows are worked on one by one: nothing is shuffled."""
-    changed, n = redact_value(F.col(column), df.schema[column].dataType)
-    return df.withColumns({column: changed, f"{column}_count": n.cast("int")})
+    name = "_redacted"
+    while name in df.columns:
+        name += "_"
+    out = df.withColumn(name, redact_value(F.col(column), df.schema[column].dataType)).withColumns({column: F.col(f"{name}.value"), f"{column}_count": F.col(f"{name}.n")})
+    return out.drop(name)
 
 
 def redact_records(df: DataFrame) -> DataFrame:
