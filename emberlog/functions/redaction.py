@@ -61,8 +61,26 @@ def _result(text: Column, n: Column) -> Column:
     return F.struct(text.alias("text"), n.cast("int").alias("n"))
 
 
+def _possible(text: Column, kind: str) -> Column:
+    """Whether a text has what every match of the kind contains; far cheaper than its pattern."""
+    literal = {"jwt": ["eyJ"], "aws": ["AKIA"], "email": ["@"], "password": [":", "="], "ssn": ["-"]}.get(kind)
+    if kind == "card":
+        return text.rlike(r"\d{4}") & text.rlike(CARD)
+    if literal is None:
+        return text.rlike({"bearer": BEARER, "phone": r"\d{4}", "ipv4": r"\d\.\d"}[kind])
+    found = text.contains(literal[0])
+    for x in literal[1:]:
+        found |= text.contains(x)
+    return found
+
+
 def redact_kind(text: Column, kind: str) -> Column:
-    """(text, n): the text without one kind of data, and how many were replaced. Private addresses are replaced but not counted."""
+    """(text, n): the text without one kind of data, and how many were replaced. Private addresses are replaced but not counted. A null text stays null, and so does its count."""
+    none = _result(text, F.when(text.isNotNull(), 0))
+    return F.when(_possible(text, kind), _replaced(text, kind)).otherwise(none)
+
+
+def _replaced(text: Column, kind: str) -> Column:
     placeholder = PLACEHOLDERS[kind]
     if kind in _PATTERNS:
         pattern, before = _PATTERNS[kind]
