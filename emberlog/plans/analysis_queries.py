@@ -17,7 +17,7 @@ from emberlog.plans.log_queries import NORMAL
 L, AT = D.LOGS, f"TIMESTAMP '{D.AS_OF}'"
 ERR = "errs AS (SELECT * FROM logs WHERE severity IN ('ERROR', 'CRITICAL', 'FATAL'))"
 BASE = f"WITH {L}, {ERR}"
-EPS, KNN = 0.78, 0.20
+EPS, FIRST_EPS, KNN = 0.78, 0.70, 0.20
 QUERIES, SQL = {}, {}
 
 
@@ -120,11 +120,20 @@ def cluster_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.cluster_pass_summary(_labels(spark, sf_dir), _clusters(spark, sf_dir)).withColumn("silhouette", F.round("silhouette", 3))
 
 
-@query("""WITH a AS (SELECT service_id, label, n FROM (VALUES ('s', 0, 3), ('s', 1, 2)) t(service_id, label, n)), b AS (SELECT * FROM (VALUES ('s', 1, 5), ('t', 0, 2)) t(service_id, label, n))
-SELECT coalesce(b.service_id, a.service_id) AS service_id, coalesce(b.label, a.label) AS label, coalesce(b.n, a.n)::BIGINT AS member_count, b.label IS NOT NULL AS is_active FROM a FULL JOIN b ON a.service_id = b.service_id AND a.label = b.label""")
+def _counted(eps: float) -> str:
+    own = DBSCAN.replace(f"d <= {EPS}", f"d <= {eps}")
+    return f"(WITH RECURSIVE {own} SELECT service_id, label, count(*) AS n FROM labels WHERE label >= 0 GROUP BY ALL)"
+
+
+@query(f"""WITH a AS {_counted(FIRST_EPS)}, b AS {_counted(EPS)} SELECT coalesce(b.service_id, a.service_id) AS service_id, coalesce(b.label, a.label) AS label,
+coalesce(b.n, a.n)::BIGINT AS member_count, b.label IS NOT NULL AS is_active FROM a FULL JOIN b ON a.service_id = b.service_id AND a.label = b.label""")
 def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "service_id string, label int, member_count long"
-    return E.merge_clusters(spark.createDataFrame([("s", 0, 3), ("s", 1, 2)], schema), spark.createDataFrame([("s", 1, 5), ("t", 0, 2)], schema))
+    """The clusters of all vectors in a pass with a small radius, and then those of a pass with the usual one: some are new, some gone."""
+    vectors = D.indicator_vectors(spark, sf_dir)
+    before, after = (
+        E.dbscan(vectors, eps=eps).where("label >= 0").groupBy("service_id", "label").agg(F.count("*").alias("member_count")) for eps in (FIRST_EPS, EPS)
+    )
+    return E.merge_clusters(before, after)
 
 
 @query("""SELECT label, array_to_string(list(round(m, 4)::DECIMAL(18,4) ORDER BY i), ',') AS centroid FROM (SELECT label, u.i AS i, avg(u.x) AS m FROM
