@@ -154,7 +154,7 @@ def ema_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stub_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.stub_embeddings(D.read(spark, sf_dir, "benchmark").select("item_id", "text"), "text", 16).select("item_id", "embedding")
+    return V.stub_embeddings(D.read(spark, sf_dir, "benchmark").select("item_id", "text"), "text").select("item_id", "embedding")
 
 
 @query("SELECT item_id, 'stub ' || substr(md5(text), 1, 8) AS completion, len([x FOR x IN regexp_split_to_array(text, '\\s+') IF x <> ''])::INT AS tokens FROM benchmark")

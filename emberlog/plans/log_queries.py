@@ -348,3 +348,46 @@ SQL["redact_card"] = (
     rf"WITH {_SECRETS}, f AS (SELECT doc_id, line, [c FOR c IN regexp_extract_all(line, '4[0-9]{{15}}|(?:[0-9]{{4}}[-\s]?){{3}}[0-9]{{4,7}}') IF {_LUHN}] AS found FROM sl) "
     rf"SELECT doc_id, list_reduce(list_concat([line], found), lambda a, c: replace(a, c, '{R.PLACEHOLDERS['card']}')) AS text, len(found)::INT AS n FROM f"
 )
+
+
+# All kinds, one after the other: of each, the text that it leaves and how many it replaced, by the line before.
+_CARDS = rf"[c FOR c IN regexp_extract_all(line, '4[0-9]{{15}}|(?:[0-9]{{4}}[-\s]?){{3}}[0-9]{{4,7}}') IF {_LUHN}]"
+_STEPS = {
+    **{
+        kind: (f"regexp_replace(line, '{p}', '{before}{R.PLACEHOLDERS[kind]}', 'g')", f"len(regexp_extract_all(line, '{p}'))")
+        for kind, p, before in (("jwt", _JWT, ""), ("bearer", _BEARER, r"\1"), ("email", _EMAIL, ""))
+    },
+    **{
+        kind: (_twice("line", f"{b}({p}){a}", R.PLACEHOLDERS[kind]), _added("text", "line", R.PLACEHOLDERS[kind]))
+        for kind, ((b, a), p) in _IN_SQL.items()
+    },
+    "password": (_BARE, rf"len(regexp_extract_all(line, '{_KEY}(\S+)'))"),
+    "card": (f"list_reduce(list_concat([line], {_CARDS}), lambda a, c: replace(a, c, '{R.PLACEHOLDERS['card']}'))", f"len({_CARDS})"),
+    "private": (_twice("line", _PRIVATE, R.INTERNAL), "0"),
+    "ipv4": (_twice("line", _PUBLIC, R.PLACEHOLDERS["ipv4"]), _added("text", "line", R.PLACEHOLDERS["ipv4"])),
+}
+_ORDER = [k for kind in R.PLACEHOLDERS for k in (("private", kind) if kind == "ipv4" else (kind,))]
+
+
+def _all_kinds(source: str) -> str:
+    """CTEs from source (id, line) to redacted (id, line, types, total)."""
+    out, last = f"r0 AS (SELECT id, line, []::VARCHAR[] AS types, 0 AS total FROM ({source}))", "r0"
+    for kind in _ORDER:
+        text, n = _STEPS[kind]
+        out += f", t_{kind} AS (SELECT *, {text} AS text FROM {last}), n_{kind} AS (SELECT *, coalesce({n}, 0)::INT AS n FROM t_{kind})"
+        out += f", r_{kind} AS (SELECT id, text AS line, CASE WHEN n > 0 THEN list_append(types, '{R.PLACEHOLDERS.get(kind, '')}') ELSE types END AS types, total + n AS total FROM n_{kind})"
+        last = f"r_{kind}"
+    return f"{out}, redacted AS (SELECT * FROM {last})"
+
+
+_LINES = "SELECT 'c' || conv_id || '/' || turn AS id, text AS line FROM conversations UNION ALL SELECT 'd' || doc_id, line FROM sl"
+SQL["redact_all"] = (
+    f"WITH {_SECRETS}, {_all_kinds(_LINES)} SELECT id, line AS redacted_text, total::INT AS redacted_count, array_to_string(list_sort(types), ',') AS types FROM redacted"
+)
+SQL["redact_records"] = (
+    f"WITH {_SECRETS}, {_all_kinds('SELECT doc_id AS id, line FROM sl')} SELECT id AS doc_id, line AS message, CASE WHEN total = 0 THEN 'raw ' || line END AS raw_line, "
+    f"""'{{"k":"{R.PLACEHOLDERS["ipv4"]}"}}' AS extra_fields, (total + 1)::INT AS pii_count, true AS pii_was_redacted FROM redacted"""
+)
+SQL["redact_fields"] = (
+    f"WITH {_SECRETS}, {_all_kinds('SELECT doc_id AS id, line FROM sl')} SELECT id AS doc_id, ('{{\"a\":' || to_json(line) || ',\"b\":\"plain\"}}')::VARCHAR AS fields, total::INT AS fields_count FROM redacted"
+)
