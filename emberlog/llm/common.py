@@ -69,3 +69,15 @@ def release(spark: SparkSession) -> None:
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions of the session, for explicit repartitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def joined_by(rows: DataFrame, facts: DataFrame, key: str, share: int = 1024) -> DataFrame:
+    """rows with the other columns of facts (one row for each key; key_rows says how many rows have it, and is left out), where one key may have any share of rows.
+
+    Keys of more than one row in share are share at most, so their facts are
+    broadcast and their rows stay where they are; the others meet by a shuffle.
+    """
+    least = F.lit((facts.agg(F.sum("key_rows")).first()[0] or 0) // share)
+    hot = F.broadcast(facts.where(F.col("key_rows") > least).drop("key_rows"))
+    cold = facts.where(F.col("key_rows") <= least).drop("key_rows")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

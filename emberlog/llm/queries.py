@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from emberlog.llm import bitplanes, decontaminate, language, line_dedup, packing, pii, quality, records, simhash, substrings, url_filter
+from emberlog.llm import bitplanes, decontaminate, language, line_dedup, minhash, packing, pii, quality, records, simhash, substrings, url_filter
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op12_centroid_clusters": bitplanes.op12_centroid_clusters,
+    "op13_minhash_near_dedup": minhash.op13_minhash_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op7_quality_rules": quality.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op12_centroid_clusters": bitplanes.SQL,
+    "op13_minhash_near_dedup": minhash.SQL,
 }

@@ -33,6 +33,8 @@ HOT_BUCKET = 1 << 12
 #: Pairs of a query and a lane word that are compared at once.
 _PAIRS = 1 << 16
 _U = np.uint64
+#: From texts to their sets of shingles, as sorted distinct hashes.
+Hashed = Callable[[list[bytes]], list[np.ndarray]]
 
 
 def _hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -307,7 +309,7 @@ SIGNATURES, PART = 64, 4
 _TOGETHER = 7
 
 
-def _name(shingles: np.ndarray) -> int:
+def set_name(shingles: np.ndarray) -> int:
     """A set of shingles by the hash of its hashes."""
     return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 42))
 
@@ -395,7 +397,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity:
         number, found = signatures(sets, similarity)
         offsets = np.searchsorted(number, np.arange(len(sets) + 1)).astype(np.int32)
         columns = [
-            pa.array([_name(h) for h in sets], pa.int64()), pa.array([_majority(h, WIDE).tobytes() for h in sets], pa.binary()),
+            pa.array([set_name(h) for h in sets], pa.int64()), pa.array([_majority(h, WIDE).tobytes() for h in sets], pa.binary()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64))),
         ]
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=schema.names)
@@ -422,12 +424,12 @@ def _may_be_similar(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, similari
     return out
 
 
-def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """node, shingles (distinct hashes), sketch (number and bitmap of them) of the texts of docs that rows names (doc_id, text_hash), one row for each node."""
+def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int = WIDE_SHINGLE, hashed: Hashed | None = None) -> DataFrame:
+    """node, shingles (distinct hashes), sketch (number and bitmap of them) of the texts of docs that rows names (doc_id, text_hash), one row for each node. hashed: another way from texts to their sets."""
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        sets = [np.unique(_hashes(t, shingle)) for t in texts]
-        columns = [pa.array([_name(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
+        sets = hashed(texts) if hashed else [np.unique(_hashes(t, shingle)) for t in texts]
+        columns = [pa.array([set_name(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
         columns.append(pa.array([_sketch(h) for h in sets], pa.binary()))
         return pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
 
@@ -537,7 +539,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b")
 
 
-def wide_links(docs: DataFrame, fps: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, hot_bucket: int = HOT_BUCKET, radius: int = WIDE_RADIUS) -> DataFrame:
+def wide_links(docs: DataFrame, fps: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, hot_bucket: int = HOT_BUCKET, radius: int = WIDE_RADIUS, hashed: Hashed | None = None) -> DataFrame:
     """a, b: pairs of nodes with a similarity of at least similarity that connect all such pairs.
 
     Candidates share a signature and differ in radius bits at most. In a few
@@ -552,7 +554,7 @@ def wide_links(docs: DataFrame, fps: DataFrame, similarity: float = SIMILARITY,
     wide = fps.join(members.select("node").distinct(), "node", "left_semi").select("node", "fp").dropDuplicates(["node"])
     wide = stored(wide, "wide")
     rows = fps.join(wide, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("row.*")
-    sets = stored(shingle_sets(docs, rows, shingle), "shingle-sets")
+    sets = stored(shingle_sets(docs, rows, shingle, hashed), "shingle-sets")
     hot = members.groupBy("signature").agg(F.ceil(F.count("*") / hot_bucket).cast("int").alias("tiles")).where("tiles > 1")
     hot = stored(hot, "hot-buckets")
     classes, links = wide.select("node", F.col("node").alias("component")).limit(0), []
