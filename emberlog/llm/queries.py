@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from emberlog.llm import bitplanes, decontaminate, language, line_dedup, minhash, packing, pii, quality, records, simhash, substrings, url_filter
+from emberlog.llm import bitplanes, collocations, decontaminate, language, line_dedup, minhash, packing, pii, quality, records, simhash, substrings, url_filter
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_collocations": collocations.op11_collocations,
     "op12_centroid_clusters": bitplanes.op12_centroid_clusters,
     "op13_minhash_near_dedup": minhash.op13_minhash_near_dedup,
     "pipeline": corpus_pipeline.run,
@@ -26,6 +27,7 @@ SQL = {
     "op5_substring_dedup": substrings.SQL,
     "op7_quality_rules": quality.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_centroid_clusters": bitplanes.SQL,
     "op13_minhash_near_dedup": minhash.SQL,
 }
