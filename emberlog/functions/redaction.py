@@ -24,7 +24,8 @@ CARD = (
     r"|6(?:011|5[0-9]{2})[0-9]{12,15}|(?:[0-9]{4}[-\s]?){3}[0-9]{4,7})(?!\d)"
 )
 SSN = r"(?<!\d)(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\d)"
-EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+# A local part is only tried where it begins, so that a long word without @ is read once.
+EMAIL = r"(?:(?<![a-zA-Z0-9._%+\-])|\G)[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = r"(?<!\d)(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}(?!\d)"
 _OCTET = r"0*(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PRIVATE_IP = rf"(?<!\d)(?:0?10\.{_OCTET}|127\.{_OCTET}|172\.0?(?:1[6-9]|2\d|3[01])|192\.168)\.{_OCTET}\.{_OCTET}(?!\d)"
@@ -136,14 +137,45 @@ def redacted(text: Column) -> Column:
     return out
 
 
-def redact_value(value: Column, kind: T.DataType) -> Column:
-    """(value, n) of a value of any type with its texts redacted, and how many were: texts, and maps and structs down to their texts; lists and other values stay."""
+#: A string literal of a JSON text, with its quotes. Possessive, as Java repeats such groups in a loop rather than by recursion.
+_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: What each match of any kind contains.
+_HINT = r"[@=:]|\d\.\d|\d{4}|\d{3}-|eyJ|AKIA|(?i:bearer|token|auth)"
+
+
+def _counted(value: Column, n: Column) -> Column:
+    return F.struct(value.alias("value"), F.coalesce(n, F.lit(0)).cast("int").alias("n"))
+
+
+def _parted(text: Column) -> Column:
+    """(between, found): of a JSON object or list what stands between its string literals, and these; of another text nothing, and itself."""
+    nested = text.rlike(r"(?s)^\s*+[{\[]") & F.try_parse_json(text).isNotNull()
+    plain = F.struct(F.array().cast("array<string>").alias("between"), F.array(text).alias("found"))
+    return F.when(nested, F.struct(F.split(text, _LITERAL, -1).alias("between"), F.regexp_extract_all(text, F.lit(_LITERAL), F.lit(0)).alias("found"))).otherwise(plain)
+
+
+def _redacted_parts(part: Column) -> Column:
+    """(value, n) of what _parted() made: each text redacted for itself, so that JSON stays JSON."""
+    guarded = lambda x: F.when(x.rlike(_HINT), redacted(x)).otherwise(_result(x, F.lit(0)))
 
-    def result(value: Column, n: Column) -> Column:
-        return F.struct(value.alias("value"), F.coalesce(n, F.lit(0)).cast("int").alias("n"))
+    def whole(done: Column) -> Column:
+        joined = F.array_join(F.zip_with(part["between"], done, lambda b, d: F.concat(b, F.coalesce(d["text"], F.lit("")))), "")
+        text = F.when(F.size(part["between"]) > 0, joined).otherwise(F.get(done, F.lit(0))["text"])
+        return _counted(text, F.aggregate(done, F.lit(0), lambda s, d: s + F.coalesce(d["n"], F.lit(0))))
 
+    return _bound(F.transform(part["found"], guarded), whole)
+
+
+def redact_value(value: Column, kind: T.DataType) -> Column:
+    """(value, n) of a value of any type with its texts redacted, and how many were: texts, and lists, maps and structs down to their texts; other values stay."""
     if isinstance(kind, T.StringType):
-        return _bound(redacted(value), lambda done: result(done["text"], done["n"]))
+        return _bound(_parted(value), _redacted_parts)
+    if isinstance(kind, T.ArrayType):
+
+        def items(done: Column) -> Column:
+            return _counted(F.transform(done, lambda x: x["value"]), F.aggregate(done, F.lit(0), lambda s, x: s + x["n"]))
+
+        return _bound(F.transform(value, lambda x: redact_value(x, kind.elementType)), items)
     if isinstance(kind, T.MapType):
 
         def entry(e: Column) -> Column:
@@ -151,7 +183,7 @@ def redact_value(value: Column, kind: T.DataType) -> Column:
 
         def whole(entries: Column) -> Column:
             back = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-            return result(back, F.aggregate(entries, F.lit(0), lambda s, e: s + e["n"]))
+            return _counted(back, F.aggregate(entries, F.lit(0), lambda s, e: s + e["n"]))
 
         return _bound(F.transform(F.map_entries(value), entry), whole)
     if isinstance(kind, T.StructType) and kind.fields:
@@ -161,10 +193,10 @@ def redact_value(value: Column, kind: T.DataType) -> Column:
             n = F.lit(0)
             for k in range(len(kind.fields)):
                 n += parts[f"_{k}"]["n"]
-            return result(F.when(value.isNotNull(), back), n)
+            return _counted(F.when(value.isNotNull(), back), n)
 
         return _bound(F.struct(*(redact_value(value[f.name], f.dataType).alias(f"_{k}") for k, f in enumerate(kind.fields))), fields)
-    return result(value, F.lit(0))
+    return _counted(value, F.lit(0))
 
 
 def redact_map(df: DataFrame, column: str) -> DataFrame:
@@ -176,18 +208,46 @@ def redact_map(df: DataFrame, column: str) -> DataFrame:
     return out.drop(name)
 
 
-def redact_records(df: DataFrame) -> DataFrame:
-    """The gate before storage: message, then raw_line only if the message was clean (dropped when dirty), then extra_fields (JSON text); counts add up in pii_count."""
-    out = with_redaction(df, "message", "_m")
-    out = out.withColumn("_raw", F.when(F.col("_m_count") == 0, F.col("raw_line")))
-    out = with_redaction(out, "_raw", "_l")
-    out = with_redaction(out, "extra_fields", "_e")
-    n = F.col("_m_count") + F.col("_l_count") + F.col("_e_count")
-    return (
-        out.withColumn("message", F.col("_m_text"))
-        .withColumn("raw_line", F.when((F.col("_m_count") == 0) & (F.col("_l_count") == 0), F.col("raw_line")))
-        .withColumn("extra_fields", F.col("_e_text"))
-        .withColumn("pii_count", n)
-        .withColumn("pii_was_redacted", n > 0)
-        .select(*df.columns, *(c for c in ("pii_count", "pii_was_redacted") if c not in df.columns))
-    )
+#: Text columns besides message, raw line and extra fields that the gate redacts where a record has them. Leave out source_ip where addresses are needed.
+TEXT_COLUMNS = ("service_name", "request_id", "trace_id", "environment", "deployment_version", "source_ip", "http_method", "http_path")
+
+
+def redact_records(df: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
+    """The gate before storage: message, then raw_line only if the message was clean (dropped when dirty), extra_fields, and the text columns named; counts add up in pii_count.
+
+    extra_fields is a map of texts or JSON text. The values of an object are
+    redacted one by one and JSON is made of them afterwards, so it stays
+    JSON and no value takes a neighbour with it; text that isn't an object is
+    redacted as it is. What is null stays null, and the type stays.
+    """
+    own = [c for c in columns if c in df.columns]
+    as_text = isinstance(df.schema["extra_fields"].dataType, T.StringType)
+    extra = F.col("extra_fields")
+    if as_text:
+        read = F.map_entries(F.from_json(extra, "map<string,string>"))
+        members = F.when(extra.rlike(r"(?s)^\s*+\{"), F.map_from_entries(last_of_each(read)))
+    else:
+        members = extra
+    out = with_redaction(df, "message", "_m").withColumn("_members", members)
+    # all other texts in one array, which the patterns go through once
+    first = [F.when(F.col("_m_count") == 0, F.col("raw_line")), *([F.when(F.col("_members").isNull(), extra)] if as_text else []), *(F.col(c) for c in own)]
+    texts = F.concat(F.array(*first), F.coalesce(F.map_values("_members"), F.array().cast("array<string>")))
+    out = out.withColumn("_done", F.transform(F.transform(texts, _parted), _redacted_parts))
+    done = lambda k: F.get("_done", F.lit(k))
+    values = F.transform(F.slice("_done", len(first) + 1, F.size("_done")), lambda d: d["value"])
+    back = F.when(F.col("_members").isNotNull(), F.map_from_arrays(F.map_keys("_members"), values))
+    clean = (F.col("_m_count") == 0) & (done(0)["n"] == 0)
+    n = F.col("_m_count") + F.aggregate("_done", F.lit(0), lambda s, d: s + d["n"])
+    changed = {c: done(len(first) - len(own) + k)["value"] for k, c in enumerate(own)}
+    changed |= {
+        "message": F.col("_m_text"), "raw_line": F.when(clean, F.col("raw_line")), "pii_count": n, "pii_was_redacted": n > 0,
+        "extra_fields": F.coalesce(F.to_json(back), done(1)["value"]) if as_text else back,
+    }
+    return out.withColumns(changed).select(*df.columns, *(c for c in ("pii_count", "pii_was_redacted") if c not in df.columns))
+
+
+def last_of_each(entries: Column) -> Column:
+    """Map entries without those whose key comes again later, as readers of JSON keep the last of equal keys."""
+    keys = F.transform(entries, lambda e: e["key"])
+    later = lambda e, i: F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(F.filter(entries, lambda e, i: ~later(e, i)))

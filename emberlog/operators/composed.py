@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.providers import with_completion
@@ -10,26 +10,64 @@ from emberlog.functions.redaction import redact_records
 from emberlog.operators import errors as E
 from emberlog.operators import incidents as I  # noqa: E741
 from emberlog.operators import parsing as P
-from emberlog.sources import sinks
+from emberlog.sources import commits, sinks
 
 
 def records_of(lines: DataFrame, as_of: Column) -> DataFrame:
     """What is stored of lines (id, session_id, value): parsed by the first grammar that fits, without personal data, severities and formats as stored."""
-    parsed = P.parse_lines(lines, as_of).withColumn("extra_fields", F.to_json("extra_fields"))
-    clean = sinks.stored_rows(redact_records(parsed))
-    return clean.withColumns({"severity": P.map_severity(F.col("severity")), "log_format": P.map_format(F.col("log_format"))})
+    clean = sinks.stored_rows(redact_records(P.parse_lines(lines, as_of)))
+    return clean.withColumns({"extra_fields": F.to_json("extra_fields"), "severity": P.map_severity(F.col("severity")), "log_format": P.map_format(F.col("log_format"))})
 
 
-def process_sessions(lines: DataFrame, as_of: Column, path: str) -> DataFrame:
-    """Ingests the lines (id, session_id, value) of any number of sessions: records are appended under path/records, an audit row for each session
-    under path/audit. Statistics, format and status of each session come from what was written."""
-    sinks.write_records(records_of(lines, as_of), f"{path}/records")
+INGESTED = ["records", "sessions", "audit"]
+_PARTS = "session_id string, log_format string, lines long, first long, inserted long, failed long, pii_total long"
+
+
+def session_parts(records: DataFrame) -> DataFrame:
+    """What a batch adds to its sessions' statistics: sums by session and format, which add up across batches."""
+    return records.groupBy("session_id", "log_format").agg(
+        F.count("*").alias("lines"), F.min("id").alias("first"), F.count_if(~F.col("is_malformed")).alias("inserted"), F.count_if("is_malformed").alias("failed"), F.sum("pii_count").alias("pii_total")
+    )
+
+
+def session_totals(parts: DataFrame) -> DataFrame:
+    """Statistics, most frequent format (of equally frequent ones that of the earliest line) and status of sessions, from the parts of any number of batches."""
+    sums = {c: F.sum(c).alias(c) for c in ("lines", "inserted", "failed", "pii_total")}
+    by_format = parts.groupBy("session_id", "log_format").agg(*sums.values(), F.min("first").alias("first"))
+    whole = by_format.groupBy("session_id").agg(
+        F.sum("lines").alias("total_lines"), F.sum("inserted").alias("inserted"), F.sum("failed").alias("failed"), F.sum("pii_total").alias("pii_total"),
+        F.max_by("log_format", F.struct("lines", -F.col("first"))).alias("dominant_format"),
+    )
+    return whole.withColumn("status", F.when(F.col("inserted") > 0, "completed").otherwise("failed"))
+
+
+def process_sessions(lines: DataFrame, as_of: Column, path: str, batch: str) -> DataFrame:
+    """Ingests a batch of lines (id, session_id, value) of any number of sessions, once however often it is delivered; the statistics of its sessions within it.
+
+    Records, parts of statistics and an audit row for each session are written
+    to an attempt's own folders under path and committed together by one
+    manifest. A batch that failed anywhere before is done again from the
+    start, and one that was committed is only read; statistics come from the batch's own files.
+    """
     spark = lines.sparkSession
-    written = spark.read.parquet(f"{path}/records").join(lines.select("session_id").distinct(), "session_id", "left_semi")
-    stats = P.session_stats(written).join(P.format_vote(written, "session_id", "id"), "session_id")
-    stats = stats.withColumn("status", F.when(F.col("inserted") > 0, "completed").otherwise("failed"))
-    sinks.append(stats.select(F.lit("session_processed").alias("action"), as_of.alias("at"), "session_id", sinks.payload("total_lines", "failed", "pii_total").alias("details")), f"{path}/audit")
-    return stats
+    done = commits.find(spark, path, batch)
+    if done is None:
+        attempt = commits.new_attempt()
+        at = {t: commits.folder(path, t, attempt) for t in INGESTED}
+        records = records_of(lines, as_of)
+        sinks.write_records(records, at["records"])
+        own = spark.read.schema(records.schema).parquet(at["records"])
+        session_parts(own).write.parquet(at["sessions"])
+        totals = session_totals(spark.read.schema(_PARTS).parquet(at["sessions"]))
+        details = sinks.payload("total_lines", "failed", "pii_total")
+        sinks.append(totals.select(F.lit("session_processed").alias("action"), as_of.alias("at"), "session_id", details.alias("details")), at["audit"])
+        done = commits.publish(spark, path, batch, attempt, INGESTED)
+    return session_totals(commits.read(spark, path, "sessions", spark.createDataFrame([], _PARTS).schema, [done]))
+
+
+def ingested_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics of all sessions over all committed batches, without a look at their records."""
+    return session_totals(commits.read(spark, path, "sessions", spark.createDataFrame([], _PARTS).schema))
 
 
 def analyse(logs: DataFrame, known: DataFrame, vectors: DataFrame, health: DataFrame, as_of: Column, minutes: int = 60, eps: float = E.EPS) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
 from emberlog.functions import vectors as V
+from emberlog.operators import cells
 from emberlog.operators.graph import components
 from emberlog.sources.shared import stored
 
@@ -65,73 +69,117 @@ def dedup_pass(logs: DataFrame, known: DataFrame, as_of: Column, minutes: int =
     )
 
 
-#: Vectors of a tile; two tiles meet in a task.
-TILE = 2048
+def _angle(eps: float) -> float:
+    """The angle of vectors whose cosine distance is eps."""
+    return math.acos(min(max(1 - eps, -1.0), 1.0))
+
 
+def _near(own: pa.Table, every: pa.Table, eps: float, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in own and every of pairs of different ids within eps, some rows of own at a time."""
+    if not (len(own) and len(every)):
+        return
+    a, b = cells.matrix(own.column("v")), cells.matrix(every.column("v"))
+    ids, others = own.column("id").to_numpy(), every.column("id").to_numpy()
+    for k in range(0, len(a), rows):
+        i, j = np.nonzero(1 - a[k : k + rows] @ b.T <= eps)
+        some = ids[i + k] != others[j]
+        yield i[some] + k, j[some]
 
-def pairs_within(vectors: DataFrame, key: str, eps: float, tile: int = TILE) -> DataFrame:
+
+def pairs_within(vectors: DataFrame, key: str, eps: float, tile: int = cells.TILE, pivots: int = cells.PIVOTS) -> DataFrame:
     """src, dst (both ways) of vectors with the same key whose cosine distance is eps at most; vectors of no length have none.
 
-    Vectors of a key are dealt to tiles of a bounded size, and each two tiles
-    of a key make one block: a matrix product in numpy, of which only near
-    pairs are written. So no key, however frequent, meets in one task.
+    Vectors meet in cells of the unit sphere that can hold a neighbour, and
+    there by tiles: a matrix product in numpy, of which only near pairs are
+    written. So no key or cell, however frequent, meets in one task.
     """
-    own = vectors.select(F.col(key).alias("key"), "id", V.doubles(F.col("embedding")).alias("v")).where("v is not null")
-    tiles = stored(own.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "tiles")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    placed = own.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", other)
-    blocks = placed.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "v")
-    id_type = vectors.schema["id"].dataType.simpleString()
+    kind = vectors.schema["id"].dataType
+
+    def near(own: pa.Table, every: pa.Table) -> pa.Table:
+        found = [(own.column("id").take(pa.array(i)), every.column("id").take(pa.array(j))) for i, j in _near(own, every, eps)]
+        none = own.column("id").slice(0, 0)
+        return pa.table({"src": pa.chunked_array([c for x, _ in found for c in x.chunks], none.type), "dst": pa.chunked_array([c for _, y in found for c in y.chunks], none.type)})
+
+    return cells.meet(cells.placed(cells.split(vectors, key, tile, pivots), _angle(eps)), near, f"src {kind.simpleString()}, dst {kind.simpleString()}", tile)
+
 
-    def near(block: pa.Table) -> pa.Table:
-        ids, of = block.column("id").to_numpy(), block.column("tile").to_numpy()
-        v = np.array([np.asarray(x, float) for x in block.column("v").to_pylist()])
-        size = np.sqrt((v * v).sum(axis=1))
-        some = size > 0
-        ids, of, unit = ids[some], of[some], v[some] / size[some, None]
-        one, other = (of.min(), of.max()) if len(of) else (0, 0)
-        across = one != other
-        left = np.flatnonzero(of == one)
-        right = np.flatnonzero(of == other)
-        src, dst = [], []
-        for k in range(0, len(left), 256):
-            a, b = np.nonzero(1 - unit[left[k : k + 256]] @ unit[right].T <= eps)
-            a, b = left[a + k], right[b]
-            keep = np.full(len(a), True) if across else a != b
-            src.append(ids[a[keep]])
-            dst.append(ids[b[keep]])
-        src, dst = (np.concatenate([ids[:0], *x]) for x in (src, dst))
-        if across:  # a block of one tile has both ways already
-            src, dst = np.concatenate([src, dst]), np.concatenate([dst, src])
-        return pa.table({"src": pa.array(src, block.schema.field("id").type), "dst": pa.array(dst, block.schema.field("id").type)})
-
-    # of a block of two tiles only pairs across count, so a block with rows of one of its tiles alone has none
-    whole = blocks.groupBy("key", "i", "j")
-    return whole.applyInArrow(lambda t: near(t) if t["i"][0] == t["j"][0] or len(t["tile"].unique()) > 1 else near(t.slice(0, 0)), f"src {id_type}, dst {id_type}")
-
-
-def dbscan(vectors: DataFrame, key: str = "service_id", eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest that links (a, b) connect it with."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def dbscan(vectors: DataFrame, key: str = "service_id", eps: float = EPS, min_samples: int = MIN_SAMPLES, tile: int = cells.TILE, pivots: int = cells.PIVOTS) -> DataFrame:
     """key, id, label of every vector (id, key, embedding): density clusters by cosine distance within each key.
 
     A core has min_samples other vectors within eps. Clusters are the
     components of cores, numbered from 0 by their smallest core id; a vector
     near a core takes the lowest label of those; the rest is noise, -1.
+
+    Equal vectors of a key are one, with a weight. Cells meet twice: first
+    their vectors' neighbours are counted, then, as cores are known, a task
+    sends a forest of its cores and, for each other vector, one core of each
+    tree that it is near to. No list of near pairs is ever made, so dense clusters cost no more rows than others.
     """
-    edges = stored(pairs_within(vectors, key, eps), "edges")
-    cores = stored(edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("src").alias("id")), "cores")
-    both = edges.join(cores.withColumnRenamed("id", "src"), "src").join(cores.withColumnRenamed("id", "dst"), "dst")
-    found = components(both.select("src", "dst"))
+    id_type = vectors.schema["id"].dataType.simpleString()
+    own = vectors.select(F.col(key).alias("key"), "id", V.doubles(F.col("embedding")).alias("embedding"))
+    same = own.where("key is not null and embedding is not null").groupBy("key", "embedding").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
+    same = stored(same, "distinct-vectors")
+    split = cells.split(same.select("key", F.col("first").alias("id"), "embedding"), "key", tile, pivots)
+    weighted = split.rows.join(same.select(F.col("first").alias("id"), "weight"), "id")
+    inside = stored(cells.placed(cells.Cells(weighted, split.pivots), _angle(eps)), "placed")
+
+    def count(own: pa.Table, every: pa.Table) -> pa.Table:
+        n, weight = np.zeros(len(own), np.int64), every.column("weight").to_numpy()
+        for i, j in _near(own, every, eps):
+            np.add.at(n, i, weight[j])
+        return pa.table({"id": own.column("id"), "n": pa.array(n)})
+
+    counts = cells.meet(inside, count, f"id {id_type}, n long", tile).groupBy("id").agg(F.sum("n").alias("n"))
+    # equal vectors are neighbours of each other unless eps is negative or they have no length, and then they have no cell
+    cores = same.join(counts.withColumnRenamed("id", "first"), "first").where(F.col("n") + F.col("weight") - 1 >= min_samples).select(F.col("first").alias("id"))
+    cores = stored(cores, "cores")
+    marked = inside.join(cores.withColumn("core", F.lit(True)), "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+
+    def grow(own: pa.Table, every: pa.Table) -> pa.Table:
+        """src, dst: links of cores' trees, and of each other vector with one core of each tree near it."""
+        every = every.filter(every.column("core"))
+        ids = pa.chunked_array([*own.column("id").chunks, *every.column("id").chunks], own.schema.field("id").type)
+        core, n = own.column("core").to_numpy(), len(own)
+        found = [(i, j + n) for i, j in _near(own, every, eps)]
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        names = ids.to_numpy()
+        _, same_id = np.unique(names, return_inverse=True)  # a core of the cell stands in both tables
+        inner = core[i]
+        root = _roots(len(names), same_id[i[inner]], same_id[j[inner]])
+        of = np.zeros(len(names), np.int64)
+        of[same_id] = np.arange(len(names))
+        tree = np.flatnonzero(root != np.arange(len(names)))
+        edge = np.unique(np.stack([same_id[i[~inner]], root[same_id[j[~inner]]]]), axis=1)
+        src, dst = np.concatenate([of[tree], of[edge[0]]]), np.concatenate([of[root[tree]], of[edge[1]]])
+        links = np.repeat([True, False], [len(tree), edge.shape[1]])
+        return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "cores": pa.array(links)})
+
+    grown = stored(cells.meet(marked, grow, f"src {id_type}, dst {id_type}, cores boolean", tile), "grown")
+    found = components(grown.where("cores").select("src", "dst"))
     roots = cores.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    named = roots.join(vectors.select("id", key), "id").withColumn("label", F.expr(f"dense_rank() over (partition by `{key}` order by root) - 1"))
-    named = stored(named, "cores")
+    named = roots.join(same.select(F.col("first").alias("id"), "key"), "id")
+    numbers = named.select("key", "root").distinct().withColumn("label", F.expr("row_number() over (partition by key order by root) - 1"))
+    named = stored(named.join(numbers, ["key", "root"]).select("id", "label"), "labels")
     border = (
-        edges.join(named.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("border"))
+        grown.where("not cores").join(named.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("border"))
         .select(F.col("src").alias("id"), "border")
     )
-    return (
-        vectors.select(key, "id").join(named.select("id", "label"), "id", "left").join(border, "id", "left")
-        .select(key, "id", F.coalesce("label", "border", F.lit(-1)).cast("int").alias("label"))
-    )
+    labels = same.join(named.withColumnRenamed("id", "first"), "first", "left").join(border.withColumnRenamed("id", "first"), "first", "left")
+    labels = labels.select("key", "embedding", F.coalesce("label", "border", F.lit(-1)).cast("int").alias("label"))
+    return own.join(labels, ["key", "embedding"], "left").select(F.col("key").alias(key), "id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def auto_label(message: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
+from emberlog.operators import folds
 from emberlog.operators.errors import errors
+from emberlog.sources import commits, sinks
 
 # Fixed values.
 CAUSE_SEVERITIES = ["ERROR", "CRITICAL", "FATAL", "WARNING", "WARN"]
@@ -91,21 +93,36 @@ def previous_deployments(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("previous_version", F.lag("version").over(by)).withColumn("previous_at", F.lag("deployed_at").over(by))
 
 
-def rate_regressions(logs: DataFrame, snapshots: DataFrame, hours: float = 2.0, jump: float = RATE_JUMP) -> DataFrame:
-    """Deployments after which errors per hour rose by jump or more against the same time before.
+def counts_before(logs: DataFrame, moments: DataFrame) -> DataFrame:
+    """moment, n: how many errors of its service came before each moment (moment, service_name, at; and at it, if inclusive).
 
-    All deployments at once: errors meet their service's deployments by an
-    equi-join on service and day bucket, as a window reaches into two days at most.
+    Errors are summed up by service and minute and then cumulatively, so a
+    service has as many rows as minutes, whatever its errors; a moment looks up
+    the sum of the minutes before its own. Errors of its own minute meet it one
+    by one and correct that. So no error is multiplied by the deployments of its service.
     """
+    minute = lambda c: F.date_trunc("minute", c).cast("timestamp_ntz")
+    own = errors(logs).select("service_name", "timestamp", minute("timestamp").alias("minute"))
+    asked = moments.withColumn("minute", minute("at"))
+    none = F.lit(None).cast(moments.schema["moment"].dataType).alias("moment")
+    counted = own.groupBy("service_name", "minute").agg(F.count("*").alias("n")).withColumn("moment", none)
+    line = counted.unionByName(asked.select("service_name", "minute", F.lit(0).cast("long").alias("n"), "moment"))
+    earlier = W.partitionBy("service_name").orderBy(F.unix_seconds(F.col("minute").cast("timestamp"))).rangeBetween(W.unboundedPreceding, -1)
+    sums = line.withColumn("n", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("moment is not null").select("moment", "n")
+    before = (F.col("timestamp") < F.col("at")) | (F.col("inclusive") & (F.col("timestamp") == F.col("at")))
+    edge = asked.join(own, ["service_name", "minute"]).where(before).groupBy("moment").agg(F.count("*").alias("edge"))
+    return sums.join(edge, "moment", "left").select("moment", (F.col("n") + F.coalesce("edge", F.lit(0))).alias("n"))
+
+
+def rate_regressions(logs: DataFrame, snapshots: DataFrame, hours: float = 2.0, jump: float = RATE_JUMP) -> DataFrame:
+    """Deployments after which errors per hour rose by jump or more against the same time before. Errors at the time of deployment count as after it, and so do those at the window's end."""
     span = F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")
-    day = lambda c: F.to_date(c)
     d = previous_deployments(snapshots).select("id", "service_name", "version", "previous_version", "deployed_at")
-    looks = d.withColumn("day", F.explode(F.array_distinct(F.array(day(F.col("deployed_at") - span), day("deployed_at"), day(F.col("deployed_at") + span)))))
-    e = errors(logs).select("service_name", "timestamp", day("timestamp").alias("day"))
-    counted = looks.join(e, ["service_name", "day"]).groupBy("id").agg(
-        F.count_if((F.col("timestamp") >= F.col("deployed_at") - span) & (F.col("timestamp") < F.col("deployed_at"))).alias("before"),
-        F.count_if((F.col("timestamp") >= F.col("deployed_at")) & (F.col("timestamp") <= F.col("deployed_at") + span)).alias("after"),
-    )
+    at = lambda k, when, inclusive=False: F.struct(F.lit(k).alias("k"), when.alias("at"), F.lit(inclusive).alias("inclusive"))
+    edges = F.explode(F.array(at(0, F.col("deployed_at") - span), at(1, F.col("deployed_at")), at(2, F.col("deployed_at") + span, True)))
+    moments = d.select("id", "service_name", edges.alias("e")).select(F.struct("id", "e.k").alias("moment"), "service_name", "e.at", "e.inclusive")
+    value = lambda k: F.max(F.when(F.col("moment.k") == k, F.col("n")))
+    counted = counts_before(logs, moments).groupBy("moment.id").agg((value(1) - value(0)).alias("before"), (value(2) - value(1)).alias("after"))
     rated = d.join(counted, "id").select(
         "id", "service_name", "version", "previous_version",
         F.round(F.col("before") / max(hours, 0.001), 4).alias("baseline_rate"), F.round(F.col("after") / max(hours, 0.001), 4).alias("head_rate"),
@@ -195,36 +212,35 @@ def feedback_weights(outcomes: DataFrame, rate: float = LEARNING_RATE) -> DataFr
 
     Clamping makes a step depend on those before, but each step is a
     function x -> min(max(x + d, low), high), and such functions compose to
-    one of the same form. So blocks of outcomes are folded apart, and only a few numbers for each block are folded in order.
+    one of the same form (folds.clamps). So an indicator may have any number of outcomes; no list of them is made.
     """
     delta = F.lit(0.0)
     for verdict, d in VERDICTS.items():
         delta = F.when(F.col("verdict") == verdict, d * rate).otherwise(delta)
-    rows = outcomes.where(F.col("verdict").isin(*VERDICTS)).select("incident_id", "created_at", "verdict", F.explode("fired_indicators").alias("indicator"), delta.alias("d"))
-    month = F.date_format("created_at", "yyyy-MM")
-    clamp = lambda s, x: F.struct(  # noqa: E731  x: a step (d, low, high) after the function s
-        (s["d"] + x["d"]).alias("d"), F.least(F.greatest(s["low"] + x["d"], x["low"]), x["high"]).alias("low"), F.least(F.greatest(s["high"] + x["d"], x["low"]), x["high"]).alias("high")
-    )
-    start = F.struct(F.lit(0.0).alias("d"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
-    one = lambda x: F.struct(x["d"].alias("d"), F.lit(LEAST_WEIGHT).alias("low"), F.lit(MOST_WEIGHT).alias("high"))
+    step = F.array(delta, F.lit(LEAST_WEIGHT), F.lit(MOST_WEIGHT))
+    rows = outcomes.where(F.col("verdict").isin(*VERDICTS)).select("incident_id", "created_at", "verdict", F.explode("fired_indicators").alias("indicator"), step.alias("step"))
+    folded = folds.fold(rows, ["indicator"], ["created_at", "incident_id"], folds.clamps)
     count = lambda v: F.count_if(F.col("verdict") == v)
-    blocks = rows.groupBy("indicator", month.alias("block")).agg(
-        F.aggregate(F.array_sort(F.collect_list(F.struct("created_at", "incident_id", "d"))), start, lambda s, x: clamp(s, one(x))).alias("f"),
-        count("true_positive").alias("tp"), count("false_positive").alias("fp"), count("false_negative").alias("fn"),
-    )
-    folded = blocks.groupBy("indicator").agg(
-        F.aggregate(F.array_sort(F.collect_list(F.struct("block", "f"))), start, lambda s, x: clamp(s, x["f"])).alias("f"),
-        F.sum("tp").alias("true_positives"), F.sum("fp").alias("false_positives"), F.sum("fn").alias("false_negatives"),
-    )
-    f, tp = F.col("f"), F.col("true_positives")
-    weight = F.least(F.greatest(1.0 + f["d"], f["low"]), f["high"])
+    counts = rows.groupBy("indicator").agg(count("true_positive").alias("true_positives"), count("false_positive").alias("false_positives"), count("false_negative").alias("false_negatives"))
+    d, low, high = (F.col("step")[k] for k in range(3))
+    tp = F.col("true_positives")
     ratio = lambda other: F.round(F.coalesce(F.try_divide(tp, tp + F.col(other)), F.lit(0.0)), 4)
-    return folded.select(
-        "indicator", F.round(weight, 4).alias("weight"), "true_positives", "false_positives", "false_negatives",
+    return counts.join(folded, counts["indicator"].eqNullSafe(folded["indicator"])).select(
+        counts["indicator"], F.round(F.least(F.greatest(1.0 + d, low), high), 4).alias("weight"), "true_positives", "false_positives", "false_negatives",
         (tp + F.col("false_positives") + F.col("false_negatives")).alias("total_fired"), ratio("false_positives").alias("precision"), ratio("false_negatives").alias("recall"),
     )
 
 
+def log_outcomes(new: DataFrame, path: str, batch: str) -> DataFrame:
+    """Stores a batch of outcomes once, however often it is delivered, and forwards all that were ever stored to the weights, which are returned."""
+    spark = new.sparkSession
+    if commits.find(spark, path, batch) is None:
+        attempt = commits.new_attempt()
+        sinks.append(new, commits.folder(path, "outcomes", attempt))
+        commits.publish(spark, path, batch, attempt, ["outcomes"])
+    return feedback_weights(commits.read(spark, path, "outcomes", new.schema))
+
+
 def resolve_autonomy(requests: DataFrame, policies: DataFrame, default: str = DEFAULT_TIER) -> DataFrame:
     """requests (tool_name, environment, service_id) with autonomy_tier: the service's own policy, else the one for all services, else the default; an unknown tier counts as propose."""
     keys = ["tool_name", "environment"]
@@ -266,20 +282,21 @@ def report_markdown(report: dict[str, Column]) -> Column:
 
 
 def replay_transitions(rows: DataFrame, events: DataFrame, allowed: dict[str, dict[str, str]], initial: str) -> DataFrame:
-    """id and status of rows after their events (id, at, action) in order; actions that the present status doesn't allow have no effect (and count as rejected).
+    """id and status of rows after their events (id, at, action) in order; actions that the present status doesn't allow, or that aren't known, have no effect (and count as rejected).
 
-    allowed: action -> {status before: status after}.
+    allowed: action -> {status before: status after}. An action is a table of moves between
+    statuses, and tables compose (folds.transitions), so an id may have any number of events.
     """
-    pairs = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(s).alias("of"), F.lit(t).alias("to")) for a, moves in allowed.items() for s, t in moves.items()))
-    ordered = events.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "action"))).alias("events"))
-    start = F.struct(F.lit(initial).alias("status"), F.lit(0).alias("rejected"))
-
-    def step(s: Column, e: Column) -> Column:
-        to = F.get(F.filter(pairs, lambda p: (p["action"] == e["action"]) & (p["of"] == s["status"])), F.lit(0))["to"]
-        return F.struct(F.coalesce(to, s["status"]).alias("status"), (s["rejected"] + F.when(to.isNull(), 1).otherwise(0)).alias("rejected"))
-
-    done = F.aggregate(F.coalesce("events", F.array().cast("array<struct<at:timestamp_ntz,action:string>>")), start, step)
-    return rows.select("id").join(ordered, "id", "left").withColumn("_s", done).select("id", "_s.status", "_s.rejected")
+    states = list(dict.fromkeys([initial, *(x for moves in allowed.values() for pair in moves.items() for x in pair)]))
+    table = lambda moves: F.array(*(F.lit(float(states.index(moves.get(s, s)))) for s in states), *(F.lit(float(s not in moves)) for s in states))
+    step = table({})
+    for action, moves in allowed.items():
+        step = F.when(F.col("action") == action, table(moves)).otherwise(step)
+    done = folds.fold(events.withColumn("step", step), ["id"], ["at", "action"], folds.transitions)
+    names = F.array(*map(F.lit, states))
+    final = F.get(names, F.coalesce(F.col("step")[0], F.lit(0.0)).cast("int"))
+    rejected = F.coalesce(F.col("step")[len(states)], F.lit(0.0)).cast("int")
+    return rows.select("id").join(done, "id", "left").select("id", final.alias("status"), rejected.alias("rejected"))
 
 
 ALERT_MOVES = {"approve": {"open": "approved"}, "dismiss": {"open": "dismissed"}, "edit": {"open": "open"}}

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlog.functions.redaction import last_of_each
+
 # Key names in order of priority, spellings of severities, grammars.
 TIMESTAMP_KEYS = ["timestamp", "time", "ts", "@timestamp", "datetime", "date", "created_at"]
 SEVERITY_KEYS = ["level", "severity", "log_level", "loglevel", "lvl", "priority", "sev"]
@@ -41,13 +43,16 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 COMMON = r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]+)"\s+(\d{3})\s+(\S+)'
 COMBINED = COMMON + r'\s+"([^"]*)"\s+"([^"]*)"'
 NGINX = r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d{3})\s+(\S+)(?:\s+"([^"]*)"\s+"([^"]*)")?(?:\s+\[?([\d.]+)\]?)?'
-RFC5424 = r"^<(\d+)>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(?:(\[.*?\](?:\s*\[.*?\])*|-)\s+)?(.*)"
+# Structured data: bracketed elements, each up to a bracket before white space or another element; possessive, as any number may follow.
+RFC5424 = r"^<(\d+)>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(?:(\[.*?\](?=[\s\[])(?:\s*+\[.*?\](?=[\s\[]))*+|-)\s+)?(.*)"
 RFC3164 = r"^(?:<\d+>)?(\w{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+([^\[:]+?)(?:\[(\d+)\])?:\s*(.*)"
 GENERIC = (
     r"(?i)^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?)"
     r"(?:\s+\[?(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|FATAL)\]?)?(?:\s+\[?([^\s\]]+)\]?)?"
-    r"(?:\s+([\w.$-]+(?:\.[\w.$-]+)+))?\s*[-:–]?\s*(.*)"
+    r"(?:\s+([\w.$-]+\.[\w.$-]+))?\s*[-:–]?\s*(.*)"
 )
+#: White space around a line.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 FIELDS = {
     "timestamp": "timestamp_ntz", "service_name": "string", "severity": "string", "message": "string", "request_id": "string",
@@ -72,7 +77,7 @@ def _matched(line: Column, pattern: str, record: Callable[[Callable[[int], Colum
     One replacement turns the line into its groups, and the lambda binds them, so each line meets each pattern once.
     Only a line that has the mark itself meets it once for each group.
     """
-    n = re.compile(pattern.replace("–", "-")).groups
+    n = re.compile(pattern).groups
     singly = F.when(line.rlike(pattern), F.array(*(F.regexp_extract(line, pattern, k + 1) for k in range(n))))
     marked = F.regexp_replace(line, pattern + "(?s:.*)$", _MARK.join(f"${k + 1}" for k in range(n)))
     groups = F.when(line.contains(_MARK), singly).otherwise(F.split(marked, _MARK))
@@ -134,9 +139,11 @@ def _spelled(raw: Column) -> Column:
 
 
 def json_keys(line: Column) -> Column:
-    """The top-level members of a JSON object line as a map of texts, or null if the line is none."""
-    text = F.trim(line)
-    return F.when(text.rlike(r"(?s)^\{.*\}$"), F.from_json(text, "map<string,string>"))
+    """The top-level members of a JSON object line as a map of texts, or null if the line is none. Of equal keys the last counts."""
+    text = F.btrim(line, F.lit(WHITE))
+    members = F.from_json(text, "map<string,string>")
+    own = F.get(F.transform(F.array(F.map_entries(members)), lambda e: F.map_from_entries(last_of_each(e))), F.lit(0))
+    return F.when(text.startswith("{") & text.endswith("}"), own)
 
 
 def first_present(members: Column, keys: list[str]) -> Column:
@@ -271,7 +278,7 @@ def parse_malformed(line: Column) -> Column:
 def parse_lines(lines: DataFrame, as_of: Column, column: str = "value", keep: str = "raw_line") -> DataFrame:
     """lines with the fields of the first grammar that matches: JSON, combined, common, nginx, both syslogs, logger style; else a malformed record. Blank lines go; the line stays as keep."""
     line = F.rtrim(F.regexp_replace(F.col(column), r"[\r\n]+$", ""))
-    own = lines.where(F.coalesce(F.trim(column) != "", F.lit(False))).withColumn(keep, line)
+    own = lines.where(F.coalesce(F.btrim(F.col(column), F.lit(WHITE)) != "", F.lit(False))).withColumn(keep, line)
     x = F.col(keep)
     first = F.coalesce(
         parse_json(x), parse_combined(x), parse_common(x), parse_nginx(x), parse_rfc5424(x), parse_rfc3164(x, as_of), parse_generic(x), parse_malformed(x)

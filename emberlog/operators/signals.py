@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import text as T
 from emberlog.functions import vectors as V
+from emberlog.operators import cells
 from emberlog.operators.errors import errors, within
 
 # Thresholds, weights, templates.
@@ -151,11 +152,15 @@ def drift_scores(vectors: DataFrame, recent: int = 20, before: int = 100) -> Dat
     return both.select("service_id", F.round(F.coalesce(turned, F.lit(0.0)), 2).alias("drift_score"))
 
 
-def match_patterns(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
-    """Each query vector (query_id, service_id, embedding) against the k most similar vectors of its service, itself not among them; matches from threshold on give a score, the best label, its confidence and the alerts."""
-    q = queries.select(F.col("id").alias("query_id"), "service_id", F.col("embedding").alias("q"))
-    pairs = q.join(vectors, "service_id").where(F.col("query_id") != F.col("id")).withColumn("similarity", V.cosine(F.col("q"), F.col("embedding")))
-    top = pairs.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("_n") <= k)
+def match_patterns(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 0.75, tile: int = cells.TILE, pivots: int = cells.PIVOTS) -> DataFrame:
+    """Each query vector (query_id, service_id, embedding) against the k most similar vectors of its service, itself not among them; matches from threshold (above 0) on give a score, the best label, its confidence and the alerts.
+
+    Exact, by branch and bound over cells of vectors: a query opens only cells that can hold one of its matches.
+    """
+    q = queries.select(F.col("id").alias("query_id"), "service_id")
+    own = cells.split(vectors, "service_id", tile, pivots)
+    found, _ = cells.nearest(own, cells.unit_length(queries, "service_id"), k, threshold, tile)
+    top = found.join(vectors.select("id", "label", "alert_id"), "id")
     good = top.where(F.col("similarity") >= threshold).groupBy("query_id").agg(
         F.avg("similarity").alias("mean"),
         F.max_by("label", F.struct("similarity", -F.col("id"))).alias("matched_pattern"),

@@ -12,7 +12,7 @@ from emberlog.plans import analysis_queries as A
 from emberlog.plans import domain as D
 from emberlog.plans import incident_queries as Q
 from emberlog.plans import log_queries as G
-from emberlog.sources import readers, sinks
+from emberlog.sources import commits, readers, sinks
 from emberlog.sources.shared import fresh_path
 
 QUERIES, SQL = {}, {}
@@ -33,7 +33,18 @@ SELECT x.session_id, count(*) AS total_lines, count(*) FILTER (WHERE NOT is_malf
 CASE WHEN count(*) FILTER (WHERE NOT is_malformed) > 0 THEN 'completed' ELSE 'failed' END AS status FROM x JOIN v ON x.session_id = v.session_id GROUP BY x.session_id""")
 def ingest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = G.raw_lines(spark, sf_dir).withColumnRenamed("event_id", "id")
-    return C.process_sessions(lines, D.as_of(), fresh_path(spark, "ingested"))
+    return C.process_sessions(lines, D.as_of(), fresh_path(spark, "ingested"), "all")
+
+
+@query(SQL["ingest_sessions"])
+def ingest_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines in two batches, each delivered twice, with an attempt in between that dies before its commit: the tables are those of one delivery."""
+    lines = G.raw_lines(spark, sf_dir).withColumnRenamed("event_id", "id")
+    path = fresh_path(spark, "ingested")
+    for k in (0, 0, 1, 1):
+        C.process_sessions(lines.where(F.col("id") % 2 == k), D.as_of(), path, f"part {k}")
+        sinks.write_records(C.records_of(lines.where(F.col("id") % 100 == k), D.as_of()), commits.folder(path, "records", commits.new_attempt()))
+    return C.ingested_sessions(spark, path)
 
 
 @query(f"""SELECT coalesce(d.service_name, c.service_id, h.service_id) AS service_id, d.processed AS errors, d.new_groups, d.merged, c.processed, c.clusters, c.noise, c.silhouette, h.health_score

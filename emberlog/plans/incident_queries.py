@@ -10,6 +10,7 @@ from emberlog.operators.errors import dedup_groups
 from emberlog.operators.signals import spikes
 from emberlog.plans import domain as D
 from emberlog.plans.analysis_queries import BASE, GROUPS, HOURS, SPIKES, STATS, L
+from emberlog.sources.shared import fresh_path
 
 QUERIES, SQL = {}, {}
 START, END = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
@@ -220,6 +221,49 @@ def anomaly_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.replay_transitions(e.select(F.col("user_id").alias("id")).distinct(), events, I.ANOMALY_MOVES, "open")
 
 
+# Of a settled row whatever comes later is refused.
+_SETTLED = """WITH e AS (SELECT user_id AS id, ts, {action} AS action FROM events), f AS (SELECT id, min(ts) FILTER (WHERE action = '{last}') AS t FROM e GROUP BY id)
+SELECT f.id, CASE WHEN f.t IS NULL THEN '{before}' ELSE '{after}' END AS status, count(*) FILTER (WHERE e.ts > f.t OR e.action = 'other')::INT AS rejected FROM f JOIN e ON e.id = f.id GROUP BY ALL"""
+
+
+def _settled(spark: SparkSession, sf_dir: str, settles: str, action: str, moves: dict) -> DataFrame:
+    """Events of a kind settle the row of their user, those of other kinds are no action at all."""
+    e = D.read(spark, sf_dir, "events")
+    events = e.select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.when(F.col("event_type") == settles, action).otherwise("other").alias("action"))
+    return I.replay_transitions(events.select("id").distinct(), events, moves, "open")
+
+
+@query(_SETTLED.format(action="CASE event_type WHEN 'purchase' THEN 'acknowledge' ELSE 'other' END", last="acknowledge", before="open", after="acknowledged").replace("e.ts > f.t OR", "e.ts > f.t AND e.action <> 'other' OR"))
+def regression_acknowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _settled(spark, sf_dir, "purchase", "acknowledge", I.REGRESSION_MOVES)
+
+
+@query(_SETTLED.format(action="CASE event_type WHEN 'signup' THEN 'reverse' ELSE 'other' END", last="reverse", before="open", after="reversed").replace("e.ts > f.t OR", "e.ts > f.t AND e.action <> 'other' OR"))
+def audit_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _settled(spark, sf_dir, "signup", "reverse", I.AUDIT_MOVES)
+
+
+@query("""WITH e AS (SELECT user_id AS id, ts, CASE event_type WHEN 'signup' THEN 'approve' ELSE 'submit' END AS action FROM events),
+f AS (SELECT id, min(ts) FILTER (WHERE action = 'approve') AS a, min(ts) FILTER (WHERE action = 'submit') AS s FROM e GROUP BY id)
+SELECT f.id, CASE WHEN a IS NOT NULL THEN 'approved' WHEN s IS NOT NULL THEN 'pending_review' ELSE 'draft' END AS status,
+count(*) FILTER (WHERE e.ts > a OR (e.action = 'submit' AND e.ts > s AND (a IS NULL OR e.ts < a)))::INT AS rejected FROM f JOIN e ON e.id = f.id GROUP BY ALL""")
+def report_approve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report per user: a draft, submitted once, approved once from either status."""
+    e = D.read(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "signup", "approve").otherwise("submit")
+    events = e.select(F.col("user_id").alias("id"), F.col("ts").alias("at"), action.alias("action"))
+    return I.replay_transitions(events.select("id").distinct(), events, I.REPORT_MOVES, "draft")
+
+
+@query(f"WITH {FOLD} SELECT indicator, round(list_reduce(list_concat([1.0::DOUBLE], ds), lambda a, x: least(greatest(a + x, 0.1), 5.0)), 4)::DOUBLE AS weight, tp + fp + fn AS total_fired FROM l")
+def outcome_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes logged in three batches, one of them delivered twice: the weights that they lead to."""
+    o, path = D.outcomes(spark, sf_dir), fresh_path(spark, "outcome-log")
+    for k in (0, 1, 1, 2):
+        weights = I.log_outcomes(o.where(F.col("incident_id") % 3 == k), path, f"batch {k}")
+    return weights.select("indicator", "weight", "total_fired")
+
+
 @query("SELECT event_id, ts, user_id, (SELECT count(*) FROM events WHERE event_type = 'error') AS total_rows FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")
 def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = D.read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")

@@ -219,13 +219,21 @@ def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _secrets(spark, sf_dir).select("doc_id", F.create_map(F.lit("a"), F.col("line"), F.lit("b"), F.lit("plain")).alias("fields"))
+    kind = "struct<a:string,b:array<string>,c:map<string,string>>"
+    value = F.struct(F.col("line").alias("a"), F.array(F.lit("plain"), F.lit("to a@b.org")).alias("b"), F.create_map(F.lit("k"), F.lit("ssn 123-45-6789")).alias("c"))
+    own = _secrets(spark, sf_dir).select("doc_id", value.cast(kind).alias("fields"))
     return R.redact_map(own, "fields").select("doc_id", F.to_json("fields").alias("fields"), "fields_count")
 
 
 def redact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _secrets(spark, sf_dir).select("doc_id", F.col("line").alias("message"), F.concat(F.lit("raw "), "line").alias("raw_line"), F.lit('{"k":"8.8.8.8"}').alias("extra_fields"))
-    return R.redact_records(own).select("doc_id", "message", "raw_line", "extra_fields", "pii_count", "pii_was_redacted")
+    """Whole texts as messages, extra fields whose values have neighbours, lists and objects, personal data in paths and ids."""
+    n = F.col("doc_id").cast("string")
+    extra = F.concat(F.lit('{"note":"password=abc","zone":"z'), n, F.lit('","ip":"8.8.8.8","deep":{"to":["a@b.org","c"],"n":1}}'))
+    own = _secrets(spark, sf_dir).select(
+        "doc_id", F.col("line").alias("message"), F.concat(F.lit("raw "), "line").alias("raw_line"), extra.alias("extra_fields"),
+        F.concat(F.lit("/users/u"), n, F.lit("@example.com/x")).alias("http_path"), F.concat(F.lit("req-"), n).alias("request_id"),
+    )
+    return R.redact_records(own).select("doc_id", "message", "raw_line", "extra_fields", "http_path", "request_id", "pii_count", "pii_was_redacted")
 
 
 def normalise_message(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,10 +392,12 @@ _LINES = "SELECT 'c' || conv_id || '/' || turn AS id, text AS line FROM conversa
 SQL["redact_all"] = (
     f"WITH {_SECRETS}, {_all_kinds(_LINES)} SELECT id, line AS redacted_text, total::INT AS redacted_count, array_to_string(list_sort(types), ',') AS types FROM redacted"
 )
+_EXTRA = f"""'{{"note":"password={R.PLACEHOLDERS["password"]}","zone":"z' || id || '","ip":"{R.PLACEHOLDERS["ipv4"]}","deep":"{{\\"to\\":[\\"{R.PLACEHOLDERS["email"]}\\",\\"c\\"],\\"n\\":1}}"}}'"""
 SQL["redact_records"] = (
-    f"WITH {_SECRETS}, {_all_kinds('SELECT doc_id AS id, line FROM sl')} SELECT id AS doc_id, line AS message, CASE WHEN total = 0 THEN 'raw ' || line END AS raw_line, "
-    f"""'{{"k":"{R.PLACEHOLDERS["ipv4"]}"}}' AS extra_fields, (total + 1)::INT AS pii_count, true AS pii_was_redacted FROM redacted"""
+    f"WITH {_SECRETS}, {_all_kinds('SELECT doc_id AS id, line FROM sl')} SELECT id AS doc_id, line AS message, CASE WHEN total = 0 THEN 'raw ' || line END AS raw_line, {_EXTRA} AS extra_fields, "
+    f"'/users/{R.PLACEHOLDERS['email']}/x' AS http_path, 'req-' || id AS request_id, (total + 4)::INT AS pii_count, true AS pii_was_redacted FROM redacted"
 )
 SQL["redact_fields"] = (
-    f"WITH {_SECRETS}, {_all_kinds('SELECT doc_id AS id, line FROM sl')} SELECT id AS doc_id, ('{{\"a\":' || to_json(line) || ',\"b\":\"plain\"}}')::VARCHAR AS fields, total::INT AS fields_count FROM redacted"
+    f"WITH {_SECRETS}, {_all_kinds('SELECT doc_id AS id, line FROM sl')} SELECT id AS doc_id, ('{{\"a\":' || to_json(line) || ',\"b\":[\"plain\",\"to {R.PLACEHOLDERS['email']}\"],\"c\":{{\"k\":\"ssn {R.PLACEHOLDERS['ssn']}\"}}}}')::VARCHAR AS fields, "
+    f"(total + 2)::INT AS fields_count FROM redacted"
 )

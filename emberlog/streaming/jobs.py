@@ -10,13 +10,14 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from emberlog.functions import text as T
+from emberlog.operators.composed import process_sessions
 from emberlog.operators.errors import ERROR_SEVERITIES
 from emberlog.operators.signals import velocity_score
 from emberlog.sources.shared import fresh_path
@@ -199,6 +200,15 @@ def fan_out(alerts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return alerts.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
 
 
+def ingest(lines: DataFrame, as_of: Column, path: str, checkpoint: str, name: str = "stream") -> DataStreamWriter:
+    """Ingests a stream of lines (id, session_id, value); each micro-batch is one commit, so one that is tried again is stored once. Streams into one path need different names."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        process_sessions(batch, as_of, path, f"{name}/{number}")
+
+    return lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+
+
 def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything that a stream over files yields, as a table in the shared folder: it runs until no new file is left. In complete mode the last batch replaces those before."""
     path = fresh_path(spark, name)

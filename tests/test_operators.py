@@ -2,6 +2,7 @@
 
 import datetime as dt
 import gzip
+import json
 import random
 import zipfile
 
@@ -97,19 +98,67 @@ def test_record_gate(spark):
     assert [(r.raw_line, r.pii_count) for r in out] == [(None, 1), (None, 1), ("raw", 1)]
 
 
+def test_record_gate_keeps_json_and_neighbours(spark):
+    """Values are redacted one by one, at any depth; other text columns too, what is null stays null."""
+    extra = '{"note":"password=abc","zone":"z1","list":["a@b.org","c"],"deep":{"k":"token=abcdefghijklmnopqrstuvwxyz","n":1,"ip":"8.8.8.8"},"zone":"z2","none":null}'
+    rows = [("ok", "raw", extra, "/u/alice@example.com", "bob@example.com", "10.0.0.1"), ("ok", None, "not json a@b.co", None, "r1", None), ("ok", "raw", None, "/x", None, "8.8.8.8"), (None, None, "{bad", None, None, None)]
+    df = spark.createDataFrame(rows, "message string, raw_line string, extra_fields string, http_path string, request_id string, source_ip string")
+    one, two, three, four = R.redact_records(df).collect()
+    found = json.loads(one.extra_fields)
+    assert found["note"] == "password=[REDACTED_PASSWORD]" and found["zone"] == "z2" and json.loads(found["list"]) == ["[REDACTED_EMAIL]", "c"]
+    assert json.loads(found["deep"])["ip"] == "[REDACTED_IP]" and json.loads(found["deep"])["n"] == 1
+    assert (one.http_path, one.request_id, one.source_ip, one.pii_count, one.raw_line) == ("/u/[REDACTED_EMAIL]", "[REDACTED_EMAIL]", "[INTERNAL_IP]", 6 - found["deep"].count("=abc"), "raw")
+    assert (two.extra_fields, two.request_id, two.pii_count) == ("not json [REDACTED_EMAIL]", "r1", 1)
+    assert (three.extra_fields, three.http_path, three.source_ip, three.raw_line, three.pii_count) == (None, "/x", "[REDACTED_IP]", "raw", 1)
+    assert (four.message, four.extra_fields, four.pii_count) == (None, "{bad", 0)
+    kept = R.redact_records(df, columns=("request_id",)).collect()[0]
+    assert (kept.http_path, kept.source_ip, kept.request_id) == ("/u/alice@example.com", "10.0.0.1", "[REDACTED_EMAIL]")
+    as_map = df.select("message", "raw_line", F.create_map(F.lit("a"), F.lit("x a@b.co"), F.lit("b"), F.lit(None)).alias("extra_fields"))
+    assert R.redact_records(as_map).first().extra_fields == {"a": "x [REDACTED_EMAIL]", "b": None}
+
+
 def test_fields_at_any_depth(spark):
-    """Maps, nested maps and structs are redacted to their texts, lists stay; rows that are equal don't meet."""
+    """Maps, nested maps, structs and lists are redacted to their texts; rows that are equal don't meet."""
     schema = "id long, fields map<string,string>, deep map<string,map<string,string>>, parts struct<a:string,b:array<string>,c:int>"
-    row = (1, {"mail": "to a@b.org", "n": None}, {"x": {"ip": "8.8.8.8", "own": "10.0.0.1"}, "y": None}, ("c@d.org e@f.org", ["g@h.org"], 3))
+    row = (1, {"mail": "to a@b.org", "n": None}, {"x": {"ip": "8.8.8.8", "own": "10.0.0.1"}, "y": None}, ("c@d.org e@f.org", ["g@h.org", None, "x"], 3))
     df = spark.createDataFrame([row, row, (None, None, {}, None)], schema)
     out = R.redact_map(R.redact_map(R.redact_map(df, "fields"), "deep"), "parts").collect()
     for r in out[:2]:
         assert r.fields == {"mail": "to [REDACTED_EMAIL]", "n": None} and r.fields_count == 1
         assert r.deep == {"x": {"ip": "[REDACTED_IP]", "own": "[INTERNAL_IP]"}, "y": None} and r.deep_count == 1
-        assert tuple(r.parts) == ("[REDACTED_EMAIL] [REDACTED_EMAIL]", ["g@h.org"], 3) and r.parts_count == 2
+        assert tuple(r.parts) == ("[REDACTED_EMAIL] [REDACTED_EMAIL]", ["[REDACTED_EMAIL]", None, "x"], 3) and r.parts_count == 3
     assert (out[2].fields, out[2].fields_count, out[2].deep, out[2].parts, out[2].parts_count) == (None, 0, {}, None, 0)
 
 
+LONG = 1_000_000
+
+
+def test_long_texts_are_redacted(spark):
+    """No pattern recurses on what repeats, nor reads a long word again and again."""
+    parts = ["a.", "'a", "1234-", "1.", "a", "0", "-", "+1", "="]
+    texts = [f"{head}{part * (LONG // len(part))}{end}" for part in parts for head, end in (("", ""), ("x@", "com"), ("password='", ""), ("eyJ", ""), ("Bearer ", "@"))]
+    df = R.with_redaction(spark.createDataFrame([(t,) for t in texts], "line string").repartition(8), "line")
+    assert df.where(F.length("redacted_text") > 0).count() == len(texts)
+
+
+def test_long_lines_are_parsed(spark):
+    """One record, whatever repeats in a line."""
+    heads = ["<13>1 2024-01-02T03:04:05Z h a p m ", "2024-01-02 03:04:05 ERROR ", '1.2.3.4 - - [10/Oct/2023:13:55:36 +0000] "GET / x" 200 5 ', "<13>Oct 11 22:14:15 h cron", '{"a":"', ""]
+    middles = ["[x]", "[x] ", "[x", "x] ", "a.", " ", "a ", '"', "[", "-", ":"]
+    lines = [head + middle * (60_000 // len(middle)) + "z" for head in heads for middle in middles]
+    assert len(parse(spark, *lines)) == len(lines)
+
+
+def test_structured_data(spark):
+    a, b, c, d = parse(spark, *(f"<13>1 2024-01-02T03:04:05Z h a p m {x}" for x in ('[id k="a\\]b"] msg', "[a] [b] msg", "[a][b] msg", "[a] [b]text")))
+    assert [r.message for r in (a, b, c, d)] == ["msg", "msg", "msg", "[b]text"]
+
+
+def test_white_space_and_repeated_keys(spark):
+    rows = parse(spark, "\t", "\x0b \t", '\t{"msg":"a","msg":"b","x":1,"x":2}\t')
+    assert [(r.log_format, r.message, r.extra_fields) for r in rows] == [("json", "b", {"x": "2"})]
+
+
 def test_normalised_messages_meet(spark):
     a, b, c = column(spark, ["Fail 123e4567-e89b-12d3-a456-426614174000 at 10.0.0.1 id 12345", "fail 00000000-e89b-12d3-a456-426614174000 at 8.8.8.8 id 99999 ", None], T.fingerprint)
     assert a == b != c
