@@ -6,7 +6,7 @@ or, at the piece's end, the node or fewer words that are left there. All
 shorter counts follow from that: a node occurs as often as its edges leave
 it, corrected by the pieces that end in it, and so on down to single words.
 
-Rows are summed up in each task, range-partitioned and sorted by their words,
+Rows are summed up in each task, dealt to ranges of grams and sorted,
 so whatever shares a beginning stands together and its flow is the sum of a
 stretch; a frequent beginning is cut across partitions like any other. What
 meets a border of a batch leaves it as a part and is summed up afterwards;
@@ -16,6 +16,7 @@ one out, of the same weight, edges are compacted to paths.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ SCORE = 2_000_000
 _WORDS = 1 << 20
 #: Rows of a record batch.
 _ROWS = 1 << 16
+#: Documents, about, whose grams say where ranges are cut, and of how many grams each cut is chosen. Results don't depend on the cuts.
+_SAMPLE, _CHOICE = 4000, 40
 #: Parts that a language's candidates are ranked in before the best of all parts are.
 _PARTS = 64
 _BREAKS = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -45,15 +48,16 @@ def _prefix(lang: str) -> bytes:
     return b"%d:%s" % (len(name), name)
 
 
-def _rows(words: list[bytes], ends: list[int], prefix: bytes) -> Iterator[pa.RecordBatch]:
-    """gram (prefix and up to EDGE words, each with \\t behind), n: the row that each word starts, equal ones summed up. ends: where pieces end."""
+def _rows(words: list[bytes], ends: list[int], prefix: bytes) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """gram (prefix and up to EDGE words, each with \\t behind; ascending), n: the row that each word starts, equal ones summed up. ends: where pieces end."""
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    own = pa.array([w + b"\t" for w in coded.dictionary.to_pylist()], pa.binary())
+    order = pc.array_sort_indices(own).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)
     code = np.concatenate([rank[coded.indices.to_numpy()], np.zeros(EDGE, np.int64)])
     end = np.repeat(np.array(ends), np.diff(ends, prepend=0))
-    texts = pa.array([b"", *(w + b"\t" for w in coded.dictionary.take(pa.array(order)).to_pylist())], pa.binary())
+    texts = pa.concat_arrays([pa.array([b""], pa.binary()), own.take(pa.array(order))])
     for at in range(0, len(words), _WORDS):
         i = np.arange(at, min(at + _WORDS, len(words)))
         g = [np.where(i + k < end[i], code[i + k], 0) for k in range(EDGE)]
@@ -64,23 +68,30 @@ def _rows(words: list[bytes], ends: list[int], prefix: bytes) -> Iterator[pa.Rec
         new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(by)))
-        own = by[first]
-        for k in range(0, len(own), _ROWS):
-            parts = [texts.take(pa.array(x[own[k : k + _ROWS]])) for x in g]
-            gram = pc.binary_join_element_wise(pa.scalar(prefix, pa.binary()), *parts, pa.scalar(b"", pa.binary()))
-            yield pa.RecordBatch.from_arrays([gram, pa.array(n[k : k + _ROWS])], names=["gram", "n"])
+        starts = by[first]
+        for k in range(0, len(starts), _ROWS):
+            parts = [texts.take(pa.array(x[starts[k : k + _ROWS]])) for x in g]
+            yield pc.binary_join_element_wise(pa.scalar(prefix, pa.binary()), *parts, pa.scalar(b"", pa.binary())), pa.array(n[k : k + _ROWS])
 
 
-def edges(docs: DataFrame) -> DataFrame:
-    """gram (binary), n: rows of all pieces of docs (text, lang); a language's number of words comes as a row of its name alone. Rows of one gram may come from many tasks."""
+def _ranges(gram: pa.Array, cuts: list[bytes]) -> np.ndarray:
+    """The range of each of ascending grams: how many cuts it isn't below. Only cuts between the first and the last are looked for."""
+    low, high = (bisect_right(cuts, gram[k].as_py()) for k in (0, len(gram) - 1))
+    places = [bisect_left(range(len(gram)), c, key=lambda i: gram[i].as_py()) for c in cuts[low:high]]
+    return (low + np.searchsorted(np.array(places, np.int64), np.arange(len(gram)), side="right")).astype(np.int32)
+
+
+def edges(docs: DataFrame, cuts: list[bytes]) -> DataFrame:
+    """gram (binary), n, range (between cuts, ascending grams): rows of all pieces of docs (text, lang); a language's number of words comes as a row of its name alone. Rows of one gram may come from many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list[bytes], list[int]]] = {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             words, ends = held.pop(lang)
-            yield pa.RecordBatch.from_arrays([pa.array([_prefix(lang)]), pa.array([len(words)])], names=["gram", "n"])
-            yield from _rows(words, ends, _prefix(lang))
+            every = (pa.array([_prefix(lang)], pa.binary()), pa.array([len(words)]))
+            for gram, n in (every, *_rows(words, ends, _prefix(lang))):
+                yield pa.RecordBatch.from_arrays([gram, n, pa.array(_ranges(gram, cuts))], names=["gram", "n", "range"])
 
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -96,7 +107,15 @@ def edges(docs: DataFrame) -> DataFrame:
                 yield from flush(lang)
 
     own = docs.select(F.col("text").cast("binary").alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    return own.mapInArrow(run, "gram binary, n long")
+    return own.mapInArrow(run, "gram binary, n long, range int")
+
+
+def _cuts(docs: DataFrame, ranges: int) -> list[bytes]:
+    """Grams that cut those of a sample of docs into ranges of about as many."""
+    share = min(1.0, _SAMPLE / max(1, docs.count()))
+    some = edges(docs.sample(share, 42), []).select("gram").orderBy(F.xxhash64("gram"), "gram").limit(_CHOICE * ranges).collect()
+    grams = sorted({bytes(r["gram"]) for r in some})
+    return sorted({grams[k * len(grams) // ranges] for k in range(1, ranges)}) if grams else []
 
 
 def _flows(gram: pa.Array, n: np.ndarray, least: int) -> Iterator[tuple[bytes, int, int]]:
@@ -140,7 +159,8 @@ def counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "f"])
 
-    ranged = edges(docs).repartitionByRange(tasks(docs), "gram").sortWithinPartitions("gram")
+    ranges = tasks(docs)
+    ranged = edges(docs, _cuts(docs, ranges)).repartitionById(ranges, F.col("range")).select("gram", "n").sortWithinPartitions("gram")
     parts = ranged.mapInArrow(run, "lang binary, phrase binary, k int, f long")
     whole = parts.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
     return whole.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "k", "f")
