@@ -23,9 +23,10 @@ DEMO_KEY = "emberlog demonstration key"
 #: 400 Gregorian years repeat exactly: 146,097 = 189 * 773 days.
 FIRST_DAY, DAYS = "1700-01-01", (189, 773)
 
+# What may repeat without end is possessive: Java repeats such groups in a loop, others by recursion, which a long text would exhaust.
 _PATTERN = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
         r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+",
         r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)|(?<!\d)\d{4}/\d{2}/\d{2}(?!\d)|(?<!\d)\d{2}\.\d{2}\.\d{4}(?!\d)|(?<!\d)\d{2}/\d{2}/\d{4}(?!\d)",
