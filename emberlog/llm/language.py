@@ -187,24 +187,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """lang, part: windows spread over the whole texts of about per_language documents of each language, none held out.
+    """lang, part: windows spread over the whole texts of up to per_language documents of each language, none held out.
 
     All languages are learned. Where that would make more than SAMPLE_TOTAL
-    documents, fewer of each are drawn, but one of each at least on average.
+    documents, fewer of each are taken, but at least one. A language with more
+    documents than that gives the one with the least hash of each of so many
+    buckets, a smaller one all; equal rows count once.
     """
     known = docs.select("doc_id", "lang", "text")
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    hashed = known.withColumn("hash", F.xxhash64("doc_id", "text", F.lit(SEED)))
     sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    n = sizes.count()
-    each = max(1, min(per_language, SAMPLE_TOTAL // max(1, n)))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(float(each)) / F.col("n")
+    each = max(1, min(per_language, SAMPLE_TOTAL // max(1, sizes.count())))
+    bucket = F.when(F.col("n") <= each, F.col("hash")).otherwise(F.pmod(F.xxhash64("hash"), F.lit(each)))
+    taken = hashed.select("lang", "hash").join(sizes, "lang").groupBy("lang", bucket.alias("bucket")).agg(F.min("hash").alias("hash")).select("lang", "hash")
     part = F.expr(
         f"transform(sequence(0, {SAMPLE_WINDOWS - 1}), i -> substring(text, 1 + cast(i * greatest(length(text) - {WINDOW}, 0) / {SAMPLE_WINDOWS - 1} as int), {WINDOW}))"
     )
-    parts = known.join(sizes, "lang").where(drawn).select("doc_id", "lang", F.explode(F.array_distinct(part)).alias("part"))
-    # a bound where chance, or rows of one id, would draw far more: those with the least hashes
-    order = [F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id", "lang", "part"]
-    return parts.orderBy(*order).limit(2 * max(1, n) * each * SAMPLE_WINDOWS).select("lang", "part")
+    # SAMPLE_TOTAL rows at most, or one for each language, as many as the model has outputs
+    drawn = hashed.join(F.broadcast(stored(taken, "taken")), ["lang", "hash"], "left_semi")
+    return drawn.select("lang", "hash", F.explode(F.array_distinct(part)).alias("part")).distinct().select("lang", "part")
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
