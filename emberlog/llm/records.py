@@ -26,8 +26,8 @@ from emberlog.llm.common import fresh_path, stored, table, tasks
 from emberlog.llm.textops import by_slice
 from emberlog.llm.tokens import Encoder
 
-#: Records of one file; files are read whole.
-FILE_RECORDS = 4_000
+#: Blocks of one file, each of the records of about 1 MB of text or of one longer text. Files are read whole, so their size is bounded by bytes.
+FILE_BLOCKS = 64
 #: Writing tasks whose files' sizes are summed up in order by one task.
 BLOCK_TASKS = 256
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -77,7 +77,7 @@ def record_at(content: bytes, at: int) -> tuple[int | None, np.ndarray]:
     return doc_id, ids
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_records: int = FILE_RECORDS) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file_blocks: int = FILE_BLOCKS) -> None:
     """Writes docs (doc_id, an integer, and text) in ascending doc_id order: null ids first, equal ids by text, null texts as empty ones.
 
     Repeated rows are records each; a text is encoded as a whole, however
@@ -88,7 +88,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
         found = Encoder.of(tokenizer, spaces=False).encode(texts)
         end = np.array([end_id], "<u4")
         out = [frame(d, np.concatenate([x, end])) for d, x in zip(part.column(0).to_pylist(), found, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+        return pa.RecordBatch.from_arrays([pa.array([b"\n".join(out)], pa.binary())], names=["block"])
 
     ordered = (
         docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -96,8 +96,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     )
     (
-        ordered.mapInArrow(by_slice(encode), "frame binary").select(F.col("frame").cast("string").alias("value"))
-        .write.option("lineSep", "\n").option("maxRecordsPerFile", file_records).text(path)
+        ordered.mapInArrow(by_slice(encode), "block binary").select(F.col("block").cast("string").alias("value"))
+        .write.option("lineSep", "\n").option("maxRecordsPerFile", file_blocks).text(path)
     )
 
 
