@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = SE
 
 
 def pack(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
-    """found (doc_id, piece, length at least, computed once) with sequence_id and offset added."""
+    """found (doc_id, piece, length and row_salt at least, computed once) with sequence_id and offset added and row_salt left out. row_salt tells rows apart, equal ones too, so that they share no rank group."""
     spark = found.sparkSession
     counts = np.zeros(most + 1, np.int64)
     for r in found.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most as many rows as lengths
@@ -123,7 +123,7 @@ def pack(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
     rows = max(GROUP_ROWS, int(counts.sum()) // MOST_GROUPS)
     groups = [(n, int(c) // rows + 1) for n, c in enumerate(counts.tolist()) if c]
     groups = F.broadcast(spark.createDataFrame(groups, "length long, rank_groups int"))
-    own = F.pmod(F.xxhash64("doc_id", "piece"), F.col("rank_groups")).cast("int")
+    own = F.pmod(F.xxhash64("row_salt"), F.col("rank_groups")).cast("int")
     keyed = found.join(groups, "length").withColumn("rank_group", own)
     seen, base = np.zeros(most + 1, np.int64), []
     for r in sorted(keyed.groupBy("length", "rank_group").agg(F.count("*").alias("n")).collect()):  # at most MOST_GROUPS more
@@ -149,12 +149,17 @@ def pack(found: DataFrame, most: int = SEQUENCE) -> DataFrame:
         slots,
         (ranked["length"] == slots["slot_length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")),
     )
-    return placed.select(*found.columns, (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+    return placed.select(*(c for c in found.columns if c != "row_salt"), (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """One row for each piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed each; a null doc_id stays null."""
-    return pack(stored(pieces(docs, tokenizer, end_id, most, with_ids), "pieces"), most)
+    """One row for each piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed each; a null doc_id stays null.
+
+    A null text is an empty one; a long text is encoded as a whole and cut; other columns
+    are ignored, whatever their names; no rows give no rows.
+    """
+    found = pieces(docs, tokenizer, end_id, most, with_ids).withColumn("row_salt", F.monotonically_increasing_id())
+    return pack(stored(found, "pieces"), most)  # stored, so that a row keeps its salt
 
 
 def sequences(packed: DataFrame) -> DataFrame:
