@@ -14,6 +14,7 @@ from emberlog.functions import text as T
 from emberlog.functions import vectors as V
 from emberlog.operators import cells
 from emberlog.operators.graph import components
+from emberlog.sources import commits
 from emberlog.sources.shared import stored
 
 ERROR_SEVERITIES = ["ERROR", "CRITICAL", "FATAL"]
@@ -29,21 +30,21 @@ def within(logs: DataFrame, as_of: Column, interval: str, column: str = "timesta
     return logs.where((F.col(column) >= as_of - F.expr(f"INTERVAL {interval}")) & (F.col(column) <= as_of))
 
 
-def dedup_groups(logs: DataFrame) -> DataFrame:
-    """One row for each service and fingerprint of errors: count, first and last time, latest message and severity, ids (ascending).
+def dedup_groups(logs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """One row for each service and fingerprint of errors: count, first and last time, latest message and severity; with_ids: also all ids (ascending) as source_record_ids.
 
     All aggregates combine before the shuffle, so a frequent fingerprint costs
-    its groups' ids alone. Those stand in one row; where groups may have
-    many millions of members, take dedup_members instead of source_record_ids.
+    a row of each task. Ids of a group stand in one row; for groups of any
+    size there are dedup_members() and member_bitmaps() instead.
     """
     by_time = F.struct("timestamp", "id")
+    ids = [F.array_sort(F.collect_set("id")).alias("source_record_ids")] if with_ids else []
     return (
         errors(logs).withColumn("fingerprint", T.fingerprint(F.col("message")))
         .groupBy("service_name", "fingerprint")
         .agg(
             F.count("*").alias("occurrence_count"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
-            F.max_by("message", by_time).alias("canonical_message"), F.max_by("severity", by_time).alias("severity"),
-            F.array_sort(F.collect_set("id")).alias("source_record_ids"),
+            F.max_by("message", by_time).alias("canonical_message"), F.max_by("severity", by_time).alias("severity"), *ids,
         )
     )
 
@@ -53,6 +54,42 @@ def dedup_members(logs: DataFrame) -> DataFrame:
     return errors(logs).select("service_name", T.fingerprint(F.col("message")).alias("fingerprint"), "id")
 
 
+BITMAPS = "members"
+_BITMAPS = "service_name string, fingerprint string, bucket long, ids binary, first_seen timestamp_ntz, last_seen timestamp_ntz"
+
+
+def member_bitmaps(logs: DataFrame) -> DataFrame:
+    """service_name, fingerprint, bucket, ids, first_seen, last_seen: the members of each group as bitmaps of 4 KB, one for each range of 32,768 ids (long) that it has members in. Errors without an id are left out."""
+    own = errors(logs).where("id is not null").select("service_name", T.fingerprint(F.col("message")).alias("fingerprint"), "id", "timestamp")
+    return own.groupBy("service_name", "fingerprint", F.bitmap_bucket_number("id").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("ids"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
+    )
+
+
+def merged_bitmaps(bitmaps: DataFrame) -> DataFrame:
+    """Any number of member_bitmaps() as one: bitmaps of a group and range are united, so a record that several have is a member once."""
+    return bitmaps.groupBy("service_name", "fingerprint", "bucket").agg(
+        F.bitmap_or_agg("ids").alias("ids"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
+
+
+def bitmap_groups(bitmaps: DataFrame) -> DataFrame:
+    """service_name, fingerprint, occurrence_count, first_seen, last_seen of merged bitmaps; no row grows with its group."""
+    return bitmaps.groupBy("service_name", "fingerprint").agg(
+        F.sum(F.bitmap_count("ids")).alias("occurrence_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
+
+
+def count_batch(logs: DataFrame, path: str, batch: str) -> DataFrame:
+    """Adds a batch's members to those kept under path and returns all groups. A batch or a record that is delivered again, in whatever batch, changes nothing."""
+    spark = logs.sparkSession
+    if commits.find(spark, path, batch) is None:
+        attempt = commits.new_attempt()
+        member_bitmaps(logs).write.parquet(commits.folder(path, BITMAPS, attempt))
+        commits.publish(spark, path, batch, attempt, [BITMAPS])
+    return bitmap_groups(merged_bitmaps(commits.read(spark, path, BITMAPS, spark.createDataFrame([], _BITMAPS).schema)))
+
+
 def dedup_pass(logs: DataFrame, known: DataFrame, as_of: Column, minutes: int = 60, newest: int = 1000) -> DataFrame:
     """Of the newest errors of the look-back of each service: processed records, new groups and those merged into known ones (service_name, fingerprint)."""
     recent = within(errors(logs), as_of, f"{minutes} MINUTES")

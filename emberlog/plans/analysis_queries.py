@@ -10,9 +10,11 @@ from emberlog.functions.providers import with_completion
 from emberlog.operators import errors as E
 from emberlog.operators import incidents as I  # noqa: E741
 from emberlog.operators import parsing as P
+from emberlog.operators import rollups as R
 from emberlog.operators import signals as S
 from emberlog.plans import domain as D
 from emberlog.plans.log_queries import NORMAL
+from emberlog.sources.shared import fresh_path
 
 L, AT = D.LOGS, f"TIMESTAMP '{D.AS_OF}'"
 ERR = "errs AS (SELECT * FROM logs WHERE severity IN ('ERROR', 'CRITICAL', 'FATAL'))"
@@ -45,7 +47,7 @@ GROUPS = f"""groups AS (SELECT service_name, sha256({NORMAL}) AS fingerprint, co
 
 @query(f"{BASE}, {GROUPS} SELECT service_name, fingerprint, occurrence_count, first_seen, last_seen, canonical_message, severity, array_to_string(ids, ',') AS ids FROM groups")
 def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = E.dedup_groups(D.logs(spark, sf_dir))
+    g = E.dedup_groups(D.logs(spark, sf_dir), with_ids=True)
     return g.select("service_name", "fingerprint", "occurrence_count", "first_seen", "last_seen", "canonical_message", "severity", F.array_join("source_record_ids", ",").alias("ids"))
 
 
@@ -66,6 +68,15 @@ def dedup_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.dedup_pass(own, E.dedup_groups(before), D.as_of(), minutes=7 * 24 * 60)
 
 
+@query(f"{BASE}, {GROUPS} SELECT service_name, fingerprint, occurrence_count, first_seen, last_seen FROM groups")
+def dedup_recounted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors in three batches that overlap, one of them delivered twice: each record counts once."""
+    own, path = D.logs(spark, sf_dir), fresh_path(spark, "members")
+    for batch, some in (("a", F.col("id") % 3 < 2), ("b", F.col("id") % 3 > 0), ("a", F.col("id") % 3 < 2), ("c", F.col("id") % 2 == 0)):
+        groups = E.count_batch(own.where(some), path, batch)
+    return groups
+
+
 PAIRS = f"""pairs AS (SELECT a.service_id, a.id AS src, b.id AS dst, 1 - {cos('a.embedding', 'b.embedding')} AS d FROM vectors a JOIN vectors b ON a.service_id = b.service_id AND a.id < b.id)"""
 
 
@@ -189,6 +200,21 @@ def baseline_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("service_name", "samples", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> str:
+    """Minute counts of all records, which came in four batches, one of them twice."""
+    own, path = D.logs(spark, sf_dir), fresh_path(spark, "minutes")
+    for k in (0, 1, 1, 2, 3):
+        R.add(own.where(F.col("id") % 4 == k), path, f"batch {k}")
+    return path
+
+
+@query(f"{BASE}, {HOURS}, {STATS} SELECT service_name, samples, round(mean, 6) AS mean, round(std, 6) AS std FROM base")
+def baseline_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """baseline_stats without a second look at records."""
+    b = R.baselines(spark, _kept(spark, sf_dir), D.as_of())
+    return b.select("service_name", "samples", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 SPIKES = f"""now_ AS (SELECT service_name, count(*) AS observed FROM errs WHERE "timestamp" >= {AT} - INTERVAL 1 HOUR AND "timestamp" <= {AT} GROUP BY ALL),
 z AS (SELECT coalesce(b.service_name, n.service_name) AS service_name, coalesce(observed, 0)::DOUBLE AS observed, coalesce(mean, 0.0) AS mean, coalesce(std, 1.0) AS std FROM base b FULL JOIN now_ n ON b.service_name = n.service_name)"""
 
@@ -266,6 +292,13 @@ def baseline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("service_name", "severity", "window_start", "error_count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "baseline_score")
 
 
+@query(f"{BASE}, {WINDOWS}, {BSCORE} SELECT service_name, severity, window_start, error_count, round(mean, 6) AS mean, round(std, 6) AS std, baseline_score FROM bs")
+def baseline_score_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """baseline_score without a second look at records."""
+    b = R.baseline_scores(spark, _kept(spark, sf_dir), D.as_of())
+    return b.select("service_name", "severity", "window_start", "error_count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "baseline_score")
+
+
 DRIFT = f"""rv AS (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY id DESC) AS n FROM vectors),
 dp AS (SELECT service_id, n <= 20 AS new, u.i AS i, avg(u.x) AS m FROM (SELECT service_id, n, unnest([{{'i': k, 'x': embedding[k]}} FOR k IN range(1, len(embedding) + 1)]) AS u FROM rv WHERE n <= 120) GROUP BY ALL),
 dm AS (SELECT service_id, list(m ORDER BY i) FILTER (WHERE new) AS a, list(m ORDER BY i) FILTER (WHERE NOT new) AS b FROM dp GROUP BY ALL),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +90,31 @@ def src_gzip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.text_lines(spark, path).select("value").where(F.lit(_recognised(spark, path)))
 
 
+def _archive(rows: pa.Table) -> pa.Table:
+    """A file for each group of lines: a zip archive of three members, gzip, or plain text, also with a name of gzip."""
+    n = rows.column("part")[0].as_py()
+    lines = [x.encode() for x in rows.sort_by("event_id").column("line").to_pylist()]
+    text = b"\n".join(lines)
+    if n % 4 == 0:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if n % 8 else zipfile.ZIP_STORED) as z:
+            for k in range(3):
+                z.writestr(f"{k}/log.txt", b"\n".join(lines[k::3]))
+        content = out.getvalue()
+    else:
+        content = gzip.compress(text) if n % 4 == 1 else text
+    return pa.table({"path": [f"part-{n}.{'txt' if n % 4 == 3 else 'gz'}"], "content": pa.array([content], pa.binary())})
+
+
+@query("SELECT 'part-' || (event_id % 61) || CASE WHEN event_id % 61 % 4 = 3 THEN '.txt' ELSE '.gz' END AS file, event_id || ' ' || event_type || ' ' || user_id AS value FROM events")
+def src_archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as lines of archives, gzip files and text with a name of gzip, unpacked again."""
+    line = F.concat_ws(" ", "event_id", "event_type", "user_id").alias("line")
+    own = D.read(spark, sf_dir, "events").select((F.col("event_id") % 61).alias("part"), "event_id", line)
+    files = own.groupBy("part").applyInArrow(_archive, "path string, content binary")
+    return readers.lines_of(files).select("file", "value")
+
+
 @query("""SELECT '{"p_partkey":"' || p_partkey || '","p_size":"' || p_size || '","p_type":"' || p_type || '"}' AS value FROM part""")
 def src_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as CSV with a header, read back as JSON objects of texts."""

@@ -36,18 +36,25 @@ def velocity(logs: DataFrame, late: str = "5 minutes", seconds: int = 60) -> Dat
 
 
 def with_derivatives(windows: DataFrame) -> DataFrame:
-    """Differences between windows and velocity scores on a stream of windows, with the last two counts of each key as state."""
+    """Differences between windows and velocity scores on a stream of closed windows (following() the table of velocity()), with the last two counts of each key as state.
+
+    What comes of a key in a micro-batch is sorted as a whole (a time and a
+    count for each window), however files and Arrow batches cut it.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         one, two = state.get if state.exists else (None, None)
-        for b in batches:
-            b = b.sort_values("window_start")
-            rows = []
-            for at, n in zip(b["window_start"], b["error_count"], strict=True):
-                rows.append((*key, at, int(n), 0 if one is None else int(n - one), 0 if two is None else int(n - 2 * one + two)))
-                one, two = int(n), one
-            state.update((one, two))
-            yield pd.DataFrame(rows, columns=["service_name", "severity", "window_start", "error_count", "first_derivative", "second_derivative"])
+        parts = [b[["window_start", "error_count"]] for b in batches]
+        own = pd.concat(parts).sort_values("window_start", kind="stable")
+        n = np.array([*(float("nan") if x is None else float(x) for x in (two, one)), *own["error_count"]], float)
+        first, second = n[2:] - n[1:-1], n[2:] - 2 * n[1:-1] + n[:-2]
+        last = [None if np.isnan(x) else int(x) for x in n[-2:]]
+        state.update((last[1], last[0]))
+        for k in range(0, len(own), 10_000):
+            part = slice(k, k + 10_000)
+            counts = own["error_count"].to_numpy()[part]
+            whole = lambda x: np.nan_to_num(x[part]).astype("int64")  # noqa: B023, E731
+            yield pd.DataFrame({"service_name": key[0], "severity": key[1], "window_start": own["window_start"].to_numpy()[part], "error_count": counts, "first_derivative": whole(first), "second_derivative": whole(second)})
 
     out = "service_name string, severity string, window_start timestamp, error_count long, first_derivative long, second_derivative long"
     moved = windows.groupBy("service_name", "severity").applyInPandasWithState(step, out, "one long, two long", "append", GroupStateTimeout.NoTimeout)
@@ -168,24 +175,30 @@ def semantic_dedup(records: DataFrame) -> DataFrame:
     return own.groupBy("service_name").transformWithStateInPandas(_SemanticGroups(), _DEDUP, "append", "none")
 
 
-def silence(logs: DataFrame, minutes: int = 15) -> DataFrame:
-    """An event for each service that has sent nothing for minutes of event time, raised by the state's timer as others' rows move the watermark."""
+def silence(logs: DataFrame, minutes: int = 15, least: int = 10, days: int = 7) -> DataFrame:
+    """service_name, last_seen, records for each service that had least records in days and then has sent nothing for minutes of event time, raised by the state's timer as others' rows move the watermark.
+
+    The state is the least latest times, which tell whether there were so many
+    in days, and the number of all records. A service that comes back can fall silent again.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        latest, n = state.get if state.exists else ([], 0)
         if state.hasTimedOut:
-            last, n = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="us"), n)], columns=["service_name", "last_seen", "records"])
+            silent = latest[-1] + minutes * 60_000_000
+            if len(latest) >= least and latest[-least] >= silent - days * 86_400_000_000:
+                yield pd.DataFrame([(key[0], pd.Timestamp(latest[-1], unit="us"), n)], columns=["service_name", "last_seen", "records"])
             return
-        last, n = state.get if state.exists else (0, 0)
         for b in batches:
-            last, n = max(last, int(b["event_time"].max().value // 1000)), n + len(b)
-        state.update((last, n))
-        state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+            times = b["event_time"].to_numpy().astype("datetime64[us]").astype("int64")
+            latest, n = sorted([*latest, *np.sort(times)[-least:].tolist()])[-least:], n + len(b)
+        state.update((latest, n))
+        state.setTimeoutTimestamp(max(latest[-1] // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
 
-    own = logs.withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", "1 minute")
+    own = logs.where("timestamp is not null").withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", "1 minute")
     out = "service_name string, last_seen timestamp, records long"
-    return own.select("service_name", "event_time").groupBy("service_name").applyInPandasWithState(step, out, "last long, records long", "append", GroupStateTimeout.EventTimeTimeout)
+    return own.select("service_name", "event_time").groupBy("service_name").applyInPandasWithState(step, out, "latest array<long>, records long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fan_out(alerts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -209,6 +222,13 @@ def ingest(lines: DataFrame, as_of: Column, path: str, checkpoint: str, name: st
     return lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
+def following(stored: DataFrame) -> DataFrame:
+    """A stream of the rows of a table of Parquet files that another stream appends to. Windows come closed and in the order of their batches, so what follows needs no watermark."""
+    folder = stored.inputFiles()[0].rpartition("/")[0] if stored.inputFiles() else fresh_path(stored.sparkSession, "none")
+    stored.sparkSession.createDataFrame([], stored.schema).write.mode("append").parquet(folder)  # so that the folder is there
+    return stored.sparkSession.readStream.schema(stored.schema).parquet(folder)
+
+
 def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything that a stream over files yields, as a table in the shared folder: it runs until no new file is left. In complete mode the last batch replaces those before."""
     path = fresh_path(spark, name)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import gzip
+import io
 import json
 import random
 import zipfile
@@ -20,7 +21,7 @@ from emberlog.operators import incidents as I  # noqa: E741
 from emberlog.operators import parsing as P
 from emberlog.operators import signals as S
 from emberlog.plans import catalog
-from emberlog.sources import readers, sinks
+from emberlog.sources import commits, readers, sinks
 from emberlog.streaming import jobs
 
 
@@ -313,18 +314,110 @@ def test_files(spark, tmp_path):
         z.writestr("y.log", "five")
     (tmp_path / "c.csv").write_text("a,b\n1,x\n2,y\n")
     assert sorted(r.value for r in readers.text_lines(spark, f"file://{tmp_path}/gz").collect()) == ["one", "two"]
-    assert [r.value for r in readers.zip_lines(spark, f"file://{tmp_path}/b.zip").collect()] == ["three", "four", "five"]
+    assert sorted(r.value for r in readers.zip_lines(spark, f"file://{tmp_path}/b.zip").collect()) == ["five", "four", "three"]  # members are read by tasks of their own
     assert [r.value for r in readers.csv_lines(spark, f"file://{tmp_path}/c.csv").collect()] == ['{"a":"1","b":"x"}', '{"a":"2","b":"y"}']
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{tmp_path}")
     kinds = {r.path.rpartition("/")[2]: r.kind for r in files.select("path", readers.magic().alias("kind")).collect()}
     assert kinds == {"a.log.gz": "gz", "b.zip": "zip", "c.csv": None}
 
 
+def test_archives_of_any_kind(spark, tmp_path):
+    """Signatures decide; what is damaged is read as text; lines are cut as in one piece, however long the text."""
+    def zipped(parts, method=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            for name, text in parts.items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    long = "".join(f"line {k} é\r\n" for k in range(150_000))
+    packed = gzip.compress(long.encode())
+    files = {
+        "a.gz": packed, "b.gz": b"no gzip\nat all", "c.gz": packed[: len(packed) // 2], "d.zip": zipped({"x/": "", "x/1.log": "one\ntwo", "2.log": long}), "e.zip": zipped({"s": "kept"}, zipfile.ZIP_STORED),
+        "f.zip": zipped({"s": "kept" * 50})[:-30], "g.log": gzip.compress(b"named as text") + gzip.compress(b"\nsecond member"), "h.log": b"\xff\n\xc3\xa9", "i.log": b"", "j.zip": b"PK\x03\x04",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = {}
+    for r in readers.archive_lines(spark, f"file://{tmp_path}").collect():
+        found.setdefault((r.file.rpartition("/")[2], r.member), []).append(r.value)
+    assert found["a.gz", None] == found["d.zip", "2.log"] == long.splitlines()
+    assert found["b.gz", None] == ["no gzip", "at all"] and found["d.zip", "x/1.log"] == ["one", "two"] and found["e.zip", "s"] == ["kept"]
+    assert found["c.gz", None] == files["c.gz"].decode("utf-8", "replace").splitlines() and found["f.zip", None][0].startswith("PK")
+    assert found["g.log", None] == ["named as text", "second member"] and found["h.log", None] == ["\ufffd", "é"]
+    assert ("i.log", None) not in found and len(found) == 10
+
+
 def test_pushed_batches(spark):
     df = spark.createDataFrame([('{"service":"s","lines":["a","b"]}',), ('{"service":"s","lines":[]}',), ("junk",)], "value string")
     assert [tuple(r) for r in readers.pushed_lines(df).collect()] == [("s", 0, "a"), ("s", 1, "b")]
 
 
+LINES = [(k, f"s{k % 3}", f'{{"level":"error","msg":"m{k}","ts":1700000000}}' if k % 4 else "junk") for k in range(24)]
+
+
+@pytest.mark.parametrize("step", ["write_records", "append", "publish"])
+def test_ingest_survives_a_failure_anywhere(spark, tmp_path, monkeypatch, step):
+    """A batch that dies before its commit and is delivered again, and then once more, is stored once."""
+    path, as_of = f"file://{tmp_path}/in", F.lit("2024-01-31").cast("timestamp_ntz")
+    lines = spark.createDataFrame(LINES, "id long, session_id string, value string")
+    first = C.process_sessions(lines.where("id < 12"), as_of, path, "one").count()
+    assert first == 3
+    owner = commits if step == "publish" else sinks
+    real = getattr(owner, step)
+
+    def dies(*args, **options):
+        if step != "publish":
+            real(*args, **options)
+        raise OSError("lost")
+
+    monkeypatch.setattr(owner, step, dies)
+    with pytest.raises(OSError):
+        C.process_sessions(lines.where("id >= 12"), as_of, path, "two")
+    monkeypatch.undo()
+    for _ in range(2):
+        own = C.process_sessions(lines.where("id >= 12"), as_of, path, "two")
+        assert {r.session_id: (r.total_lines, r.inserted, r.failed) for r in own.collect()} == {f"s{k}": (4, 3, 1) for k in range(3)}
+    whole = {r.session_id: (r.total_lines, r.failed, r.dominant_format, r.status) for r in C.ingested_sessions(spark, path).collect()}
+    assert whole == {f"s{k}": (8, 2, "json", "completed") for k in range(3)}
+    schema = C.records_of(lines, as_of).schema
+    stored = commits.read(spark, path, "records", schema)
+    assert sorted(r.id for r in stored.collect()) == list(range(24))
+    assert commits.read(spark, path, "audit", spark.createDataFrame([], "action string, session_id string").schema).count() == 6
+    assert commits.vacuum(spark, path, C.INGESTED, 0) == 0 and commits.vacuum(spark, path, C.INGESTED, 2**62) == (1 if step == "write_records" else 3)
+    assert commits.read(spark, path, "records", schema).count() == 24
+
+
+def test_the_faster_attempt_counts(spark, tmp_path):
+    """Of two attempts at a batch one is committed; the other one gets its manifest."""
+    path = f"file://{tmp_path}/t"
+    one, two = commits.new_attempt(), commits.new_attempt()
+    for attempt, n in ((one, 2), (two, 3)):
+        spark.range(n).write.parquet(commits.folder(path, "x", attempt))
+    assert commits.publish(spark, path, "b", one, ["x"])["attempt"] == commits.publish(spark, path, "b", two, ["x"])["attempt"] == one
+    assert commits.read(spark, path, "x", spark.range(0).schema).count() == 2 and commits.find(spark, path, "c") is None
+    assert commits.read(spark, f"{path}/none", "x", spark.range(0).schema).count() == 0
+
+
+def test_stream_of_lines_is_ingested_once(spark, tmp_path):
+    schema, as_of = "id long, session_id string, value string", F.lit("2024-01-31").cast("timestamp_ntz")
+    stream = _stream(spark, tmp_path, LINES, schema)
+    for run in range(2):  # the second stream has lost its checkpoint, so the batch comes again
+        jobs.ingest(stream, as_of, f"file://{tmp_path}/out", f"file://{tmp_path}/cp{run}").trigger(availableNow=True).start().awaitTermination()
+    assert C.ingested_sessions(spark, f"file://{tmp_path}/out").agg(F.sum("total_lines")).first()[0] == 24
+
+
+def test_members_are_counted_once(spark, tmp_path):
+    """Batches that overlap, ids far apart and without id; counts and times are those of the distinct records."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [(k * 40_000 - 100_000, t + dt.timedelta(seconds=k), "s", "ERROR", f"boom {k % 2}") for k in range(20)] + [(None, t, "s", "ERROR", "boom 0"), (5, t, "s", "INFO", "fine")]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, service_name string, severity string, message string")
+    for batch, some in (("a", "id < 300000"), ("b", "id > 100000 or id is null"), ("b", "id > 100000"), ("c", "true")):
+        groups = E.count_batch(df.where(some), f"file://{tmp_path}/m", batch)
+    whole = {r.fingerprint: (r.occurrence_count, r.first_seen, r.last_seen) for r in E.dedup_groups(df.where("id is not null")).collect()}
+    assert {r.fingerprint: (r.occurrence_count, r.first_seen, r.last_seen) for r in groups.collect()} == whole and sum(n for n, _, _ in whole.values()) == 20
+
+
 def test_records_are_stored_by_day(spark, tmp_path):
     rows = [(k, dt.datetime(2024, 1, 1 + k % 2), "s") for k in range(10)]
     sinks.write_records(spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, service_name string"), f"file://{tmp_path}/r")
@@ -387,6 +480,27 @@ def test_stream_derivatives(spark, tmp_path):
     assert [(r.first_derivative, r.second_derivative) for r in out] == [(0, 0), (3, 0), (5, 2), (0, -5)]
 
 
+def test_stream_derivatives_of_many_batches(spark, tmp_path):
+    """Windows of a key come in several files and small Arrow batches, out of order within a micro-batch."""
+    schema = "service_name string, severity string, window_start timestamp, error_count long"
+    rng = random.Random(8)
+    counts = [rng.randrange(50) for _ in range(90)]
+    rows = [("s" if k % 2 else "t", "ERROR", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), n) for k, n in enumerate(counts)]
+    for b in range(2):
+        part = rows[b * 45 : (b + 1) * 45]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).repartition(4).write.parquet(f"file://{tmp_path}/in/{b}")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+        out = jobs.drained(spark, jobs.with_derivatives(stream), "derivatives_many").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, own in (("s", counts[1::2]), ("t", counts[::2])):
+        found = [(r.error_count, r.first_derivative, r.second_derivative) for r in sorted(out, key=lambda r: r.window_start) if r.service_name == name]
+        assert found == [(n, n - own[k - 1] if k else 0, n - 2 * own[k - 1] + own[k - 2] if k > 1 else 0) for k, n in enumerate(own)]
+
+
 def test_fan_out(spark, tmp_path):
     stream = _stream(spark, tmp_path, [("s", 1)], "service string, risk long")
     jobs.fan_out(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
@@ -394,10 +508,19 @@ def test_fan_out(spark, tmp_path):
     assert spark.read.text(f"file://{tmp_path}/out/messages").first().value == '{"service":"s","risk":1}'
 
 
+def test_silence_needs_history(spark, tmp_path):
+    """Ten records within seven days before the silence; older ones don't count."""
+    schema, t = "service_name string, timestamp timestamp_ntz", dt.datetime(2024, 1, 20)
+    rows = [("many", t - dt.timedelta(hours=k)) for k in range(10)] + [("few", t - dt.timedelta(hours=k)) for k in range(9)]
+    rows += [("old", t - dt.timedelta(days=k)) for k in range(12)] + [("loud", t + dt.timedelta(hours=1)), ("loud", None)]
+    out = jobs.drained(spark, jobs.silence(_stream(spark, tmp_path, rows, schema)), "silence_history").collect()
+    assert [(r.service_name, r.last_seen, r.records) for r in out] == [("many", t, 10)]
+
+
 def test_silence_raises_once(spark, tmp_path):
     schema, t = "service_name string, timestamp timestamp_ntz", dt.datetime(2024, 1, 1)
     stream = _stream(spark, tmp_path, [("quiet", t), ("loud", t)], schema)
-    q = jobs.silence(stream).writeStream.format("memory").queryName("silence_test").outputMode("append").start()
+    q = jobs.silence(stream, least=1).writeStream.format("memory").queryName("silence_test").outputMode("append").start()
     q.processAllAvailable()
     for k in (1, 2, 3):
         spark.createDataFrame([("loud", t + dt.timedelta(minutes=12 * k))], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
