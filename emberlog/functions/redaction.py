@@ -100,23 +100,37 @@ def _replaced(text: Column, kind: str) -> Column:
 
 
 def with_redaction(df: DataFrame, column: str, prefix: str = "redacted") -> DataFrame:
-    """df with {prefix}_text, {prefix}_count and {prefix}_types (distinct placeholders, sorted) of a text column; a null text stays null with a count of 0."""
-    df = df.withColumn("_text", F.col(column)).withColumn("_counts", F.array().cast("array<struct<type:string,n:int>>"))
-    for kind, placeholder in PLACEHOLDERS.items():
-        # one projection for each kind, so that each expression is evaluated once
-        df = df.withColumn("_step", redact_kind(F.col("_text"), kind))
-        count = F.struct(F.lit(placeholder).alias("type"), F.coalesce("_step.n", F.lit(0)).alias("n"))
-        df = df.withColumn("_counts", F.concat("_counts", F.array(count))).withColumn("_text", F.col("_step.text")).drop("_step")
-    total = F.aggregate("_counts", F.lit(0), lambda s, x: s + x["n"])
-    types = F.array_sort(F.transform(F.filter("_counts", lambda x: x["n"] > 0), lambda x: x["type"]))
+    """df with {prefix}_text, {prefix}_count and {prefix}_types (distinct placeholders, sorted) of a text column; a null text stays null with a count of 0.
+
+    Lambdas bind what each kind leaves, so the expression stays as long as the
+    list of kinds wherever the optimizer moves it, a filter on the result too.
+    """
+    names = F.array(*map(F.lit, PLACEHOLDERS.values()))
+    found = F.filter(F.transform("_redacted.counts", lambda n, k: F.when(n > 0, F.get(names, k))), lambda x: x.isNotNull())
+    out = df.withColumn("_redacted", redacted_counts(F.col(column)))
     return (
-        df.withColumn(f"{prefix}_text", F.col("_text"))
-        .withColumn(f"{prefix}_count", total)
-        .withColumn(f"{prefix}_types", types)
-        .drop("_text", "_counts")
+        out.withColumn(f"{prefix}_text", F.col("_redacted.text"))
+        .withColumn(f"{prefix}_count", F.aggregate("_redacted.counts", F.lit(0), lambda s, n: s + n))
+        .withColumn(f"{prefix}_types", F.array_sort(found))
+        .drop("_redacted")
     )
 
 
+def redacted_counts(text: Column) -> Column:
+    """(text, counts): a text without any of the kinds, and how many of each were replaced."""
+
+    def step(kind: str):
+        def act(s: Column) -> Column:
+            return _bound(redact_kind(s["text"], kind), lambda done: F.struct(done["text"].alias("text"), F.concat(s["counts"], F.array(F.coalesce(done["n"], F.lit(0)))).alias("counts")))
+
+        return act
+
+    out = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
+    for kind in PLACEHOLDERS:
+        out = _bound(out, step(kind))
+    return out
+
+
 def _bound(value: Column, act) -> Column:
     """act(value), with the value evaluated once however often act uses it."""
     return F.get(F.transform(F.array(value), act), F.lit(0))

@@ -1,8 +1,8 @@
 """Log lines to typed records.
 
-Every grammar is one expression from a line to a record struct that is null
-where the grammar doesn't match, so a cascade is a coalesce and nothing
-leaves whole-stage code or the JVM. All times are UTC without a zone; years
+A grammar is a pattern and the expressions of its groups. parse_lines() tries
+them in order in one pass of plain projections; by itself each is an
+expression from a line to a record struct, null where it doesn't match. All times are UTC without a zone; years
 that a grammar lacks come from the evaluation time.
 """
 
@@ -71,19 +71,20 @@ def _record(**values: Column) -> Column:
 _MARK = "\x01"
 
 
-def _matched(line: Column, pattern: str, record: Callable[[Callable[[int], Column], Callable[[int], Column]], Column]) -> Column:
-    """record(group, text) where the pattern matches, else null; group(n) is null and text(n) empty where group n took no part.
-
-    One replacement turns the line into its groups, and the lambda binds them, so each line meets each pattern once.
-    Only a line that has the mark itself meets it once for each group.
-    """
+def _groups(line: Column, pattern: str) -> Column:
+    """The groups of a line that the pattern matches, empty where one took no part. One replacement turns the line into them; only a line that has the mark itself is matched once for each group."""
     n = re.compile(pattern).groups
-    singly = F.when(line.rlike(pattern), F.array(*(F.regexp_extract(line, pattern, k + 1) for k in range(n))))
+    singly = F.array(*(F.regexp_extract(line, pattern, k + 1) for k in range(n)))
     marked = F.regexp_replace(line, pattern + "(?s:.*)$", _MARK.join(f"${k + 1}" for k in range(n)))
-    groups = F.when(line.contains(_MARK), singly).otherwise(F.split(marked, _MARK))
+    return F.when(line.contains(_MARK), singly).otherwise(F.split(marked, _MARK))
+
+
+def _matched(line: Column, pattern: str, record: Callable[[Callable[[int], Column], Callable[[int], Column]], Column]) -> Column:
+    """record(group, text) where the pattern matches, else null; group(n) is null and text(n) empty where group n took no part. The lambda binds the groups, so they are taken once."""
     text = lambda g: lambda k: F.get(g, F.lit(k - 1))
     group = lambda g: lambda k: F.nullif(F.get(g, F.lit(k - 1)), F.lit(""))
-    return F.get(F.transform(F.array(groups), lambda g: F.when(F.size(g) == n, record(group(g), text(g)))), F.lit(0))
+    found = F.when(line.rlike(pattern), _groups(line, pattern))
+    return F.get(F.transform(F.array(found), lambda g: F.when(g.isNotNull(), record(group(g), text(g)))), F.lit(0))
 
 
 def _dashed(x: Column) -> Column:
@@ -91,10 +92,10 @@ def _dashed(x: Column) -> Column:
 
 
 def _map(**values: Column) -> Column:
-    if not values:
-        return F.create_map().cast("map<string,string>")
-    entries = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()))
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    """A map of the values that aren't null, as texts."""
+    none = F.create_map().cast("map<string,string>")
+    parts = [F.when(v.isNotNull(), F.create_map(F.lit(k), v.cast("string"))).otherwise(none) for k, v in values.items()]
+    return F.map_concat(*parts) if len(parts) > 1 else parts[0] if parts else none
 
 
 def utc(text: Column) -> Column:
@@ -171,32 +172,35 @@ def json_extras(members: Column) -> Column:
     return F.map_filter(members, lambda k, v: ~k.isin(KNOWN_KEYS))
 
 
+def _json_fields(m: Column, time: Column, extras: Column) -> dict[str, Column]:
+    """Fields of the members of an object; time: the value of its first time key; extras: json_extras() of it."""
+    return dict(
+        timestamp=json_time(time),
+        severity=_spelled(first_present(m, SEVERITY_KEYS)),
+        message=first_present(m, MESSAGE_KEYS),
+        service_name=first_present(m, SERVICE_KEYS),
+        request_id=first_present(m, REQUEST_ID_KEYS),
+        trace_id=first_present(m, TRACE_ID_KEYS),
+        environment=first_present(m, ENVIRONMENT_KEYS),
+        deployment_version=first_present(m, VERSION_KEYS),
+        http_method=first_true(m, METHOD_KEYS),
+        http_path=first_true(m, PATH_KEYS),
+        http_status=first_true(m, STATUS_KEYS).try_cast("int"),
+        duration_ms=first_true(m, DURATION_KEYS).try_cast("double"),
+        extra_fields=extras,
+        log_format=F.lit("json"),
+    )
+
+
 def parse_json(line: Column) -> Column:
-    def record(m: Column) -> Column:
-        return _record(
-            timestamp=json_time(first_present(m, TIMESTAMP_KEYS)),
-            severity=_spelled(first_present(m, SEVERITY_KEYS)),
-            message=first_present(m, MESSAGE_KEYS),
-            service_name=first_present(m, SERVICE_KEYS),
-            request_id=first_present(m, REQUEST_ID_KEYS),
-            trace_id=first_present(m, TRACE_ID_KEYS),
-            environment=first_present(m, ENVIRONMENT_KEYS),
-            deployment_version=first_present(m, VERSION_KEYS),
-            http_method=first_true(m, METHOD_KEYS),
-            http_path=first_true(m, PATH_KEYS),
-            http_status=first_true(m, STATUS_KEYS).try_cast("int"),
-            duration_ms=first_true(m, DURATION_KEYS).try_cast("double"),
-            extra_fields=json_extras(m),
-            log_format=F.lit("json"),
-        )
-
-    return F.get(F.transform(F.array(json_keys(line)), lambda m: F.when(m.isNotNull(), record(m))), F.lit(0))
-
-
-def _access(g, extras: dict[str, Column], log_format: str, **more: Column) -> Column:
+    record = lambda m: F.when(m.isNotNull(), _record(**_json_fields(m, first_present(m, TIMESTAMP_KEYS), json_extras(m))))
+    return F.get(F.transform(F.array(json_keys(line)), record), F.lit(0))
+
+
+def _access(g, extras: dict[str, Column], log_format: str, **more: Column) -> dict[str, Column]:
     """What the three access formats share."""
     status = g(6).try_cast("int")
-    return _record(
+    return dict(
         source_ip=_dashed(g(1)),
         timestamp=clf_time(g(4)),
         http_method=request_method(g(5)),
@@ -209,82 +213,115 @@ def _access(g, extras: dict[str, Column], log_format: str, **more: Column) -> Co
     )
 
 
-def parse_common(line: Column) -> Column:
-    return _matched(line, COMMON, lambda g, t: _access(g, {}, "apache_common"))
+def _common(g, t, as_of: Column | None) -> dict[str, Column]:
+    return _access(g, {}, "apache_common")
 
 
-def parse_combined(line: Column) -> Column:
-    return _matched(line, COMBINED, lambda g, t: _access(g, {"referer": t(8), "user_agent": t(9)}, "apache_combined"))
+def _combined(g, t, as_of: Column | None) -> dict[str, Column]:
+    return _access(g, {"referer": t(8), "user_agent": t(9)}, "apache_combined")
 
 
-def parse_nginx(line: Column) -> Column:
-    return _matched(line, NGINX, lambda g, t: _access(g, {"referer": g(8), "user_agent": g(9)}, "nginx", duration_ms=g(10).try_cast("double") * 1000))
+def _nginx(g, t, as_of: Column | None) -> dict[str, Column]:
+    return _access(g, {"referer": g(8), "user_agent": g(9)}, "nginx", duration_ms=g(10).try_cast("double") * 1000)
+
+
+def _rfc5424(g, t, as_of: Column | None) -> dict[str, Column]:
+    return dict(
+        severity=F.get(F.array(*map(F.lit, SYSLOG_SEVERITIES)), g(1).try_cast("int") % 8),
+        timestamp=utc(_dashed(g(3))),
+        source_ip=_dashed(g(4)),
+        service_name=_dashed(g(5)),
+        request_id=_dashed(g(7)),
+        message=t(9),
+        extra_fields=_map(pid=g(6)),
+        log_format=F.lit("syslog"),
+    )
 
 
-def parse_rfc5424(line: Column) -> Column:
-    levels = F.array(*map(F.lit, SYSLOG_SEVERITIES))
-    return _matched(
-        line,
-        RFC5424,
-        lambda g, t: _record(
-            severity=F.get(levels, g(1).try_cast("int") % 8),
-            timestamp=utc(_dashed(g(3))),
-            source_ip=_dashed(g(4)),
-            service_name=_dashed(g(5)),
-            request_id=_dashed(g(7)),
-            message=t(9),
-            extra_fields=_map(pid=g(6)),
-            log_format=F.lit("syslog"),
-        ),
+def _rfc3164(g, t, as_of: Column | None) -> dict[str, Column]:
+    month = F.greatest(F.array_position(F.array(*map(F.lit, MONTHS)), g(1)).cast("int"), F.lit(1))
+    date = F.concat_ws("-", F.year(as_of), F.lpad(month.cast("string"), 2, "0"), F.lpad(g(2), 2, "0"))
+    return dict(
+        severity=F.lit("INFO"),
+        timestamp=F.concat_ws(" ", date, g(3)).try_cast("timestamp_ntz"),
+        source_ip=g(4),
+        service_name=F.trim(g(5)),
+        message=t(7),
+        extra_fields=_map(pid=g(6)),
+        log_format=F.lit("syslog"),
     )
 
 
-def parse_rfc3164(line: Column, as_of: Column) -> Column:
-    def record(g, t) -> Column:
-        month = F.greatest(F.array_position(F.array(*map(F.lit, MONTHS)), g(1)).cast("int"), F.lit(1))
-        date = F.concat_ws("-", F.year(as_of), F.lpad(month.cast("string"), 2, "0"), F.lpad(g(2), 2, "0"))
-        return _record(
-            severity=F.lit("INFO"),
-            timestamp=F.concat_ws(" ", date, g(3)).try_cast("timestamp_ntz"),
-            source_ip=g(4),
-            service_name=F.trim(g(5)),
-            message=t(7),
-            extra_fields=_map(pid=g(6)),
-            log_format=F.lit("syslog"),
-        )
-
-    return _matched(line, RFC3164, record)
-
-
-def parse_generic(line: Column) -> Column:
-    return _matched(
-        line,
-        GENERIC,
-        lambda g, t: _record(
-            timestamp=utc(F.replace(g(1), F.lit(","), F.lit("."))),
-            severity=_spelled(g(2)),
-            message=F.trim(t(5)),
-            service_name=g(4),
-            extra_fields=_map(),
-            log_format=F.lit("custom"),
-        ),
+def _generic(g, t, as_of: Column | None) -> dict[str, Column]:
+    return dict(
+        timestamp=utc(F.replace(g(1), F.lit(","), F.lit("."))),
+        severity=_spelled(g(2)),
+        message=F.trim(t(5)),
+        service_name=g(4),
+        extra_fields=_map(),
+        log_format=F.lit("custom"),
     )
 
 
+def _malformed(line: Column) -> dict[str, Column]:
+    return dict(message=line, severity=F.lit("UNKNOWN"), extra_fields=_map(), log_format=F.lit("custom"), is_malformed=F.lit(True))
+
+
+#: Grammars after JSON, in the order in which they are tried: how a line that one takes must begin, its pattern and fields.
+_ACCESS, _SYSLOG = r"^\S+\s+\S+\s+\S+\s+\[", r"^(?:<\d+>)?\w{3}\s+\d"
+CASCADE = [
+    (_ACCESS, COMBINED, _combined), (_ACCESS, COMMON, _common), (_ACCESS, NGINX, _nginx), (r"^<\d+>\d", RFC5424, _rfc5424),
+    (_SYSLOG, RFC3164, _rfc3164), (r"^\d{4}-", GENERIC, _generic),
+]
+
+
+def _parser(pattern: str, fields: Callable[..., dict[str, Column]]) -> Callable[..., Column]:
+    def parse(line: Column, as_of: Column | None = None) -> Column:
+        return _matched(line, pattern, lambda g, t: _record(**fields(g, t, as_of)))
+
+    return parse
+
+
+parse_common, parse_combined, parse_nginx = _parser(COMMON, _common), _parser(COMBINED, _combined), _parser(NGINX, _nginx)
+parse_rfc5424, parse_rfc3164, parse_generic = _parser(RFC5424, _rfc5424), _parser(RFC3164, _rfc3164), _parser(GENERIC, _generic)
+
+
 def parse_malformed(line: Column) -> Column:
-    return _record(message=line, severity=F.lit("UNKNOWN"), extra_fields=_map(), log_format=F.lit("custom"), is_malformed=F.lit(True))
+    return _record(**_malformed(line))
 
 
 def parse_lines(lines: DataFrame, as_of: Column, column: str = "value", keep: str = "raw_line") -> DataFrame:
-    """lines with the fields of the first grammar that matches: JSON, combined, common, nginx, both syslogs, logger style; else a malformed record. Blank lines go; the line stays as keep."""
+    """lines with the fields of the first grammar that matches: JSON, combined, common, nginx, both syslogs, logger style; else a malformed record. Blank lines go; the line stays as keep.
+
+    One pass without lambdas over records: a line's beginning says which
+    grammars can take it, their patterns which one does; its groups are taken
+    out by one replacement, and each field is a choice among the grammars' expressions of groups.
+    """
     line = F.rtrim(F.regexp_replace(F.col(column), r"[\r\n]+$", ""))
     own = lines.where(F.coalesce(F.btrim(F.col(column), F.lit(WHITE)) != "", F.lit(False))).withColumn(keep, line)
-    x = F.col(keep)
-    first = F.coalesce(
-        parse_json(x), parse_combined(x), parse_common(x), parse_nginx(x), parse_rfc5424(x), parse_rfc3164(x, as_of), parse_generic(x), parse_malformed(x)
-    )
     rest = [c for c in own.columns if c not in (column, *FIELDS)]
-    return own.withColumn("_record", first).select(*rest, "_record.*")
+    x = F.col(keep)
+    own = own.withColumn("_members", json_keys(x)).withColumn("_extras", json_extras(F.col("_members")))
+    form = F.when(F.col("_members").isNotNull(), 0)
+    for k, (begins, pattern, _) in enumerate(CASCADE, 1):
+        form = form.when(x.rlike(begins) & x.rlike(pattern), k)
+    own = own.withColumns({"_form": form.otherwise(len(CASCADE) + 1), "_time": first_present(F.col("_members"), TIMESTAMP_KEYS)})
+    groups = F.when(F.col("_form") == 0, F.lit(None).cast("array<string>"))
+    for k, (_, pattern, _) in enumerate(CASCADE, 1):
+        groups = groups.when(F.col("_form") == k, _groups(x, pattern))
+    own = own.withColumn("_groups", groups)
+    text = lambda k: F.get("_groups", F.lit(k - 1))
+    group = lambda k: F.nullif(text(k), F.lit(""))
+    every = [_json_fields(F.col("_members"), F.col("_time"), F.col("_extras")), *(fields(group, text, as_of) for _, _, fields in CASCADE), _malformed(x)]
+
+    def chosen(name: str, kind: str) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast(kind))
+        for k, fields in enumerate(every):
+            if name in fields:
+                out = out.when(F.col("_form") == k, fields[name].cast(kind))
+        return out.otherwise(F.lit(False)) if name == "is_malformed" else out
+
+    return own.select(*rest, *(chosen(n, t).alias(n) for n, t in FIELDS.items()))
 
 
 def format_vote(records: DataFrame, session: str, order: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-import pickle
-import tempfile
 from collections.abc import Iterator
 from itertools import islice
 
@@ -71,35 +68,62 @@ def fingerprint_counts(logs: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 class Groups:
-    """Semantic groups of one service as (n, centroid) by fingerprint: the RECENT_GROUPS last used, the most recent last, and all others in older, a map with pop and put."""
+    """Semantic groups of one service by fingerprint: the RECENT_GROUPS last used as rows of a matrix, and all others in older, a map with pop and put.
 
-    def __init__(self, older, recent: dict[str, tuple[int, list[float]]]):
-        self.older, self.recent = older, recent
+    A message is compared with all recent centroids by one product; a group's
+    row is all that changes when it takes a message.
+    """
+
+    def __init__(self, older, recent: list[tuple[str, int, list[float]]]):
+        """recent: fingerprint, size and centroid, the last used last."""
+        self.older, self.slot, self.names = older, {}, [None] * (RECENT_GROUPS + 1)
+        self.sizes, self.used, self.clock = np.zeros(RECENT_GROUPS + 1, np.int64), np.full(RECENT_GROUPS + 1, -1), 0
+        self.centres, self.norms = None, np.zeros(RECENT_GROUPS + 1)
+        for name, n, centroid in recent:
+            self._put(name, n, np.array(centroid, float))
+
+    def _put(self, name: str, n: int, centroid: np.ndarray) -> None:
+        if self.centres is None:
+            self.centres = np.zeros((len(self.names), len(centroid)))
+        k = self.slot.setdefault(name, None)
+        if k is None:
+            k = self.slot[name] = self.names.index(None)
+        self.names[k], self.sizes[k], self.centres[k], self.norms[k], self.used[k] = name, n, centroid, np.linalg.norm(centroid), self.clock
+        self.clock += 1
+        if len(self.slot) > RECENT_GROUPS:
+            self._forget(int(np.where(self.used < 0, self.clock, self.used).argmin()))
+
+    def _forget(self, k: int) -> None:
+        self.older.put(self.names[k], (int(self.sizes[k]), self.centres[k].tolist()))
+        del self.slot[self.names[k]]
+        self.names[k], self.sizes[k], self.centres[k], self.norms[k], self.used[k] = None, 0, 0.0, 0.0, -1
 
     def add(self, print_: str, vector: np.ndarray) -> tuple[str, bool]:
-        """The group of a message: that of its fingerprint among all groups, else the most similar recent one, else a new one."""
-        name = print_
-        group = self.recent.pop(name, None) or self.older.pop(name)
-        if group is None and (found := self._similar(vector)) is not None:
-            name, group = found, self.recent.pop(found)
+        """The group of a message: that of its fingerprint among all groups, else the most similar recent one (of equally similar ones that used longest ago), else a new one."""
+        name, k = print_, self.slot.get(print_)
+        group = (int(self.sizes[k]), self.centres[k]) if k is not None else self.older.pop(print_)
+        if group is None and (k := self._similar(vector)) is not None:
+            name, group = self.names[k], (int(self.sizes[k]), self.centres[k])
         if group is None:
-            self.recent[name] = (1, np.round(vector, 6).tolist())
+            self._put(name, 1, np.round(vector, 6))
         else:
-            n, centroid = group
-            self.recent[name] = (n + 1, np.round((1 - ALPHA) * np.array(centroid) + ALPHA * vector, 6).tolist())
-        if len(self.recent) > RECENT_GROUPS:
-            last = next(iter(self.recent))
-            self.older.put(last, self.recent.pop(last))
+            self._put(name, group[0] + 1, np.round((1 - ALPHA) * np.array(group[1]) + ALPHA * vector, 6))
         return name, group is None
 
-    def _similar(self, vector: np.ndarray) -> str | None:
-        if not self.recent or not np.linalg.norm(vector) > 0:
+    def _similar(self, vector: np.ndarray) -> int | None:
+        length = np.linalg.norm(vector)
+        if not self.slot or not length > 0:
             return None
-        centres = np.array([c for _, c in self.recent.values()])
-        size = np.linalg.norm(centres, axis=1) * np.linalg.norm(vector)
-        similar = np.divide(centres @ vector, size, out=np.zeros(len(centres)), where=size > 0)
-        best = int(similar.argmax())
-        return list(self.recent)[best] if similar[best] >= SIMILARITY else None
+        size = self.norms * length
+        similar = np.divide(self.centres @ vector, size, out=np.zeros(len(size)), where=size > 0)
+        similar[self.used < 0] = -2
+        best = similar.max()
+        first = np.flatnonzero(similar == best)
+        return int(first[self.used[first].argmin()]) if best >= SIMILARITY else None
+
+    def recent(self) -> list[tuple[str, int, list[float]]]:
+        order = sorted(self.slot.values(), key=lambda k: self.used[k])
+        return [(self.names[k], int(self.sizes[k]), self.centres[k].tolist()) for k in order]
 
 
 class _Older:
@@ -119,25 +143,17 @@ class _Older:
         self.state.updateValue((print_,), group)
 
 
-def in_order(frames: Iterator[pd.DataFrame], block: int = 256) -> Iterator[tuple]:
-    """id, fingerprint, embedding of all rows by time and id (null times last). Each frame is a sorted run in a temporary file, read back a block at a time, so the rows are never in memory together."""
+def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """id, fingerprint, embedding of all rows by time and id (null times last).
 
-    def run(blocks: list[int]) -> Iterator[tuple]:
-        for at in blocks:
-            f.seek(at)
-            yield from pickle.load(f)
-
-    with tempfile.TemporaryFile() as f:
-        runs = []
-        for b in frames:
-            b = b.assign(_at=b["timestamp"].astype("datetime64[us]").astype("int64").where(b["timestamp"].notna(), np.iinfo(np.int64).max)).sort_values(["_at", "id"])
-            rows = list(zip(b["_at"].tolist(), b["id"].tolist(), b["fingerprint"], b["embedding"], strict=True))
-            runs.append([])
-            for k in range(0, len(rows), block):
-                runs[-1].append(f.tell())
-                pickle.dump(rows[k : k + block], f)
-        for row in heapq.merge(*map(run, runs), key=lambda r: r[:2]):
-            yield row[1:]
+    They are held as arrays of one micro-batch, which the source's limit of
+    files or bytes for a trigger bounds; nothing goes to a local disk.
+    """
+    own = pd.concat([*frames], ignore_index=True)
+    at = own["timestamp"].astype("datetime64[us]").astype("int64").where(own["timestamp"].notna(), np.iinfo(np.int64).max)
+    order = np.lexsort((own["id"].to_numpy(), at.to_numpy()))
+    ids, prints, vectors = (own[c].to_numpy() for c in ("id", "fingerprint", "embedding"))
+    yield from ((int(ids[k]), prints[k], vectors[k]) for k in order)
 
 
 class _SemanticGroups(StatefulProcessor):
@@ -149,11 +165,12 @@ class _SemanticGroups(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         prints, counts, centres = self.recent.get() if self.recent.exists() else ([], [], [])
-        groups = Groups(self.older, {p: (int(n), list(c)) for p, n, c in zip(prints, counts, centres, strict=True)})
+        groups = Groups(self.older, list(zip(prints, counts, centres, strict=True)))
         own = ((key[0], i, *groups.add(p, np.array(v, float))) for i, p, v in in_order(rows))
         while some := list(islice(own, 10_000)):
             yield pd.DataFrame(some, columns=["service_name", "id", "group_fingerprint", "is_new"])
-        self.recent.update((list(groups.recent), [n for n, _ in groups.recent.values()], [c for _, c in groups.recent.values()]))
+        kept = groups.recent()
+        self.recent.update(tuple([r[k] for r in kept] for k in range(3)))
 
     def close(self) -> None:
         pass
