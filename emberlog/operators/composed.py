@@ -11,14 +11,24 @@ from emberlog.operators import errors as E
 from emberlog.operators import incidents as I  # noqa: E741
 from emberlog.operators import parsing as P
 from emberlog.sources import commits, sinks
+from emberlog.sources.readers import accepted, lines_of
 
 
 def records_of(lines: DataFrame, as_of: Column) -> DataFrame:
-    """What is stored of lines (id, session_id, value): parsed by the first grammar that fits, without personal data, severities and formats as stored."""
-    clean = sinks.stored_rows(redact_records(P.parse_lines(lines, as_of)))
+    """What is stored of lines (id, session_id, value): parsed by the first grammar that fits, without personal data, severities and formats as stored.
+
+    Columns tag_service and tag_environment, if lines have them, stand in where a line names no service or environment.
+    """
+    parsed = P.parse_lines(lines, as_of)
+    for tag, name in TAGS.items():
+        if tag in lines.columns:
+            parsed = parsed.withColumn(name, F.coalesce(name, tag)).drop(tag)
+    clean = sinks.stored_rows(redact_records(parsed))
     return clean.withColumns({"extra_fields": F.to_json("extra_fields"), "severity": P.map_severity(F.col("severity")), "log_format": P.map_format(F.col("log_format"))})
 
 
+#: Tags of an upload, and the fields that they stand in for.
+TAGS = {"tag_service": "service_name", "tag_environment": "environment"}
 INGESTED = ["records", "sessions", "audit"]
 _PARTS = "session_id string, log_format string, lines long, first long, inserted long, failed long, pii_total long"
 
@@ -65,6 +75,19 @@ def process_sessions(lines: DataFrame, as_of: Column, path: str, batch: str) ->
     return session_totals(commits.read(spark, path, "sessions", spark.createDataFrame([], _PARTS).schema, [done]))
 
 
+def upload(files: DataFrame, as_of: Column, path: str, batch: str) -> tuple[DataFrame, DataFrame]:
+    """Ingests uploaded files (path, length, content, and service_name and environment as tags, both may be null), one session each with its path as id.
+
+    Returns the sessions' statistics and the files that were refused, with the reason. A file of no line has no session.
+    """
+    judged = accepted(files)
+    own = judged.where("valid")
+    tags = own.select(F.col("path").alias("file"), F.col("service_name").alias("tag_service"), F.col("environment").alias("tag_environment"))
+    lines = lines_of(own).join(tags, "file")
+    lines = lines.select(F.col("pos").alias("id"), F.col("file").alias("session_id"), "value", *TAGS)
+    return process_sessions(lines, as_of, path, batch), judged.where("not valid").select("path", "reason")
+
+
 def ingested_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Statistics of all sessions over all committed batches, without a look at their records."""
     return session_totals(commits.read(spark, path, "sessions", spark.createDataFrame([], _PARTS).schema))

@@ -148,6 +148,14 @@ def size_jumps(before: DataFrame, after: DataFrame, keys: list[str], factor: flo
     return grown.where(F.col("n_after") >= factor * F.col("n_before")).withColumn("factor", F.round(F.col("n_after") / F.col("n_before"), 4))
 
 
+def cluster_growth(members: DataFrame, deployments: DataFrame, keys: list[str], factor: float = SIZE_JUMP) -> DataFrame:
+    """keys, n_before, n_after, factor: clusters that grew to factor times their size or more by the members (keys, at) that came since their service's deployment (the first of keys, at). Clusters without members before are new, not grown."""
+    since = deployments.groupBy(keys[0]).agg(F.max("at").alias("since"))
+    sizes = members.where(F.col("label") >= 0).join(since, keys[0]).groupBy(*keys).agg(F.count_if(F.col("at") < F.col("since")).alias("n_before"), F.count("*").alias("n_after"))
+    grown = sizes.where((F.col("n_before") > 0) & (F.col("n_after") >= factor * F.col("n_before")))
+    return grown.withColumn("factor", F.round(F.col("n_after") / F.col("n_before"), 4))
+
+
 def config_diff(snapshots: DataFrame, base: str, head: str) -> DataFrame:
     """Keys whose values differ between each service's base and head versions; a missing key is null."""
     def entries(version: str, name: str) -> DataFrame:
@@ -320,6 +328,11 @@ def patch(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
     return base.join(new, key, "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns))
 
 
+def delete_rows(base: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """base without the rows whose key gone has; a null key is never deleted."""
+    return base.join(gone.select(key).distinct(), key, "left_anti")
+
+
 def short(text: Column, n: int = 200) -> Column:
     return T.cut(text, n)
 

@@ -131,6 +131,16 @@ def cluster_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.cluster_pass_summary(_labels(spark, sf_dir), _clusters(spark, sf_dir)).withColumn("silhouette", F.round("silhouette", 3))
 
 
+@query(f"""WITH RECURSIVE {DBSCAN}, m AS (SELECT service_id, max(id) - 20 AS since FROM vectors GROUP BY ALL),
+c AS (SELECT l.service_id, label, count(*) FILTER (WHERE id < since) AS n_before, count(*) AS n_after FROM labels l JOIN m ON l.service_id = m.service_id WHERE label >= 0 GROUP BY ALL)
+SELECT *, round(n_after / n_before, 4) AS factor FROM c WHERE n_before > 0 AND n_after >= 1.02 * n_before""")
+def cluster_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters that grew by a fiftieth since the deployment of their service, for which an id stands."""
+    labels = _labels(spark, sf_dir).withColumn("at", F.col("id"))
+    deployed = D.indicator_vectors(spark, sf_dir).groupBy("service_id").agg((F.max("id") - 20).alias("at"))
+    return I.cluster_growth(labels, deployed, ["service_id", "label"], 1.02)
+
+
 def _counted(eps: float) -> str:
     own = DBSCAN.replace(f"d <= {EPS}", f"d <= {eps}")
     return f"(WITH RECURSIVE {own} SELECT service_id, label, count(*) AS n FROM labels WHERE label >= 0 GROUP BY ALL)"

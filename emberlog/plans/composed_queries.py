@@ -106,13 +106,29 @@ def _archive(rows: pa.Table) -> pa.Table:
     return pa.table({"path": [f"part-{n}.{'txt' if n % 4 == 3 else 'gz'}"], "content": pa.array([content], pa.binary())})
 
 
+@query("""SELECT 'part-' || (event_id % 61) || CASE WHEN event_id % 61 % 4 = 3 THEN '.txt' ELSE '.gz' END AS session_id, count(*) AS total_lines, 0::BIGINT AS inserted, count(*) AS failed, 0::BIGINT AS pii_total,
+'custom' AS dominant_format, 'failed' AS status, 'svc-' || (event_id % 61 % 5) AS service_name, CASE WHEN event_id % 61 % 2 = 0 THEN 'prod' END AS environment FROM events WHERE event_id % 61 <> 7 GROUP BY ALL""")
+def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives as uploads with tags, one of them too large: statistics of each, and the tags that their records have."""
+    path, part = fresh_path(spark, "uploads"), F.regexp_extract("path", r"(\d+)", 1).cast("int")
+    files = _archives(spark, sf_dir).withColumn("length", F.when(part == 7, 10**9).otherwise(F.octet_length("content")))
+    files = files.withColumns({"service_name": F.concat(F.lit("svc-"), part % 5), "environment": F.when(part % 2 == 0, "prod")})
+    stats, _ = C.upload(files, D.as_of(), path, "all")
+    schema = C.records_of(G.raw_lines(spark, sf_dir).withColumnRenamed("event_id", "id"), D.as_of()).schema
+    tags = commits.read(spark, path, "records", schema).select("session_id", "service_name", "environment").distinct()
+    return stats.join(tags, "session_id")
+
+
 @query("SELECT 'part-' || (event_id % 61) || CASE WHEN event_id % 61 % 4 = 3 THEN '.txt' ELSE '.gz' END AS file, event_id || ' ' || event_type || ' ' || user_id AS value FROM events")
 def src_archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records as lines of archives, gzip files and text with a name of gzip, unpacked again."""
+    return readers.lines_of(_archives(spark, sf_dir)).select("file", "value")
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(" ", "event_id", "event_type", "user_id").alias("line")
     own = D.read(spark, sf_dir, "events").select((F.col("event_id") % 61).alias("part"), "event_id", line)
-    files = own.groupBy("part").applyInArrow(_archive, "path string, content binary")
-    return readers.lines_of(files).select("file", "value")
+    return own.groupBy("part").applyInArrow(_archive, "path string, content binary")
 
 
 @query("""SELECT '{"p_partkey":"' || p_partkey || '","p_size":"' || p_size || '","p_type":"' || p_type || '"}' AS value FROM part""")

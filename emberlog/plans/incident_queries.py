@@ -283,6 +283,12 @@ def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.patch(o, changes, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P'")
+def report_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = D.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return I.delete_rows(o, o.where("o_orderstatus = 'P'"), "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
 _N = "chr(10)"
 _SECTIONS = " || chr(10) || ".join(
     f"'## {title}' || chr(10) || chr(10) || " + ("c_name" if key == "summary" else "'_Not available._'") + " || chr(10) || chr(10)" for key, title in I.REPORT_SECTIONS.items()

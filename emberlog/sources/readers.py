@@ -132,7 +132,7 @@ def _entries(data: bytes) -> list[tuple[str, str, bytes]]:
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """file, member, value: the lines of files (path, content) of any kind, archives unpacked.
+    """file, member, pos, value: the lines of files (path, content) of any kind, archives unpacked; pos grows with the place of a line in its file.
 
     Members are dealt to tasks of their own and decompressed a piece at a
     time, so an archive's text is never whole in one task; its compressed bytes are, which accepted() bounds.
@@ -140,15 +140,18 @@ def lines_of(files: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, name, _, method, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, name, nth, method, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = nth << 40
                 for lines in _split(_inflated(data, method)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(lines), pa.string()), pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["file", "member", "value"])
+                    texts = [pa.array([x] * len(lines), pa.string()) for x in (file, name)]
+                    yield pa.RecordBatch.from_arrays([*texts, pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "member", "pos", "value"])
+                    at += len(lines)
 
-    return members(files).repartition("file", "nth").mapInArrow(read, "file string, member string, value string")
+    return members(files).repartition("file", "nth").mapInArrow(read, "file string, member string, pos long, value string")
 
 
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, member, value: lines of the files under path, gzip, zip or plain by their signatures."""
+    """file, member, pos, value: lines of the files under path, gzip, zip or plain by their signatures."""
     return lines_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
