@@ -71,7 +71,7 @@ def test_stages_keep_columns_of_any_name(spark, sf_dir):
 def test_run_and_registry(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == 10
     assert QUERIES["pipeline"] is corpus_pipeline.run
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14))
 
 
 def test_stages_of_nothing(spark, sf_dir):
