@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.plans import analysis_queries, composed_queries, incident_queries, log_queries, stream_queries
+from emberlog.plans import analysis_queries, composed_queries, incident_queries, log_queries, search_queries, stream_queries
 
-_PARTS = (log_queries, analysis_queries, incident_queries, composed_queries, stream_queries)
+_PARTS = (log_queries, analysis_queries, incident_queries, composed_queries, stream_queries, search_queries)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 
