@@ -180,8 +180,10 @@ def stub_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, 'stub ' || substr(md5(text), 1, 8) AS completion, len([x FOR x IN regexp_split_to_array(text, '\\s+') IF x <> ''])::INT AS tokens FROM benchmark")
 def stub_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    return D.read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("stub "), F.substring(F.md5("text"), 1, 8)).alias("completion"), F.size(words).alias("tokens"))
+    """The stub provider's answers to whole texts, and the words that a prompt has."""
+    own = with_completion(D.read(spark, sf_dir, "benchmark").select("item_id", "text"), F.col("text"), F.lit(None).cast("string"))
+    words = F.array_remove(F.split("text", r"\s+"), "")
+    return own.select("item_id", "completion", F.size(words).alias("tokens"))
 
 
 # --- baselines and anomalies
@@ -392,11 +394,13 @@ def alerts_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", "risk_score", tier.alias("tier"), F.get(actions, F.lit(0))["action"].alias("first_action"), F.size(actions).alias("actions"))
 
 
-@query("""SELECT 'critical' AS tier, * FROM (VALUES (1, 'Page on-call SRE immediately'), (2, 'Review error logs for the last 15 minutes'), (3, 'Check recent deployments for this service'), (4, 'Prepare rollback plan')) t(priority, action)
-UNION ALL SELECT 'warning', * FROM (VALUES (1, 'Monitor error rate closely for the next 10 minutes'), (2, 'Review error logs for the last 15 minutes'), (3, 'Check recent deployments for this service')) t(priority, action)""")
+@query(f"""WITH {SNAP}, actions AS (SELECT 'critical' AS tier, * FROM (VALUES (1, 'Page on-call SRE immediately'), (2, 'Review error logs for the last 15 minutes'), (3, 'Check recent deployments for this service'), (4, 'Prepare rollback plan')) t(priority, action)
+UNION ALL SELECT 'warning', * FROM (VALUES (1, 'Monitor error rate closely for the next 10 minutes'), (2, 'Review error logs for the last 15 minutes'), (3, 'Check recent deployments for this service')) t(priority, action))
+SELECT service_name, tier, priority, action, count(*) AS alerts FROM (SELECT *, CASE WHEN risk_score >= 80 THEN 'critical' ELSE 'warning' END AS tier FROM snaps WHERE risk_score >= 60) JOIN actions USING (tier) GROUP BY ALL""")
 def recommended_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiers = spark.createDataFrame([("critical",), ("warning",)], "tier string")
-    return tiers.select("tier", F.explode(S.recommended_actions(F.col("tier"))).alias("a")).select("tier", "a.priority", "a.action")
+    """What to do about all alerts of each service: an action and the alerts that ask for it, added up by tier first."""
+    alerts = _snapshots(spark, sf_dir).where("risk_score >= 60").groupBy("service_name", S.risk_tier(F.col("risk_score")).alias("tier")).agg(F.count("*").alias("alerts"))
+    return alerts.withColumn("a", F.explode(S.recommended_actions(F.col("tier")))).select("service_name", "tier", "a.priority", "a.action", "alerts")
 
 
 def _fixed(x: str, digits: int) -> str:

@@ -140,7 +140,7 @@ def src_push_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src_csv_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a CSV row becomes: one JSON object of texts."""
-    return read(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region"))).alias("value"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", readers.row_as_line(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region")).alias("value"))
 
 
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:

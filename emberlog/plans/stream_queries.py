@@ -79,5 +79,15 @@ WHERE window_start + INTERVAL 1 MINUTE <= (SELECT max("timestamp") FROM errs) -
     "stream_silence": f"""WITH {D.LOGS}, r AS (SELECT *, row_number() OVER (PARTITION BY service_name ORDER BY "timestamp" DESC) AS n, count(*) OVER (PARTITION BY service_name) AS records, max("timestamp") OVER (PARTITION BY service_name) AS last_seen FROM logs)
 SELECT service_name, last_seen, records FROM r WHERE n = 10 AND "timestamp" >= last_seen + INTERVAL 2 MINUTES - INTERVAL 7 DAYS AND last_seen + INTERVAL 2 MINUTES < (SELECT max("timestamp") FROM logs) - INTERVAL 1 MINUTE""",
     "stream_fan_out": f"WITH {D.LOGS} SELECT id, service_name, message FROM logs WHERE severity = 'ERROR'",
+    # One row for each record, in order: the groups so far stand in the order of their last use, so the first of equally similar ones is that used longest ago.
+    "stream_semantic_dedup": f"""WITH RECURSIVE {D.LOGS}, o AS (SELECT service_name, id, sha256({NORMAL}) AS print, cos(json_extract_string(extra_fields, '$.k')::DOUBLE) AS x, sin(json_extract_string(extra_fields, '$.k')::DOUBLE) AS y,
+  row_number() OVER (PARTITION BY service_name ORDER BY "timestamp", id) AS n FROM logs WHERE severity = 'ERROR'),
+r AS (SELECT DISTINCT service_name, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS group_fingerprint, false AS is_new, []::STRUCT(name VARCHAR, x DOUBLE, y DOUBLE)[] AS groups FROM o
+UNION ALL SELECT service_name, n, id, coalesce(g.name, print), g.name IS NULL, list_append(list_filter(groups, lambda h: h.name <> coalesce(g.name, print)), {{
+  'name': coalesce(g.name, print), 'x': CASE WHEN g.name IS NULL THEN round(x, 6) ELSE round(0.9::DOUBLE * g.x + 0.1::DOUBLE * x, 6) END, 'y': CASE WHEN g.name IS NULL THEN round(y, 6) ELSE round(0.9::DOUBLE * g.y + 0.1::DOUBLE * y, 6) END}})
+FROM (SELECT *, CASE WHEN len(own) > 0 THEN own[1] WHEN list_max(near) >= {jobs.SIMILARITY} THEN late[list_position(near, list_max(near))] END AS g
+FROM (SELECT *, list_transform(late, lambda h: (h.x * x + h.y * y) / (sqrt(h.x * h.x + h.y * h.y) * sqrt(x * x + y * y))) AS near
+FROM (SELECT o.*, groups, list_filter(groups, lambda h: h.name = print) AS own, groups[-{jobs.RECENT_GROUPS}:] AS late FROM r JOIN o ON o.service_name = r.service_name AND o.n = r.n + 1))))
+SELECT service_name, id, group_fingerprint, is_new FROM r WHERE n > 0""",
     "stream_dedup": f"{BASE} SELECT service_name, sha256({NORMAL}) AS fingerprint, count(*) AS occurrence_count FROM errs GROUP BY ALL",
 }

@@ -36,10 +36,15 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def row_as_line(*columns: str | Column) -> Column:
+    """What a row of a CSV file becomes: one JSON object of texts."""
+    return F.to_json(F.struct(*columns))
+
+
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object for each row of CSV files with a header."""
     rows = spark.read.option("header", True).csv(path)
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    return rows.select(row_as_line(*rows.columns).alias("value"))
 
 
 #: Bytes of text that are decompressed at a time.
