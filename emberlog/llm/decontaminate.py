@@ -240,13 +240,19 @@ def find(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int =
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = SLACK) -> DataFrame:
-    """find() over docs (doc_id, text; null: no words; repeated rows stay, extra columns are ignored), with n_hit and contaminated."""
+    """find() over docs (doc_id, text), with n_hit and contaminated.
+
+    A doc_id is an integer or null. A null or empty text has no words and no
+    hits; a long one is indexed as a whole, in one segment. Repeated rows stay; other columns are ignored, whatever their
+    names; no documents give no rows, no items no hits.
+    """
     found = find(build_index(docs), items, window, slack)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every document, exact and near. See contamination() for odd rows."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",

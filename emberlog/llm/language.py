@@ -237,6 +237,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; what is learned comes from documents that aren't held out. See identify() for odd rows; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -91,7 +91,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     min_chars characters in at least min_docs documents lose all lines but
     those in the largest doc_id that holds them. Rows of one doc_id count as
     one document; a null doc_id is smaller than any other. Repeated rows stay
-    and are treated alike.
+    and are treated alike; no rows give no rows. A long text is many lines, as
+    rows of their own, and is only joined again for the task that writes it.
     """
     return deduped(docs.drop("n_lines", "n_dropped", "kept_text"), min_chars, min_docs, hot_lines).select("row.*", "n_lines", "n_dropped", "kept_text")
 
@@ -114,6 +115,7 @@ def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document. See dedup_lines() for odd rows."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
     )

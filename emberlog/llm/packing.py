@@ -171,4 +171,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document. See pack_documents() for odd rows."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))

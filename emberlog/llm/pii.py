@@ -265,6 +265,7 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", rounds: int =
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms, under the demonstration key. See pseudonymize() for odd rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymize(docs, DEMO_KEY).select(
         "doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("kinds")

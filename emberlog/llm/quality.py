@@ -106,7 +106,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """docs with the counts, base_failed and kept added (replacing columns of these names); row by row, so repeated rows and null ids need no care.
+    """docs with the counts, base_failed and kept added (replacing columns of these names); row by row, so repeated rows and null ids need no care, and no rows give no rows. A text, however long, is measured as a whole in one task.
 
     Words are stretches without white space; a null text has none, so it
     fails. base_failed: under 50 words, or over half of the words in 3-word
@@ -118,6 +118,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document. See quality_rules() for odd rows."""
     measured = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return measured.select("doc_id", *COUNTS[:5], "base_failed", "kept", COUNTS[5], *_GRAMS)
 

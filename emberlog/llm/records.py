@@ -179,6 +179,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and checksum of every document's ids, read back from the files. See write_records() for odd rows; doc_id is an integer."""
     path = fresh_path(spark, "records")
     write_records(table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
     return write_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

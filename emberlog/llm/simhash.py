@@ -276,7 +276,9 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     Two rows are linked if their fingerprints differ in radius bits at most;
     component_id is the smallest doc_id reachable. Null and empty texts have
     fingerprint zero and are linked like any other. Rows with a null doc_id
-    link others; a component of such rows alone has a null id.
+    link others; a component of such rows alone has a null id. Repeated
+    rows stay; other columns are ignored, no rows give no rows. A text, however
+    long, is read as a whole in one task.
     """
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -597,4 +599,5 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: i
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. See simhash_components() for odd rows."""
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -321,6 +321,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, spli
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated 100-byte strings leave of every document. See remove_repeats() for odd rows."""
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )

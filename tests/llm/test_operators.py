@@ -281,6 +281,16 @@ def test_decontamination_of_nothing(spark, docs, empty):
     assert not decontaminate.contamination(docs, none).where("contaminated").count()
 
 
+def test_decontamination_with_clashing_columns_and_a_long_text(spark):
+    """Columns named like those that the operator makes, an item at the end of a text of 2 MB, repeated rows."""
+    long = words(200_000, 5) + " " + PASSAGE
+    rows = [(1, long), (2, PASSAGE), (2, PASSAGE), (None, None), (3, "")]
+    docs = spark.createDataFrame([(*r, 9, "x", [1], "z") for r in rows], "doc_id long, text string, segment int, nth string, spans array<int>, items string")
+    bench = spark.createDataFrame([(5, PASSAGE, "d", 1)], "item_id long, text string, doc_id string, n_words int")
+    found = decontaminate.contamination(docs, bench)
+    same(found.select("doc_id", F.col("n_words").cast("int"), F.col("n_hit").cast("int"), F.array_join("items", ","), "contaminated"), brute_hits(rows, [(5, PASSAGE)]))
+
+
 # --- 4
 
 
@@ -562,6 +572,17 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_with_clashing_columns_and_a_long_text(spark):
+    """Every id of a text of 1 MB has one place; columns named like those that the operator makes play no part."""
+    rows = [(1, words(100_000, 6)), (None, None), (2, ""), (2, "")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2, b"q") for r in rows], "doc_id long, text string, piece int, row_salt string, length long, ids binary")
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    long = sorted((r.start, r.length) for r in packed if r.doc_id == 1)
+    assert long[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(long)) and all(n == 1024 for _, n in long[1:])
+    assert sorted((r.doc_id is None, r.piece, r.start, r.length) for r in packed if r.doc_id != 1) == [(False, 0, 0, 1), (False, 0, 0, 1), (True, 0, 0, 1)]
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and max(r.offset + r.length for r in packed) <= 1024
+
+
 def test_packing_of_equal_rows(spark, monkeypatch):
     """Rows of one id and text are dealt to many rank groups like others; places stay gapless."""
     monkeypatch.setattr(packing, "GROUP_ROWS", 10)
