@@ -59,30 +59,40 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
 
 
 class Windows(NamedTuple):
-    """Windows of test items: for each length, a row of term numbers for each distinct window; and which items have it."""
+    """Windows of test items as arrays: for each length, a row of term numbers for each distinct window, where its items begin among items (and the last ones end), and those."""
 
     terms: np.ndarray
     rows: list[np.ndarray]
-    items: list[list[np.ndarray]]
+    first: list[np.ndarray]
+    items: list[np.ndarray]
     names: list[str]
 
 
 def windows(ids: list, texts: list[str | None], window: int = WINDOW) -> Windows:
+    """The windows of items; some 60 bytes for each word of the texts while they are sorted, and no objects of their own."""
     names = sorted({"" if i is None else str(i) for i in ids})
     number = {x: k for k, x in enumerate(names)}
+    item = np.array([number["" if i is None else str(i)] for i in ids], np.int32)
     all_terms, ends = words([(t or "").encode() for t in texts])
     terms, all_terms = np.unique(all_terms, return_inverse=True)
-    by_length: dict[int, dict[bytes, set[int]]] = {}
-    start = 0
-    for i, end in zip(ids, ends, strict=True):
-        own = all_terms[start:end].astype(np.int32)
-        start = end
-        n = min(window, len(own))
-        for k in range(len(own) - n + 1 if n else 0):
-            by_length.setdefault(n, {}).setdefault(own[k : k + n].tobytes(), set()).add(number["" if i is None else str(i)])
-    rows = [np.frombuffer(b"".join(x), np.int32).reshape(-1, n) for n, x in by_length.items()]
-    items = [[np.array(sorted(s)) for s in x.values()] for x in by_length.values()]
-    return Windows(terms, rows, items, names)
+    all_terms = all_terms.astype(np.int32)
+    begin = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
+    size = np.minimum(ends - begin, window)
+    rows, first, items = [], [], []
+    for n in np.unique(size[size > 0]).tolist():
+        own = np.flatnonzero(size == n)
+        many = (ends - begin)[own] - n + 1
+        text = np.repeat(own, many)
+        start = np.arange(len(text)) - np.repeat(np.cumsum(many) - many - begin[own], many)
+        order = np.lexsort([all_terms[start + k] for k in range(n)])
+        every = all_terms[start[order, None] + np.arange(n)]
+        new = np.concatenate([[True], (every[1:] != every[:-1]).any(axis=1)])
+        # items of a window, each once: its number in the high bits, the item in the low ones
+        both = np.unique((np.cumsum(new) - 1) << 32 | item[text[order]])
+        rows.append(every[new])
+        first.append(np.searchsorted(both >> 32, np.arange(len(rows[-1]) + 1)))
+        items.append((both & 0xFFFFFFFF).astype(np.int32))
+    return Windows(terms, rows, first, items, names)
 
 
 class Segment:
@@ -144,7 +154,7 @@ def _hits(segment: Segment, query: Windows, slack: int) -> tuple[dict, dict, dic
     exact: dict[int, set] = {}
     near: dict[int, set] = {}
     first = np.concatenate([[0], segment.ends[:-1]]) if len(segment.ends) else segment.ends
-    for terms, items in zip(query.rows, query.items, strict=True):
+    for terms, at, items in zip(query.rows, query.first, query.items, strict=True):
         rows = numbers[terms]
         here = np.flatnonzero((rows >= 0).all(axis=1))
         if not len(here):
@@ -152,7 +162,7 @@ def _hits(segment: Segment, query: Windows, slack: int) -> tuple[dict, dict, dic
         for tolerance, of in ((0, exact), *(((slack, near),) if slack else ())):
             row, start, doc = segment.match(rows[here], tolerance)
             for r, s, d in zip(here[row].tolist(), start.tolist(), doc.tolist(), strict=True):
-                of.setdefault(d, set()).update(items[r].tolist())
+                of.setdefault(d, set()).update(items[at[r] : at[r + 1]].tolist())
                 if not tolerance:
                     s -= int(first[d])
                     spans.setdefault(d, []).append((s, s + terms.shape[1]))
