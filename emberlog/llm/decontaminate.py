@@ -69,7 +69,7 @@ class Windows(NamedTuple):
 
 
 def windows(ids: list, texts: list[str | None], window: int = WINDOW) -> Windows:
-    """The windows of items; some 60 bytes for each word of the texts while they are sorted, and no objects of their own."""
+    """The windows of items; some 140 bytes for each word of the texts while they are sorted, and no objects of their own."""
     names = sorted({"" if i is None else str(i) for i in ids})
     number = {x: k for k, x in enumerate(names)}
     item = np.array([number["" if i is None else str(i)] for i in ids], np.int32)
