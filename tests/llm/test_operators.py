@@ -313,6 +313,14 @@ def test_urls(spark):
     assert url_filter.filter_pages(pages.limit(0), none).count() == 0
 
 
+def test_rules_of_the_contract(spark):
+    """The word of each rule as the contract lists it, and the verdicts that follow."""
+    assert {h + p: v for h, p, v in url_filter.RULES} == {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    pages = spark.createDataFrame([(1, "http://sub.net/de/x"), (2, "http://example.net/de/7"), (3, "http://a.example.net/de/81")], "page_id long, url string")
+    found = url_filter.filter_pages(pages, url_filter.rule_table(spark, url_filter.RULES)).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in found) == [(1, "net/de/", "allow"), (2, "net/de/", "allow"), (3, "example.net/de/8", "block")]
+
+
 def test_urls_with_many_shapes(spark):
     """Rules of 900 shapes, a very long URL, rules of equal length with other hosts."""
     rules = [(".".join(["h"] * k + ["com"]), "/" + "p" * n, "block") for k in range(1, 31) for n in range(30)]
