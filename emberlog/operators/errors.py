@@ -19,6 +19,8 @@ from emberlog.sources.shared import stored
 
 ERROR_SEVERITIES = ["ERROR", "CRITICAL", "FATAL"]
 MIN_SAMPLES, EPS = 2, 0.25
+#: Vectors of a tile of dbscan(), which keeps no list of near pairs and so can take larger ones than others: each vector is sent to as many tasks as its key has tiles.
+TILE = 8192
 
 
 def errors(logs: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def dbscan(vectors: DataFrame, key: str = "service_id", eps: float = EPS, min_samples: int = MIN_SAMPLES, tile: int = cells.TILE, pivots: int = cells.PIVOTS) -> DataFrame:
+def dbscan(vectors: DataFrame, key: str = "service_id", eps: float = EPS, min_samples: int = MIN_SAMPLES, tile: int = TILE, pivots: int = cells.PIVOTS) -> DataFrame:
     """key, id, label of every vector (id, key, embedding): density clusters by cosine distance within each key.
 
     A core has min_samples other vectors within eps. Clusters are the
@@ -163,7 +165,8 @@ def dbscan(vectors: DataFrame, key: str = "service_id", eps: float = EPS, min_sa
     Equal vectors of a key are one, with a weight. Cells meet twice: first
     their vectors' neighbours are counted, then, as cores are known, a task
     sends a forest of its cores and, for each other vector, one core of each
-    tree that it is near to. No list of near pairs is ever made, so dense clusters cost no more rows than others.
+    tree that it is near to. No list of near pairs is ever made, so dense clusters cost no more rows than others;
+    within a task the forest takes up the pairs of some rows at a time.
     """
     id_type = vectors.schema["id"].dataType.simpleString()
     own = vectors.select(F.col(key).alias("key"), "id", V.doubles(F.col("embedding")).alias("embedding"))
@@ -190,16 +193,19 @@ def dbscan(vectors: DataFrame, key: str = "service_id", eps: float = EPS, min_sa
         every = every.filter(every.column("core"))
         ids = pa.chunked_array([*own.column("id").chunks, *every.column("id").chunks], own.schema.field("id").type)
         core, n = own.column("core").to_numpy(), len(own)
-        found = [(i, j + n) for i, j in _near(own, every, eps)]
-        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         names = ids.to_numpy()
         _, same_id = np.unique(names, return_inverse=True)  # a core of the cell stands in both tables
-        inner = core[i]
-        root = _roots(len(names), same_id[i[inner]], same_id[j[inner]])
+        root, edges = np.arange(len(names)), [np.zeros((2, 0), np.int64)]
+        for i, j in _near(own, every, eps):
+            a, b, inner = same_id[i], same_id[j + n], core[i]
+            tree = np.flatnonzero(root != np.arange(len(root)))
+            root = _roots(len(root), np.concatenate([tree, a[inner]]), np.concatenate([root[tree], b[inner]]))
+            edges.append(np.unique(np.stack([a[~inner], root[b[~inner]]]), axis=1))
         of = np.zeros(len(names), np.int64)
         of[same_id] = np.arange(len(names))
-        tree = np.flatnonzero(root != np.arange(len(names)))
-        edge = np.unique(np.stack([same_id[i[~inner]], root[same_id[j[~inner]]]]), axis=1)
+        tree = np.flatnonzero(root != np.arange(len(root)))
+        edge = np.concatenate(edges, axis=1)
+        edge = np.unique(np.stack([edge[0], root[edge[1]]]), axis=1)
         src, dst = np.concatenate([of[tree], of[edge[0]]]), np.concatenate([of[root[tree]], of[edge[1]]])
         links = np.repeat([True, False], [len(tree), edge.shape[1]])
         return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "cores": pa.array(links)})

@@ -111,3 +111,24 @@ def test_least_similarity_is_positive(spark):
     df = frame(spark, grouped(6, 2, 3, 0.1, 5))
     with pytest.raises(ValueError):
         cells.nearest(cells.split(df, "service_id"), cells.unit_length(df, "service_id"), 2, 0.0)
+
+
+def test_dbscan_sends_a_vector_to_few_tasks(spark, monkeypatch):
+    """A key of 5,000 vectors is one tile, and the forest that grows from some rows at a time is that of all: chains of cores across them, each with a border."""
+    made, split = [], cells.split
+    monkeypatch.setattr(E.cells, "split", lambda *a: made.append(split(*a)) or made[-1])
+    step, place = 2 * np.pi / 10_000, np.arange(5000) * 7919 % 5000
+    angle = place * step + np.where(place < 2500, 0, 0.5)
+    df = spark.createDataFrame([(k, "a", [float(np.cos(x)), float(np.sin(x))]) for k, x in enumerate(angle)], "id long, service_id string, embedding array<double>")
+    found = {r.id: r.label for r in E.dbscan(df, eps=float(1 - np.cos(1.5 * step))).collect()}
+    # the smallest core is 1, as 0 is an end of the other chain
+    assert [found[k] for k in range(5000)] == [int(x < 2500) for x in place] and not made[0].pivots
+
+
+def test_one_pass_of_a_query(spark, monkeypatch):
+    """cluster_pass clusters once."""
+    from emberlog.plans import analysis_queries as A
+
+    runs, dbscan = [], E.dbscan
+    monkeypatch.setattr(E, "dbscan", lambda *a, **k: runs.append(1) or dbscan(*a, **k))
+    assert A.cluster_pass(spark, "/root/testdata/sf0.001").count() > 0 and len(runs) == 1
