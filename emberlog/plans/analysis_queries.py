@@ -14,7 +14,7 @@ from emberlog.operators import rollups as R
 from emberlog.operators import signals as S
 from emberlog.plans import domain as D
 from emberlog.plans.log_queries import NORMAL
-from emberlog.sources.shared import fresh_path
+from emberlog.sources.shared import fresh_path, stored
 
 L, AT = D.LOGS, f"TIMESTAMP '{D.AS_OF}'"
 ERR = "errs AS (SELECT * FROM logs WHERE severity IN ('ERROR', 'CRITICAL', 'FATAL'))"
@@ -128,7 +128,10 @@ def cluster_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT service_id, count(*) AS clusters, avg(confidence_score) AS s FROM clusters GROUP BY ALL)
 SELECT p.service_id, processed, coalesce(clusters, 0) AS clusters, noise, round(coalesce(s, 0), 3) AS silhouette FROM p LEFT JOIN g ON p.service_id = g.service_id""")
 def cluster_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.cluster_pass_summary(_labels(spark, sf_dir), _clusters(spark, sf_dir)).withColumn("silhouette", F.round("silhouette", 3))
+    vectors = D.indicator_vectors(spark, sf_dir)
+    labels = stored(E.dbscan(vectors, eps=EPS), "pass")  # counted and summed up, but found once
+    clusters = E.cluster_summary(labels.join(vectors.select("id", "embedding"), "id"))
+    return E.cluster_pass_summary(labels, clusters).withColumn("silhouette", F.round("silhouette", 3))
 
 
 @query(f"""WITH RECURSIVE {DBSCAN}, m AS (SELECT service_id, max(id) - 20 AS since FROM vectors GROUP BY ALL),
