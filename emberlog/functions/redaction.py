@@ -52,6 +52,23 @@ _PATTERNS = {
 }
 
 
+# What each match of a kind contains, without look-around: far cheaper than its pattern, and found in a text wherever it is in a part of it.
+_SECRET_NAME = r"(?i:pass(?:word|wd)|pwd|secret|(?:api|access|private)_?key|credential)"
+_HINTS = {
+    "bearer": r"(?i:bearer|token|auth)",
+    "password": _SECRET_NAME,
+    "card": r"\d{4}[-\s]?\d{4}[-\s]?\d{4}",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "phone": r"\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
+    "ipv4": r"\d\.\d++\.\d++\.\d",
+}
+#: What each match of any kind contains; those of digits share their first ones.
+_HINT = (
+    r"@|eyJ|AKIA|\d(?:\.\d++\.\d++\.\d|\d\d(?:-\d{2}-\d{4}|\)?[-.\s]?\d{3}[-.\s]?\d{4}|\d[-\s]?\d{4}[-\s]?\d{4}))"
+    rf"|{_HINTS['bearer']}|{_SECRET_NAME}"
+)
+
+
 def luhn_valid(number: Column) -> Column:
     """At least 13 digits, separators aside, with a valid Luhn sum."""
     digits = F.regexp_replace(number, r"[\s\-]", "")
@@ -64,15 +81,13 @@ def _result(text: Column, n: Column) -> Column:
 
 def _possible(text: Column, kind: str) -> Column:
     """Whether a text has what every match of the kind contains; far cheaper than its pattern."""
-    literal = {"jwt": ["eyJ"], "aws": ["AKIA"], "email": ["@"], "password": [":", "="], "ssn": ["-"]}.get(kind)
-    if kind == "card":
-        return text.rlike(r"\d{4}") & text.rlike(CARD)
-    if literal is None:
-        return text.rlike({"bearer": BEARER, "phone": r"\d{4}", "ipv4": r"\d\.\d"}[kind])
-    found = text.contains(literal[0])
-    for x in literal[1:]:
-        found |= text.contains(x)
-    return found
+    literal = {"jwt": "eyJ", "aws": "AKIA", "email": "@"}.get(kind)
+    if literal:
+        return text.contains(literal)
+    if kind in ("bearer", "card", "password"):
+        pattern = {"bearer": BEARER, "card": CARD, "password": PASSWORD}[kind]
+        return text.rlike(_HINTS[kind]) & text.rlike(pattern)
+    return text.rlike(_HINTS[kind])
 
 
 def redact_kind(text: Column, kind: str) -> Column:
@@ -107,7 +122,8 @@ def with_redaction(df: DataFrame, column: str, prefix: str = "redacted") -> Data
     """
     names = F.array(*map(F.lit, PLACEHOLDERS.values()))
     found = F.filter(F.transform("_redacted.counts", lambda n, k: F.when(n > 0, F.get(names, k))), lambda x: x.isNotNull())
-    out = df.withColumn("_redacted", redacted_counts(F.col(column)))
+    none = F.struct(F.col(column).alias("text"), F.array_repeat(F.lit(0), len(PLACEHOLDERS)).alias("counts"))
+    out = df.withColumn("_redacted", F.when(F.col(column).rlike(_HINT), redacted_counts(F.col(column))).otherwise(none))
     return (
         out.withColumn(f"{prefix}_text", F.col("_redacted.text"))
         .withColumn(f"{prefix}_count", F.aggregate("_redacted.counts", F.lit(0), lambda s, n: s + n))
@@ -153,8 +169,6 @@ def redacted(text: Column) -> Column:
 
 #: A string literal of a JSON text, with its quotes. Possessive, as Java repeats such groups in a loop rather than by recursion.
 _LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-#: What each match of any kind contains.
-_HINT = r"[@=:]|\d\.\d|\d{4}|\d{3}-|eyJ|AKIA|(?i:bearer|token|auth)"
 
 
 def _counted(value: Column, n: Column) -> Column:
@@ -183,7 +197,7 @@ def _redacted_parts(part: Column) -> Column:
 def redact_value(value: Column, kind: T.DataType) -> Column:
     """(value, n) of a value of any type with its texts redacted, and how many were: texts, and lists, maps and structs down to their texts; other values stay."""
     if isinstance(kind, T.StringType):
-        return _bound(_parted(value), _redacted_parts)
+        return F.when(value.rlike(_HINT), _bound(_parted(value), _redacted_parts)).otherwise(_counted(value, F.lit(0)))
     if isinstance(kind, T.ArrayType):
 
         def items(done: Column) -> Column:
@@ -246,7 +260,7 @@ def redact_records(df: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> Da
     # all other texts in one array, which the patterns go through once
     first = [F.when(F.col("_m_count") == 0, F.col("raw_line")), *([F.when(F.col("_members").isNull(), extra)] if as_text else []), *(F.col(c) for c in own)]
     texts = F.concat(F.array(*first), F.coalesce(F.map_values("_members"), F.array().cast("array<string>")))
-    out = out.withColumn("_done", F.transform(F.transform(texts, _parted), _redacted_parts))
+    out = out.withColumn("_done", F.transform(texts, lambda x: redact_value(x, T.StringType())))
     done = lambda k: F.get("_done", F.lit(k))
     values = F.transform(F.slice("_done", len(first) + 1, F.size("_done")), lambda d: d["value"])
     back = F.when(F.col("_members").isNotNull(), F.map_from_arrays(F.map_keys("_members"), values))

@@ -525,3 +525,22 @@ def test_silence_raises_once(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert [r.service_name for r in spark.table("silence_test").collect()] == ["quiet"]
+
+
+def test_clean_lines_skip_redaction(spark):
+    """One pattern tells lines that can't hold any kind, times and ids among them, from those that may."""
+    clean = ["<3>1 2024-01-15T10:20:30Z host-1 app-2 99 ID29099999 - text 5", "2024-01-15 10:20:30,250 WARN [main] com.app.Svc1 - slow 7", "garbage line 35999999", "a=b: c"]
+    rows = spark.createDataFrame([(x, True) for x in BATTERY] + [(x, False) for x in clean], "line string, may boolean")
+    assert [r.line for r in rows.where(F.col("line").rlike(R._HINT) != F.col("may")).collect()] == []
+    # a card behind a number, and numbers one blank apart
+    texts = spark.createDataFrame([("555-3296 4524132264652876 x",), ("+1 (605) 555-9305 +1 (269) 555-3296",)], "line string")
+    assert [r.redacted_text for r in R.with_redaction(texts, "line").collect()] == ["555-3296 [REDACTED_CC] x", "[REDACTED_PHONE] [REDACTED_PHONE]"]
+
+
+def test_lines_of_a_session_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Lines that come in one partition are parsed in many."""
+    seen, parse = [], C.records_of
+    monkeypatch.setattr(C, "records_of", lambda lines, as_of: seen.append(lines.rdd.getNumPartitions()) or parse(lines, as_of))
+    lines = spark.range(100).coalesce(1).select("id", F.lit("s").alias("session_id"), F.concat(F.lit("line "), "id").alias("value"))
+    assert C.process_sessions(lines, F.lit("2024-01-31").cast("timestamp_ntz"), f"file://{tmp_path}", "a").first().total_lines == 100
+    assert seen[0] > 1
