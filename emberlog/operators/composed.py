@@ -64,7 +64,9 @@ def process_sessions(lines: DataFrame, as_of: Column, path: str, batch: str) ->
     if done is None:
         attempt = commits.new_attempt()
         at = {t: commits.folder(path, t, attempt) for t in INGESTED}
-        records = records_of(lines, as_of)
+        # a line costs far more work than bytes, so lines are dealt out evenly whatever files, archives or row groups they came from
+        even = lines.repartition(4 * spark.sparkContext.defaultParallelism, "session_id", "id")
+        records = records_of(even, as_of)
         sinks.write_records(records, at["records"])
         own = spark.read.schema(records.schema).parquet(at["records"])
         session_parts(own).write.parquet(at["sessions"])
