@@ -18,7 +18,7 @@ from emberlog.plans import domain as D
 from emberlog.plans import incident_queries as Q
 from emberlog.plans import log_queries as G
 from emberlog.sources import commits, readers, sinks
-from emberlog.sources.shared import fresh_path
+from emberlog.sources.shared import fresh_path, stored
 
 QUERIES, SQL = {}, {}
 
@@ -111,7 +111,8 @@ def _archive(rows: pa.Table) -> pa.Table:
 def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archives as uploads with tags, one of them too large: statistics of each, and the tags that their records have."""
     path, part = fresh_path(spark, "uploads"), F.regexp_extract("path", r"(\d+)", 1).cast("int")
-    files = _archives(spark, sf_dir).withColumn("length", F.when(part == 7, 10**9).otherwise(F.octet_length("content")))
+    # uploads lie in files: their tags are read without their content
+    files = stored(_archives(spark, sf_dir), "archives").withColumn("length", F.when(part == 7, 10**9).otherwise(F.octet_length("content")))
     files = files.withColumns({"service_name": F.concat(F.lit("svc-"), part % 5), "environment": F.when(part % 2 == 0, "prod")})
     stats, _ = C.upload(files, D.as_of(), path, "all")
     schema = C.records_of(G.raw_lines(spark, sf_dir).withColumnRenamed("event_id", "id"), D.as_of()).schema

@@ -152,7 +152,9 @@ def lines_of(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*texts, pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "member", "pos", "value"])
                     at += len(lines)
 
-    return members(files).repartition("file", "nth").mapInArrow(read, "file string, member string, pos long, value string")
+    # a number of its own, as adaptive execution would put members together by their compressed bytes
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return members(files).repartition(tasks, "file", "nth").mapInArrow(read, "file string, member string, pos long, value string")
 
 
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
